@@ -77,3 +77,184 @@ ORDER BY default_rate_pct DESC, NAME_INCOME_TYPE"""))
 
 register("split_counts", q("""
 SELECT split, TARGET, count(*) AS n FROM split GROUP BY split, TARGET ORDER BY split, TARGET"""))
+
+# ------------------------------------------------------------------ overview
+APP_COLS = ", ".join(c for c, _ in __import__("riskframe.sources.applications", fromlist=["x"]).APPLICATION_COLUMNS)
+
+register("scan_preview", q(f"SELECT {APP_COLS} FROM applications ORDER BY SK_ID_CURR LIMIT 10"))
+
+register("dataset_summary", q("""
+SELECT count(*) AS n_rows,
+       (SELECT count(*) FROM (DESCRIBE SELECT * FROM applications))::INT AS n_columns,
+       avg(CAST(TARGET AS DOUBLE))*100 AS default_rate_pct,
+       CAST(floor(CAST(sum(CASE WHEN TARGET=0 THEN 1 ELSE 0 END) AS DOUBLE)
+                  / nullif(sum(CASE WHEN TARGET=1 THEN 1 ELSE 0 END), 0)) AS BIGINT) AS imbalance_ratio
+FROM applications"""))
+
+register("feature_type_counts", q("""
+SELECT CASE WHEN column_type IN ('VARCHAR') THEN 'categorical' ELSE 'numeric' END AS kind,
+       count(*) AS n_features
+FROM (DESCRIBE SELECT * FROM train)
+WHERE column_name NOT IN ('SK_ID_CURR', 'TARGET')
+GROUP BY 1 ORDER BY 1"""))
+
+
+def _missing_sql() -> str:
+    from riskframe.sources.applications import APPLICATION_COLUMNS
+    parts = [f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing_count, "
+             f"count(*) AS n FROM applications" for c, _ in APPLICATION_COLUMNS]
+    return ("SELECT column_name, CAST(missing_count AS BIGINT) AS missing_count, "
+            "round(CAST(missing_count AS DOUBLE)/n*100, 2) AS missing_pct FROM (\n"
+            + "\nUNION ALL\n".join(parts) +
+            "\n) WHERE missing_count > 0 ORDER BY missing_pct DESC, missing_count DESC, column_name LIMIT 20")
+
+
+register("missing_profile", q(_missing_sql()))
+
+register("split_cover_check", q("""
+SELECT (SELECT count(*) FROM split) AS n_rows,
+       (SELECT count(*) FROM split WHERE split='train') AS n_train,
+       (SELECT count(*) FROM split WHERE split='test') AS n_test,
+       (SELECT count(*) FROM (SELECT SK_ID_CURR FROM train INTERSECT SELECT SK_ID_CURR FROM test)) AS n_overlap,
+       (SELECT count(*) FROM (SELECT SK_ID_CURR FROM applications EXCEPT ALL
+            (SELECT SK_ID_CURR FROM train UNION ALL SELECT SK_ID_CURR FROM test))) AS n_uncovered,
+       (SELECT count(*) FROM applications a WHERE NOT EXISTS
+            (SELECT 1 FROM train t WHERE t.SK_ID_CURR = a.SK_ID_CURR)) AS n_not_train"""))
+
+register("train_raw_rows", q(f"""
+SELECT {APP_COLS} FROM applications a
+WHERE a.SK_ID_CURR IN (SELECT SK_ID_CURR FROM split WHERE split = 'train')"""))
+
+# --------------------------------------------------------------- exploration
+register("target_distribution", q("""
+SELECT TARGET, CASE TARGET WHEN 0 THEN 'No Default' WHEN 1 THEN 'Default' END AS label,
+       count(*) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM train) * 100 AS pct
+FROM train GROUP BY TARGET ORDER BY n DESC"""))
+
+
+def _hist_sql(expr: str, bins: int) -> str:
+    return q(f"""
+SELECT TARGET, bin, bin * ((hi - lo) / {bins}) + lo AS bin_lo,
+       CASE WHEN bin = {bins - 1} THEN hi ELSE (bin + 1) * ((hi - lo) / {bins}) + lo END AS bin_hi,
+       CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM g LEFT JOIN c USING (TARGET, bin) ORDER BY TARGET, bin""", f"""
+hx AS (SELECT TARGET, CAST({expr} AS DOUBLE) AS x FROM train),
+hs AS (SELECT TARGET,
+              CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+              CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
+       FROM hx WHERE x IS NOT NULL GROUP BY TARGET),
+c AS (SELECT TARGET, CAST(least(floor((x - lo) * (CAST({bins} AS DOUBLE) / (hi - lo))), {bins - 1}) AS INT) AS bin,
+             count(*) AS n
+      FROM hx JOIN hs USING (TARGET) WHERE x IS NOT NULL GROUP BY ALL),
+g AS (SELECT TARGET, lo, hi, CAST(unnest(range(0, {bins})) AS INT) AS bin FROM hs)""")
+
+
+register("age_histogram", _hist_sql("round(-DAYS_BIRTH / 365.0, 1)", S.AGE_BINS))
+register("employment_histogram", _hist_sql(
+    f"CASE WHEN DAYS_EMPLOYED IS NULL THEN NULL ELSE least(-DAYS_EMPLOYED / 365.0, {float(S.EMPLOYMENT_YEARS_CAP)}) END",
+    S.EMPLOYMENT_BINS))
+
+register("income_boxplot", q(f"""
+SELECT TARGET, CASE TARGET WHEN 0 THEN 'No Default' WHEN 1 THEN 'Default' END AS label, n,
+       {sig_sql('q1', 10)} AS q1, {sig_sql('median', 10)} AS median, {sig_sql('q3', 10)} AS q3,
+       {sig_sql('q3 - q1', 10)} AS iqr,
+       {sig_sql('whisker_lo', 10)} AS whisker_lo, {sig_sql('whisker_hi', 10)} AS whisker_hi,
+       n_outliers
+FROM (
+  SELECT b.TARGET, count(*) AS n, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
+         min(CASE WHEN x >= q1 - 1.5*(q3-q1) AND x <= q3 + 1.5*(q3-q1) THEN x END) AS whisker_lo,
+         max(CASE WHEN x >= q1 - 1.5*(q3-q1) AND x <= q3 + 1.5*(q3-q1) THEN x END) AS whisker_hi,
+         CAST(sum(CASE WHEN x >= q1 - 1.5*(q3-q1) AND x <= q3 + 1.5*(q3-q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
+  FROM b JOIN qs USING (TARGET) GROUP BY b.TARGET)""", """
+p99 AS (SELECT quantile_cont(AMT_INCOME_TOTAL, 0.99) AS v FROM train),
+b AS (SELECT TARGET, AMT_INCOME_TOTAL AS x FROM train, p99 WHERE AMT_INCOME_TOTAL < p99.v),
+qs AS (SELECT TARGET, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+              quantile_cont(x, 0.75) AS q3 FROM b GROUP BY TARGET)"""))
+
+register("gender_pivot", q("""
+SELECT CODE_GENDER, n_no_default, n_default, n_no_default + n_default AS total,
+       CAST(n_default AS DOUBLE) / (n_no_default + n_default) * 100 AS default_rate_pct
+FROM (SELECT CODE_GENDER, count(*) FILTER (WHERE TARGET = 0) AS n_no_default,
+             count(*) FILTER (WHERE TARGET = 1) AS n_default
+      FROM train WHERE CODE_GENDER IS NOT NULL GROUP BY CODE_GENDER)
+ORDER BY CODE_GENDER"""))
+
+register("sentinel_counts", q(f"""
+SELECT n_sentinel, n_normal, n_rows,
+       CAST(n_sentinel AS DOUBLE) / n_rows * 100 AS pct_sentinel,
+       CAST(n_normal AS DOUBLE) / n_rows * 100 AS pct_normal
+FROM (SELECT CAST(count(*) FILTER (WHERE DAYS_EMPLOYED IS NOT DISTINCT FROM {S.DAYS_EMPLOYED_SENTINEL}) AS BIGINT) AS n_sentinel,
+             CAST(count(*) FILTER (WHERE DAYS_EMPLOYED IS DISTINCT FROM {S.DAYS_EMPLOYED_SENTINEL}) AS BIGINT) AS n_normal,
+             count(*) AS n_rows FROM train)"""))
+
+_WEEKDAYS = ", ".join(f"({i}, '{d}')" for i, d in enumerate(S.WEEKDAY_ORDER, start=1))
+register("rate_by_weekday", q(f"""
+SELECT o.ord, o.WEEKDAY_APPR_PROCESS_START, r.default_rate_pct, coalesce(r.n, 0) AS n
+FROM (VALUES {_WEEKDAYS}) AS o(ord, WEEKDAY_APPR_PROCESS_START)
+LEFT JOIN (SELECT WEEKDAY_APPR_PROCESS_START, avg(CAST(TARGET AS DOUBLE))*100 AS default_rate_pct,
+                  count(*) AS n
+           FROM train WHERE WEEKDAY_APPR_PROCESS_START IS NOT NULL
+           GROUP BY WEEKDAY_APPR_PROCESS_START) r USING (WEEKDAY_APPR_PROCESS_START)
+ORDER BY o.ord"""))
+
+register("rate_by_children", q(f"""
+SELECT CNT_CHILDREN, avg(CAST(TARGET AS DOUBLE))*100 AS default_rate_pct, count(*) AS n
+FROM train WHERE CNT_CHILDREN <= {S.CHILDREN_CAP} GROUP BY CNT_CHILDREN ORDER BY CNT_CHILDREN"""))
+
+
+def _corr_sql() -> str:
+    cols = S.CORRELATION_COLUMNS
+    parts = []
+    for i in range(len(cols)):
+        for j in range(i):
+            a, b = cols[i], cols[j]
+            parts.append(
+                f"SELECT '{a}' AS col_a, '{b}' AS col_b, count(*) AS n, "
+                f"covar_pop(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) / "
+                f"nullif(sqrt(var_pop(CAST({a} AS DOUBLE)) * var_pop(CAST({b} AS DOUBLE))), 0) AS c "
+                f"FROM train WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+    return q(f"SELECT col_a, col_b, n, {sig_sql('c', 9)} AS corr FROM (\n"
+             + "\nUNION ALL\n".join(parts) + "\n)")
+
+
+register("correlation_pairs", _corr_sql())
+
+
+def _ext_long() -> str:
+    return "ext AS (" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, TARGET, CAST({c} AS DOUBLE) AS v FROM train WHERE {c} IS NOT NULL"
+        for c in S.EXT_SCORE_COLUMNS) + ")"
+
+
+register("score_violin", q(f"""
+SELECT column_name, TARGET, CASE TARGET WHEN 0 THEN 'No Default' WHEN 1 THEN 'Default' END AS label,
+       count(*) AS n,
+       {sig_sql('quantile_cont(v, 0.25)', 10)} AS q1, {sig_sql('quantile_cont(v, 0.5)', 10)} AS median,
+       {sig_sql('quantile_cont(v, 0.75)', 10)} AS q3,
+       {sig_sql('min(v)', 10)} AS vmin, {sig_sql('max(v)', 10)} AS vmax,
+       {sig_sql('stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2)', 9)} AS bandwidth
+FROM ext GROUP BY column_name, TARGET""", _ext_long()))
+
+register("score_density", q(f"""
+SELECT column_name, TARGET, grid_index, {sig_sql('gx', 10)} AS x,
+       {sig_sql(f's / (n * h * {__import__("math").sqrt(2 * __import__("math").pi)!r})', 8)} AS density
+FROM (
+  SELECT g.column_name, g.TARGET, g.grid_index, g.gx, g.n, g.h,
+         sum(bn.c * exp(-0.5 * ((g.gx - bn.m) / g.h) * ((g.gx - bn.m) / g.h))) AS s
+  FROM gr g JOIN bn USING (column_name, TARGET)
+  GROUP BY ALL)""", _ext_long() + f""",
+st AS (SELECT column_name, TARGET, count(*) AS n, min(v) AS xmin, max(v) AS xmax,
+              {sig_sql('stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2)', 9)} AS h
+       FROM ext GROUP BY column_name, TARGET HAVING count(*) >= 2),
+st2 AS (SELECT *, greatest(h / 64.0, (xmax - xmin) / {float(1 << 20)!r}) AS w FROM st WHERE h > 0),
+bn AS (SELECT column_name, TARGET, floor((v - xmin) / w) AS bin, count(*) AS c, avg(v) AS m
+       FROM ext JOIN st2 USING (column_name, TARGET) GROUP BY ALL),
+gr AS (SELECT column_name, TARGET, n, h, grid_index,
+              grid_index * ((xmax + {S.KDE_CUT} * h - (xmin - {S.KDE_CUT} * h)) / {S.KDE_GRID_POINTS - 1})
+                + (xmin - {S.KDE_CUT} * h) AS gx
+       FROM st2, (SELECT CAST(unnest(range(0, {S.KDE_GRID_POINTS})) AS INT) AS grid_index))"""))
+
+register("scatter_sample", q(f"""
+SELECT SK_ID_CURR, AMT_GOODS_PRICE, AMT_CREDIT, TARGET FROM train
+WHERE AMT_CREDIT IS NOT NULL AND AMT_GOODS_PRICE IS NOT NULL
+ORDER BY {hash_sql('SK_ID_CURR', S.SCATTER_SALT)}, SK_ID_CURR LIMIT {S.SCATTER_SAMPLE_SIZE}"""))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
-from riskframe.operators import explore
+from riskframe.functions import columns as C
+from riskframe.operators import explore, profile, sampling
 from riskframe.plans.context import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,127 @@ def rate_by_income_type(spark, sf_dir):
 def split_counts(spark, sf_dir):
     t = prepared(spark, sf_dir).table
     return t.groupBy("split", S.LABEL).agg(F.count(F.lit(1)).alias("n")).orderBy("split", S.LABEL)
+
+
+# ------------------------------------------------------------------ overview
+@query
+def scan_preview(spark, sf_dir):
+    t = prepared(spark, sf_dir).table.drop("split")
+    return profile.preview(t, S.KEY, S.PREVIEW_ROWS)
+
+
+@query
+def dataset_summary(spark, sf_dir):
+    return profile.dataset_summary(prepared(spark, sf_dir).table.drop("split"), S.LABEL)
+
+
+@query
+def feature_type_counts(spark, sf_dir):
+    return profile.feature_type_counts(prepared(spark, sf_dir).train)
+
+
+@query
+def missing_profile(spark, sf_dir):
+    t = prepared(spark, sf_dir).table.drop("split")
+    return profile.missing_profile(t, S.MISSING_TOP)
+
+
+@query
+def split_cover_check(spark, sf_dir):
+    return profile.split_cover(prepared(spark, sf_dir).table, S.KEY)
+
+
+@query
+def train_raw_rows(spark, sf_dir):
+    ctx = prepared(spark, sf_dir)
+    keys = ctx.table.where("split = 'train'").select(S.KEY)
+    return ctx.table.drop("split").join(keys, S.KEY, "left_semi")
+
+
+# --------------------------------------------------------------- exploration
+@query
+def target_distribution(spark, sf_dir):
+    return explore.target_distribution(prepared(spark, sf_dir).train, S.LABEL)
+
+
+@query
+def age_histogram(spark, sf_dir):
+    t = prepared(spark, sf_dir).train
+    return explore.equal_width_histogram(t, C.age_years("DAYS_BIRTH"), S.LABEL, S.AGE_BINS)
+
+
+@query
+def employment_histogram(spark, sf_dir):
+    t = prepared(spark, sf_dir).train
+    return explore.equal_width_histogram(
+        t, C.employment_years("DAYS_EMPLOYED", S.EMPLOYMENT_YEARS_CAP), S.LABEL, S.EMPLOYMENT_BINS)
+
+
+@query
+def income_boxplot(spark, sf_dir):
+    t = prepared(spark, sf_dir).train
+    below, _ = explore.p_quantile_filter(t, "AMT_INCOME_TOTAL", S.INCOME_QUANTILE)
+    box = explore.box_summary(below, "AMT_INCOME_TOTAL", S.LABEL, S.IQR_FACTOR)
+    return box.select(S.LABEL, C.label_text(S.LABEL).alias("label"), "n",
+                      *[C.sig(c, 10).alias(c) for c in ("q1", "median", "q3", "iqr",
+                                                         "whisker_lo", "whisker_hi")],
+                      "n_outliers")
+
+
+@query
+def gender_pivot(spark, sf_dir):
+    return explore.pivot_counts(prepared(spark, sf_dir).train, "CODE_GENDER", S.LABEL)
+
+
+@query
+def sentinel_counts(spark, sf_dir):
+    return explore.sentinel_counts(prepared(spark, sf_dir).train, "DAYS_EMPLOYED",
+                                   S.DAYS_EMPLOYED_SENTINEL)
+
+
+@query
+def rate_by_weekday(spark, sf_dir):
+    return explore.rate_in_fixed_order(prepared(spark, sf_dir).train, "WEEKDAY_APPR_PROCESS_START",
+                                       S.LABEL, S.WEEKDAY_ORDER)
+
+
+@query
+def rate_by_children(spark, sf_dir):
+    return explore.rate_by_small_int(prepared(spark, sf_dir).train, "CNT_CHILDREN", S.LABEL,
+                                     S.CHILDREN_CAP)
+
+
+@query
+def correlation_pairs(spark, sf_dir):
+    t = prepared(spark, sf_dir).train
+    cols = S.present(t, S.CORRELATION_COLUMNS)
+    return explore.pearson_pairs(t, cols).select("col_a", "col_b", "n", C.sig("corr", 9).alias("corr"))
+
+
+@query
+def score_violin(spark, sf_dir):
+    t = prepared(spark, sf_dir).train
+    return explore.violin_summary(t, S.EXT_SCORE_COLUMNS, S.LABEL).select(
+        "column_name", S.LABEL, "label", "n",
+        *[C.sig(c, 10).alias(c) for c in ("q1", "median", "q3", "vmin", "vmax")],
+        "bandwidth")
+
+
+@query
+def score_density(spark, sf_dir):
+    t = prepared(spark, sf_dir).train
+    out = None
+    for c in S.EXT_SCORE_COLUMNS:
+        d = explore.kde_density(t, c, S.LABEL, S.KDE_GRID_POINTS, S.KDE_CUT).select(
+            F.lit(c).alias("column_name"), S.LABEL, "grid_index",
+            C.sig("x", 10).alias("x"), C.sig("density", 8).alias("density"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query
+def scatter_sample(spark, sf_dir):
+    t = prepared(spark, sf_dir).train
+    complete = t.na.drop(subset=["AMT_CREDIT", "AMT_GOODS_PRICE"])
+    return sampling.hash_sample(complete, S.KEY, S.SCATTER_SAMPLE_SIZE, S.SCATTER_SALT).select(
+        S.KEY, "AMT_GOODS_PRICE", "AMT_CREDIT", S.LABEL)
