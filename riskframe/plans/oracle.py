@@ -258,3 +258,92 @@ register("scatter_sample", q(f"""
 SELECT SK_ID_CURR, AMT_GOODS_PRICE, AMT_CREDIT, TARGET FROM train
 WHERE AMT_CREDIT IS NOT NULL AND AMT_GOODS_PRICE IS NOT NULL
 ORDER BY {hash_sql('SK_ID_CURR', S.SCATTER_SALT)}, SK_ID_CURR LIMIT {S.SCATTER_SAMPLE_SIZE}"""))
+
+# ------------------------------------------------------ cleaning and features
+NUM = ["CNT_CHILDREN", "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE",
+       "DAYS_BIRTH", "DAYS_EMPLOYED", "CNT_FAM_MEMBERS", "REGION_RATING_CLIENT",
+       "EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
+CAT = ["NAME_CONTRACT_TYPE", "CODE_GENDER", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE",
+       "NAME_FAMILY_STATUS", "NAME_HOUSING_TYPE", "WEEKDAY_APPR_PROCESS_START"]
+
+
+def _fe_ctes() -> str:
+    clean = (f"SELECT * REPLACE (nullif(DAYS_EMPLOYED, {S.DAYS_EMPLOYED_SENTINEL}) AS DAYS_EMPLOYED, "
+             f"nullif(CODE_GENDER, '{S.GENDER_SENTINEL}') AS CODE_GENDER)")
+    fq = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS {c}__q1, "
+                   f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS {c}__q3" for c in NUM)
+    fb = ", ".join(f"{c}__q1 - 1.5*({c}__q3 - {c}__q1) AS {c}__lo, {c}__q3 + 1.5*({c}__q3 - {c}__q1) AS {c}__hi"
+                   for c in NUM)
+    cl = ", ".join(f"CASE WHEN {c} IS NULL THEN NULL ELSE greatest({c}__lo, least({c}__hi, CAST({c} AS DOUBLE))) END AS {c}"
+                   for c in NUM)
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS {c}__med" for c in NUM)
+    mode_src = "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, {c} AS value FROM ct" for c in CAT)
+    imp_num = ", ".join(f"coalesce({c}, {c}__med) AS {c}" for c in NUM)
+    imp_cat = ", ".join(f"coalesce({c}, (SELECT mode FROM modes WHERE column_name = '{c}')) AS {c}" for c in CAT)
+    ms = ", ".join(f"avg({c}) AS {c}__mean, stddev_pop({c}) AS {c}__sd" for c in NUM)
+    sc = ", ".join(f"({c} - {c}__mean) / CASE WHEN {c}__sd = 0 THEN 1 ELSE {c}__sd END AS {c}" for c in NUM)
+    return f"""
+ct AS ({clean} FROM train),
+ca AS ({clean} FROM split),
+fq AS (SELECT {fq} FROM ct),
+fb AS (SELECT *, {fb} FROM fq),
+cl_all AS (SELECT SK_ID_CURR, split, TARGET, {cl}, {", ".join(CAT)} FROM ca, fb),
+med AS (SELECT {med} FROM cl_all WHERE split = 'train'),
+modes AS (SELECT column_name, value AS mode FROM (
+    SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, value) AS rn
+    FROM ({mode_src}) WHERE value IS NOT NULL GROUP BY column_name, value) WHERE rn = 1),
+imp_all AS (SELECT SK_ID_CURR, split, TARGET, {imp_num}, {imp_cat} FROM cl_all, med),
+ms AS (SELECT {ms} FROM imp_all WHERE split = 'train'),
+sc_all AS (SELECT SK_ID_CURR, split, TARGET, {sc}, {", ".join(CAT)} FROM imp_all, ms),
+cats AS (SELECT DISTINCT column_name, value AS category FROM ({mode_src}) WHERE value IS NOT NULL)"""
+
+
+def fq(body: str) -> str:
+    return q(body, _fe_ctes())
+
+
+register("clip_fences", fq("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, {sig_sql(f'{c}__q1', 10)} AS q1, {sig_sql(f'{c}__q3', 10)} AS q3, "
+    f"{sig_sql(f'{c}__q3 - {c}__q1', 10)} AS iqr, {sig_sql(f'{c}__lo', 10)} AS lo, {sig_sql(f'{c}__hi', 10)} AS hi FROM fb"
+    for c in NUM)))
+
+register("clipped_rows", fq(
+    "SELECT SK_ID_CURR, split, " + ", ".join(f"{sig_sql(c, 10)} AS {c}" for c in NUM) +
+    ", CODE_GENDER FROM cl_all"))
+
+register("impute_stats", fq("\nUNION ALL\n".join(
+    [f"SELECT '{c}' AS column_name, 'numeric' AS kind, {sig_sql(f'{c}__med', 10)} AS median, "
+     f"CAST(NULL AS VARCHAR) AS mode FROM med" for c in NUM] +
+    [f"SELECT '{c}' AS column_name, 'categorical' AS kind, CAST(NULL AS DOUBLE) AS median, "
+     f"(SELECT mode FROM modes WHERE column_name = '{c}') AS mode" for c in CAT])))
+
+register("imputed_rows", fq(
+    "SELECT SK_ID_CURR, split, " + ", ".join(f"{sig_sql(c, 10)} AS {c}" for c in NUM) +
+    ", " + ", ".join(CAT) + " FROM imp_all"))
+
+register("scale_stats", fq("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, {sig_sql(f'{c}__mean', 9)} AS mean, {sig_sql(f'{c}__sd', 9)} AS std FROM ms"
+    for c in NUM)))
+
+register("scaled_rows", fq(
+    "SELECT SK_ID_CURR, split, " + ", ".join(f"{sig_sql(c, 8)} AS {c}" for c in NUM) + " FROM sc_all"))
+
+register("onehot_long", fq("SELECT * FROM (" + "\nUNION ALL\n".join(
+    f"SELECT SK_ID_CURR, split, '{c}' AS column_name, {c} AS category FROM imp_all" for c in CAT) +
+    ") l WHERE (column_name, category) IN (SELECT (column_name, category) FROM cats)"))
+
+register("feature_catalogue", fq(f"""
+SELECT CAST(row_number() OVER (ORDER BY blk, pos, category) - 1 AS INT) AS idx,
+       CASE WHEN category IS NULL THEN column_name ELSE column_name || '_' || category END AS feature_name,
+       column_name, category, CASE WHEN blk = 0 THEN 'numeric' ELSE 'one_hot' END AS block
+FROM (SELECT 0 AS blk, pos, column_name, CAST(NULL AS VARCHAR) AS category
+      FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(NUM))}) v(pos, column_name)
+      UNION ALL
+      SELECT 1 AS blk, pos, column_name, category
+      FROM cats JOIN (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(CAT))}) v(pos, column_name)
+      USING (column_name))"""))
+
+register("covariance_pairs", fq("\nUNION ALL\n".join(
+    f"SELECT '{NUM[i]}' AS col_a, '{NUM[j]}' AS col_b, count(*) AS n, "
+    f"{sig_sql(f'covar_pop({NUM[i]}, {NUM[j]})', 8)} AS cov FROM sc_all WHERE split = 'train'"
+    for i in range(len(NUM)) for j in range(i + 1))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions import columns as C
-from riskframe.operators import explore, profile, sampling
+from riskframe.operators import cleaning, explore, features, profile, sampling
 from riskframe.plans.context import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,103 @@ def scatter_sample(spark, sf_dir):
     complete = t.na.drop(subset=["AMT_CREDIT", "AMT_GOODS_PRICE"])
     return sampling.hash_sample(complete, S.KEY, S.SCATTER_SAMPLE_SIZE, S.SCATTER_SALT).select(
         S.KEY, "AMT_GOODS_PRICE", "AMT_CREDIT", S.LABEL)
+
+
+# ------------------------------------------------------ cleaning and features
+def _state(spark, sf_dir):
+    ctx = prepared(spark, sf_dir)
+    return ctx.cached("state", lambda: features.fit_state(ctx.train))
+
+
+def _state_rows(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def _all_rows(spark, sf_dir):
+    """Every row (train and test) with key, split and label kept."""
+    return prepared(spark, sf_dir).table
+
+
+@query
+def clip_fences(spark, sf_dir):
+    st = _state(spark, sf_dir)
+    rows = [(c, q1, q3) for c, (q1, q3) in st["fences"].items()]
+    df = spark.createDataFrame(rows, "column_name string, q1 double, q3 double")
+    iqr = F.col("q3") - F.col("q1")
+    f = F.lit(st["factor"])
+    return df.select("column_name", C.sig("q1", 10).alias("q1"), C.sig("q3", 10).alias("q3"),
+                     C.sig(iqr, 10).alias("iqr"), C.sig(F.col("q1") - f * iqr, 10).alias("lo"),
+                     C.sig(F.col("q3") + f * iqr, 10).alias("hi"))
+
+
+@query
+def clipped_rows(spark, sf_dir):
+    st = _state(spark, sf_dir)
+    t = cleaning.clean_sentinels(_all_rows(spark, sf_dir))
+    x = features.clip_fitted(t.select(S.KEY, "split", *st["num_cols"], "CODE_GENDER"), st)
+    return x.select(S.KEY, "split", *[C.sig(c, 10).alias(c) for c in st["num_cols"]], "CODE_GENDER")
+
+
+@query
+def impute_stats(spark, sf_dir):
+    st = _state(spark, sf_dir)
+    rows = [(c, "numeric", st["medians"].get(c), None) for c in st["num_cols"]]
+    rows += [(c, "categorical", None, st["modes"].get(c)) for c in st["cat_cols"]]
+    df = spark.createDataFrame(rows, "column_name string, kind string, median double, mode string")
+    return df.select("column_name", "kind", C.sig("median", 10).alias("median"), "mode")
+
+
+def _imputed(spark, sf_dir):
+    st = _state(spark, sf_dir)
+    t = cleaning.clean_sentinels(_all_rows(spark, sf_dir))
+    x = t.select(S.KEY, "split", *st["num_cols"], *st["cat_cols"])
+    return features.impute(features.clip_fitted(x, st), st), st
+
+
+@query
+def imputed_rows(spark, sf_dir):
+    x, st = _imputed(spark, sf_dir)
+    return x.select(S.KEY, "split", *[C.sig(c, 10).alias(c) for c in st["num_cols"]], *st["cat_cols"])
+
+
+@query
+def scale_stats(spark, sf_dir):
+    st = _state(spark, sf_dir)
+    rows = [(c, st["means"][c], st["stds"][c]) for c in st["num_cols"]]
+    df = spark.createDataFrame(rows, "column_name string, mean double, std double")
+    return df.select("column_name", C.sig("mean", 9).alias("mean"), C.sig("std", 9).alias("std"))
+
+
+@query
+def scaled_rows(spark, sf_dir):
+    x, st = _imputed(spark, sf_dir)
+    s = features.scale(x.select(S.KEY, "split", *st["num_cols"]), st)
+    return s.select(S.KEY, "split", *[C.sig(c, 8).alias(c) for c in st["num_cols"]])
+
+
+@query
+def onehot_long(spark, sf_dir):
+    x, st = _imputed(spark, sf_dir)
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("category")) for c in st["cat_cols"]]
+    long = x.select(S.KEY, "split", F.explode(F.array(*items)).alias("kv")).select(S.KEY, "split", "kv.*")
+    cats = spark.createDataFrame([(c, v) for c in st["cat_cols"] for v in st["categories"][c]],
+                                 "column_name string, category string")
+    # the category list is the fitted encoder vocabulary (bounded by MAX_CATEGORIES)
+    return long.join(F.broadcast(cats), ["column_name", "category"], "left_semi")
+
+
+@query
+def feature_catalogue(spark, sf_dir):
+    st = _state(spark, sf_dir)
+    rows = [(i, name, c, v, "numeric" if v is None else "one_hot")
+            for i, (name, c, v) in enumerate(features.feature_names(st))]
+    return spark.createDataFrame(
+        rows, "idx int, feature_name string, column_name string, category string, block string")
+
+
+@query
+def covariance_pairs(spark, sf_dir):
+    x, st = _imputed(spark, sf_dir)
+    s = features.scale(x.where("split = 'train'").select(*st["num_cols"]), st)
+    return features.covariance_pairs(s, st["num_cols"]).select(
+        "col_a", "col_b", "n", C.sig("cov", 8).alias("cov"))
