@@ -347,3 +347,92 @@ register("covariance_pairs", fq("\nUNION ALL\n".join(
     f"SELECT '{NUM[i]}' AS col_a, '{NUM[j]}' AS col_b, count(*) AS n, "
     f"{sig_sql(f'covar_pop({NUM[i]}, {NUM[j]})', 8)} AS cov FROM sc_all WHERE split = 'train'"
     for i in range(len(NUM)) for j in range(i + 1))))
+
+# ------------------------------------------------ evaluation on a fixed score
+EVAL_SCORE = "-1.5 + -1.2*EXT_SOURCE_1 + 0.6*CNT_CHILDREN + 0.3*CNT_FAM_MEMBERS + 0.3*AMT_GOODS_PRICE"
+
+
+def eq(body: str) -> str:
+    return q(body, _fe_ctes() + f""",
+fixed AS (SELECT SK_ID_CURR, TARGET, {EVAL_SCORE} AS score,
+                 CAST(({EVAL_SCORE}) > 0 AS INTEGER) AS prediction
+          FROM sc_all WHERE split = 'test'),
+cnt AS (SELECT CAST(count(*) FILTER (WHERE TARGET=1 AND prediction=1) AS BIGINT) AS tp,
+               CAST(count(*) FILTER (WHERE TARGET=0 AND prediction=1) AS BIGINT) AS fp,
+               CAST(count(*) FILTER (WHERE TARGET=1 AND prediction=0) AS BIGINT) AS fn,
+               CAST(count(*) FILTER (WHERE TARGET=0 AND prediction=0) AS BIGINT) AS tn FROM fixed)""")
+
+
+def dv(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0.0)"
+
+
+register("linear_score", eq(f"""
+SELECT SK_ID_CURR, TARGET, {sig_sql('score', 8)} AS score, prediction, {sig_sql('abs(score)', 8)} AS confidence
+FROM fixed"""))
+
+register("confusion_matrix", eq("""
+SELECT g.actual, g.predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(actual, predicted)
+LEFT JOIN (SELECT CAST(TARGET AS INTEGER) AS actual, prediction AS predicted, count(*) AS n
+           FROM fixed GROUP BY ALL) c USING (actual, predicted)
+ORDER BY 1, 2"""))
+
+register("binary_metrics", eq(f"""
+SELECT {dv('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {dv('tp', 'tp + fp')} AS precision,
+       {dv('tp', 'tp + fn')} AS recall, {dv('2 * tp', '2 * tp + fp + fn')} AS f1
+FROM cnt"""))
+
+register("roc_auc", eq("""
+SELECT CAST(sum(CAST(pos AS HUGEINT) * (2 * below + neg)) AS DOUBLE) / CAST(2 * any_value(P) * any_value(N) AS DOUBLE) AS auc,
+       CAST(any_value(P) AS BIGINT) AS n_pos, CAST(any_value(N) AS BIGINT) AS n_neg
+FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT score + 0.0 AS s, sum(CASE WHEN TARGET = 1 THEN 1 ELSE 0 END) AS pos,
+                   sum(CASE WHEN TARGET = 0 THEN 1 ELSE 0 END) AS neg FROM fixed GROUP BY 1)),
+     (SELECT sum(CASE WHEN TARGET = 1 THEN 1 ELSE 0 END) AS P, sum(CASE WHEN TARGET = 0 THEN 1 ELSE 0 END) AS N FROM fixed)"""))
+
+register("classification_report", eq(f"""
+SELECT * FROM (
+  SELECT 'No Default' AS class_name, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM m
+  UNION ALL SELECT 'Default', p1, r1, f1, s1 FROM m
+  UNION ALL SELECT 'accuracy', acc, acc, acc, acc FROM m
+  UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 FROM m
+  UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / (s0 + s1), (r0 * s0 + r1 * s1) / (s0 + s1),
+                   (f0 * s0 + f1 * s1) / (s0 + s1), s0 + s1 FROM m)""".replace("FROM m", f"""FROM (
+    SELECT {dv('tn', 'tn + fn')} AS p0, {dv('tn', 'tn + fp')} AS r0, {dv('2 * tn', '2 * tn + fn + fp')} AS f0,
+           CAST(tn + fp AS DOUBLE) AS s0,
+           {dv('tp', 'tp + fp')} AS p1, {dv('tp', 'tp + fn')} AS r1, {dv('2 * tp', '2 * tp + fp + fn')} AS f1,
+           CAST(tp + fn AS DOUBLE) AS s1, {dv('tp + tn', 'tp + fp + fn + tn')} AS acc FROM cnt) m""")))
+
+# -------------------------------------------------- subsample, applicants
+SUB = quota_sql("train", S.SUBSAMPLE_SALT, 1, 20, False, "sub_pick")
+register("stratified_subsample", q("SELECT SK_ID_CURR, TARGET FROM sub_pick WHERE picked", SUB))
+register("class_weights", q("""
+SELECT TARGET, n, CAST(total AS DOUBLE) / (k * n) AS weight
+FROM (SELECT TARGET, count(*) AS n FROM sub_pick WHERE picked GROUP BY TARGET),
+     (SELECT count(*) AS total, count(DISTINCT TARGET) AS k FROM sub_pick WHERE picked)
+ORDER BY TARGET""", SUB))
+
+register("aligned_applicants", q("""
+SELECT SK_ID_CURR, CAST(NULL AS VARCHAR) AS NAME_CONTRACT_TYPE, CODE_GENDER,
+       CAST(NULL AS INTEGER) AS CNT_CHILDREN, AMT_INCOME_TOTAL, CAST(NULL AS DOUBLE) AS AMT_CREDIT,
+       CAST(NULL AS DOUBLE) AS AMT_ANNUITY, CAST(NULL AS DOUBLE) AS AMT_GOODS_PRICE,
+       CAST(NULL AS VARCHAR) AS NAME_INCOME_TYPE, CAST(NULL AS VARCHAR) AS NAME_EDUCATION_TYPE,
+       CAST(NULL AS VARCHAR) AS NAME_FAMILY_STATUS, CAST(NULL AS VARCHAR) AS NAME_HOUSING_TYPE,
+       CAST(-(AGE_YEARS * 365) AS INTEGER) AS DAYS_BIRTH,
+       CAST(nullif(-(YEARS_EMPLOYED * 365), 365243) AS INTEGER) AS DAYS_EMPLOYED,
+       CAST(NULL AS DOUBLE) AS CNT_FAM_MEMBERS, CAST(NULL AS INTEGER) AS REGION_RATING_CLIENT,
+       CAST(NULL AS VARCHAR) AS WEEKDAY_APPR_PROCESS_START, CAST(NULL AS DOUBLE) AS EXT_SOURCE_1,
+       CAST(NULL AS DOUBLE) AS EXT_SOURCE_2, CAST(NULL AS DOUBLE) AS EXT_SOURCE_3
+FROM (SELECT SK_ID_CURR, AMT_INCOME_TOTAL, CODE_GENDER,
+             CAST(floor(-DAYS_BIRTH / 365) AS INTEGER) AS AGE_YEARS,
+             CAST(CASE WHEN DAYS_EMPLOYED = 365243 THEN NULL ELSE floor(-DAYS_EMPLOYED / 365) END AS INTEGER) AS YEARS_EMPLOYED
+      FROM test)"""))
+
+register("pipeline_stage_counts", fq(f"""
+SELECT count(*) AS n_rows, CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train,
+       CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test,
+       {len(NUM)} AS n_numeric_features, {len(CAT)} AS n_categorical_features,
+       CAST({len(NUM)} + (SELECT count(*) FROM cats) AS INTEGER) AS encoded_width,
+       CAST(sum({" + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in NUM + CAT)}) AS BIGINT) AS missing_after_imputation
+FROM imp_all"""))

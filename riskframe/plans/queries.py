@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions import columns as C
-from riskframe.operators import cleaning, explore, features, profile, sampling
+from riskframe.operators import cleaning, evaluate, explore, features, model, profile, sampling
+from riskframe.sources import applicants
 from riskframe.plans.context import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +261,99 @@ def covariance_pairs(spark, sf_dir):
     s = features.scale(x.where("split = 'train'").select(*st["num_cols"]), st)
     return features.covariance_pairs(s, st["num_cols"]).select(
         "col_a", "col_b", "n", C.sig("cov", 8).alias("cov"))
+
+
+# ------------------------------------------------ evaluation on a fixed score
+# A declared linear score over the scaled numeric features (not a fitted
+# model): it lets the evaluation operators be checked exactly against SQL.
+EVAL_INTERCEPT = -1.5
+EVAL_WEIGHTS = {"EXT_SOURCE_1": -1.2, "CNT_CHILDREN": 0.6, "CNT_FAM_MEMBERS": 0.3,
+                "AMT_GOODS_PRICE": 0.3}
+
+
+def _fixed_scores(spark, sf_dir):
+    x, st = _imputed(spark, sf_dir)
+    s = features.scale(x.where("split = 'test'").select(S.KEY, *st["num_cols"]), st)
+    labels = prepared(spark, sf_dir).test.select(S.KEY, S.LABEL)
+    score = F.lit(EVAL_INTERCEPT)
+    for c, w in EVAL_WEIGHTS.items():
+        score = score + F.lit(w) * F.col(c)
+    scored = s.select(S.KEY, score.alias("score")).join(labels, S.KEY)
+    return evaluate.score_columns(scored, "score")
+
+
+@query
+def linear_score(spark, sf_dir):
+    return _fixed_scores(spark, sf_dir).select(
+        S.KEY, S.LABEL, C.sig("score", 8).alias("score"), "prediction",
+        C.sig("confidence", 8).alias("confidence"))
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    return evaluate.confusion_matrix(_fixed_scores(spark, sf_dir), S.LABEL, "prediction")
+
+
+@query
+def binary_metrics(spark, sf_dir):
+    return evaluate.binary_metrics(_fixed_scores(spark, sf_dir), S.LABEL, "prediction")
+
+
+@query
+def roc_auc(spark, sf_dir):
+    return evaluate.roc_auc(_fixed_scores(spark, sf_dir), S.LABEL, "score")
+
+
+@query
+def classification_report(spark, sf_dir):
+    return evaluate.classification_report(_fixed_scores(spark, sf_dir), S.LABEL, "prediction")
+
+
+# -------------------------------------------------- subsample, applicants
+def _subsample(spark, sf_dir):
+    t = prepared(spark, sf_dir).train
+    return sampling.stratified_subsample(t, S.LABEL, S.KEY, S.SUBSAMPLE_FRACTION, S.SUBSAMPLE_SALT)
+
+
+@query
+def stratified_subsample(spark, sf_dir):
+    return _subsample(spark, sf_dir).select(S.KEY, S.LABEL)
+
+
+@query
+def class_weights(spark, sf_dir):
+    return model.balanced_weights(_subsample(spark, sf_dir), S.LABEL)
+
+
+def _applicant_forms(spark, sf_dir):
+    """Partial applicant records derived from the test rows: four form fields
+    in form units plus one field the model does not know."""
+    t = prepared(spark, sf_dir).test
+    return t.select(
+        S.KEY, "AMT_INCOME_TOTAL", "CODE_GENDER",
+        F.floor(-F.col("DAYS_BIRTH") / 365).cast("int").alias("AGE_YEARS"),
+        F.when(F.col("DAYS_EMPLOYED") == S.DAYS_EMPLOYED_SENTINEL, F.lit(None))
+        .otherwise(F.floor(-F.col("DAYS_EMPLOYED") / 365)).cast("int").alias("YEARS_EMPLOYED"),
+        F.lit("n/a").alias("REFERRAL_NOTE"))
+
+
+@query
+def aligned_applicants(spark, sf_dir):
+    forms = applicants.form_to_columns(_applicant_forms(spark, sf_dir))
+    template = prepared(spark, sf_dir).train.drop(S.LABEL)
+    return applicants.align_to_schema(forms, template, keep=[S.KEY])
+
+
+@query
+def pipeline_stage_counts(spark, sf_dir):
+    x, st = _imputed(spark, sf_dir)
+    feats = st["num_cols"] + st["cat_cols"]
+    missing = sum((F.col(c).isNull().cast("bigint") for c in feats[1:]), F.col(feats[0]).isNull().cast("bigint"))
+    width = len(features.feature_names(st))
+    return x.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).cast("bigint").alias("n_train"),
+                 F.sum(F.when(F.col("split") == "test", 1).otherwise(0)).cast("bigint").alias("n_test"),
+                 F.lit(len(st["num_cols"])).alias("n_numeric_features"),
+                 F.lit(len(st["cat_cols"])).alias("n_categorical_features"),
+                 F.lit(width).alias("encoded_width"),
+                 F.sum(missing).cast("bigint").alias("missing_after_imputation"))

@@ -47,6 +47,12 @@ def compare(spark, con, name, spark_fn, sql, sf_dir, show=5):
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     problems = []
+    fam = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+           "boolean": "BOOLEAN", "smallint": "SMALLINT", "tinyint": "TINYINT", "float": "FLOAT"}
+    d_types = dict(zip(d_cols, [str(d[1]) for d in res.description]))
+    for c, t in sdf.dtypes:
+        if c in d_types and fam.get(t, t.upper()) != d_types[c].upper():
+            problems.append(f"type of {c}: spark={t} duck={d_types[c]}")
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns differ: spark={sorted(s_cols)} duck={sorted(d_cols)}")
     if len(s_rows) != len(d_rows):
