@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,24 +159,47 @@ def one_hot(df: DataFrame, state: dict, prefix: str = "oh") -> tuple[DataFrame,
     return df.select("*", *exprs), names
 
 
+def _num_expr(c: str, state: dict, present: bool, apply_clip: bool) -> F.Column:
+    x = F.col(c).cast("double") if present else F.lit(None).cast("double")
+    if c == "DAYS_EMPLOYED":
+        x = F.nullif(x, F.lit(float(S.DAYS_EMPLOYED_SENTINEL)))
+    if apply_clip and c in state["fences"]:
+        q1, q3 = state["fences"][c]
+        f = state["factor"]
+        x = clip(x, F.lit(q1 - f * (q3 - q1)), F.lit(q3 + f * (q3 - q1)))
+    if state["medians"].get(c) is not None:
+        x = F.coalesce(x, F.lit(state["medians"][c]))
+    if state["means"].get(c) is not None:
+        x = (x - F.lit(state["means"][c])) / F.lit(state["stds"][c] or 1.0)
+    return F.coalesce(x, F.lit(0.0))
+
+
+def _cat_expr(c: str, state: dict, present: bool) -> F.Column:
+    x = F.col(c).cast("string") if present else F.lit(None).cast("string")
+    if c == "CODE_GENDER":
+        x = F.nullif(x, F.lit(S.GENDER_SENTINEL))
+    if state["modes"].get(c) is not None:
+        x = F.coalesce(x, F.lit(state["modes"][c]))
+    return x
+
+
+def feature_vector(df: DataFrame, state: dict, apply_clip: bool = True) -> F.Column:
+    """One dense vector expression for raw rows: sentinels -> NULL, clip,
+    impute, scale, one-hot (unseen / NULL -> zeros); training columns missing
+    from ``df`` count as NULL (FE5, FE6, PRJ9). No intermediate columns, no
+    shuffle: the whole preparation is one projection."""
+    have = set(df.columns)
+    parts = [_num_expr(c, state, c in have, apply_clip) for c in state["num_cols"]]
+    for c in state["cat_cols"]:
+        x = _cat_expr(c, state, c in have)
+        parts += [F.coalesce((x == F.lit(v)).cast("double"), F.lit(0.0)) for v in state["categories"][c]]
+    return array_to_vector(F.array(*parts))
+
+
 def prepared_features(df: DataFrame, state: dict, apply_clip: bool = True,
-                      output_col: str = "features", keep: list[str] | None = None) -> DataFrame:
-    """Raw rows -> ``features`` vector: sentinels, clip, impute, scale, one-hot,
-    assemble (FE5, FE6). Missing training columns are added as NULL first."""
-    keep = [c for c in (keep or []) if c in df.columns]
-    cols = state["num_cols"] + state["cat_cols"]
-    x = df.select(*keep, *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols])
-    x = clean_sentinels(x)
-    if apply_clip:
-        x = clip_fitted(x, state)
-    else:
-        x = x.select(*[F.col(c).cast("double").alias(c) if c in state["num_cols"] else F.col(c)
-                       for c in x.columns])
-    x = scale(impute(x, state), state)
-    x, oh = one_hot(x, state)
-    assembler = VectorAssembler(inputCols=state["num_cols"] + oh, outputCol=output_col,
-                                handleInvalid="keep")
-    return assembler.transform(x).select(*keep, output_col)
+                      output_col: str = "features") -> DataFrame:
+    """``df`` with the ``features`` vector appended."""
+    return df.withColumn(output_col, feature_vector(df, state, apply_clip))
 
 
 def covariance_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,12 +1,36 @@
-"""Class weights, linear SVM, Platt calibration, PCA and the fitted scoring
-pipeline (ML1-ML7, FE5, FE8, WIN1, WIN2, AGG25-27)."""
+"""Class weights, PCA to a variance target, class-weighted linear SVM, Platt
+calibration and the persisted scoring pipeline (ML1-ML7, FE5, FE8, WIN1,
+WIN2, AGG25-AGG27, SNK1).
+
+Everything distributed is a Spark ML estimator: the covariance behind PCA is
+a tree aggregate of d x d partial Gramians (the d x d eigenproblem runs on the
+driver, bounded by the encoded width), ``LinearSVC`` runs one aggregate pass
+per iteration over the cached training vectors, and the calibration is a
+``LogisticRegression`` over out-of-fold decision values.
+"""
 
 from __future__ import annotations
 
+import json
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+
+from pyspark import keyword_only
+from pyspark.ml import Model, PipelineModel, Transformer
+from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from riskframe import schema as S
+from riskframe.functions.columns import hash_order
 from riskframe.functions.joins import attach_scalars
+from riskframe.operators.features import feature_vector, fit_state
+from riskframe.operators.sampling import stratified_subsample
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -16,3 +40,186 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return (attach_scalars(counts, tot)
             .select(label, "n", (F.col("total").cast("double") / (F.col("k") * F.col("n"))).alias("weight"))
             .orderBy(label))
+
+
+# --------------------------------------------------------------------------
+# Pipeline stages written in Python (persisted with the default params writer)
+class RiskPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Fitted sentinel / clip / impute / scale / one-hot preparation."""
+
+    stateJson = Param(Params._dummy(), "stateJson", "fitted statistics as JSON",
+                      typeConverter=TypeConverters.toString)
+    applyClip = Param(Params._dummy(), "applyClip", "clip to the training fences",
+                      typeConverter=TypeConverters.toBoolean)
+    outputCol = Param(Params._dummy(), "outputCol", "output vector column",
+                      typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, stateJson: str = "{}", applyClip: bool = True, outputCol: str = "features"):
+        super().__init__()
+        self._setDefault(stateJson="{}", applyClip=True, outputCol="features")
+        self._set(**self._input_kwargs)
+
+    def state(self) -> dict:
+        return json.loads(self.getOrDefault(self.stateJson))
+
+    def setApplyClip(self, value: bool) -> "RiskPreprocessorModel":
+        return self._set(applyClip=value)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.getOrDefault(self.outputCol),
+                             feature_vector(df, self.state(), self.getOrDefault(self.applyClip)))
+
+
+class PlattCalibrationModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """``p(default) = 1 / (1 + exp(-(a * margin + b)))`` on the SVM margin."""
+
+    a = Param(Params._dummy(), "a", "slope", typeConverter=TypeConverters.toFloat)
+    b = Param(Params._dummy(), "b", "intercept", typeConverter=TypeConverters.toFloat)
+    rawCol = Param(Params._dummy(), "rawCol", "raw prediction column", typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, a: float = 1.0, b: float = 0.0, rawCol: str = "rawPrediction"):
+        super().__init__()
+        self._setDefault(a=1.0, b=0.0, rawCol="rawPrediction")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        m = vector_to_array(F.col(self.getOrDefault(self.rawCol)))[1]
+        z = F.lit(self.getOrDefault(self.a)) * m + F.lit(self.getOrDefault(self.b))
+        return (df.withColumn("decision", m)
+                .withColumn("p_default", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))))
+
+
+# --------------------------------------------------------------------------
+@dataclass
+class FittedModel:
+    pipeline: PipelineModel
+    state: dict
+    explained: list[float]
+    k: int
+    encoded_width: int
+    n_train_rows: int
+    class_counts: dict
+    reg_param: float
+    svm_iterations: int
+    platt: tuple[float, float]
+    subsample: str | None
+    info: dict = field(default_factory=dict)
+
+
+def choose_k(ratios: list[float], target: float) -> int:
+    """Smallest k whose cumulative ratio exceeds ``target`` (WIN2)."""
+    cum, k = 0.0, 0
+    for r in ratios:
+        if cum <= target:
+            k += 1
+        cum += r
+    return max(1, min(k, len(ratios)))
+
+
+def _fit_svm(train: DataFrame, features: str, label: str, weight: str, reg: float, max_iter: int):
+    svm = LinearSVC(featuresCol=features, labelCol=label, weightCol=weight, regParam=reg,
+                    standardization=False, fitIntercept=True, maxIter=max_iter, tol=1e-6)
+    return svm.fit(train)
+
+
+def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: float = S.SVM_C,
+                 subsample_fraction: str | None = None, folds: int = 5, max_iter: int = 100,
+                 parallel_fits: int = 6, state: dict | None = None) -> FittedModel:
+    """Fit preparation -> centring -> PCA (variance target) -> weighted
+    LinearSVC -> Platt calibration on the raw training rows.
+
+    ``subsample_fraction`` trains the SVM on a stratified subsample (the
+    analysed dashboard uses 0.05 to dodge a quadratic solver); the default
+    trains on every training row, which the distributed solver handles in
+    linear time.
+    """
+    state = state or fit_state(train_raw)
+    prep = RiskPreprocessorModel(stateJson=json.dumps(state), applyClip=True, outputCol="features")
+    x = prep.transform(train_raw.select(S.KEY, S.LABEL, *state["num_cols"], *state["cat_cols"]))
+    scaler = StandardScaler(inputCol="features", outputCol="centered", withMean=True, withStd=False).fit(x)
+    xc = scaler.transform(x)
+    d = len(xc.select("centered").first()[0])
+    pca_full = PCA(k=d, inputCol="centered", outputCol="pca_all").fit(xc)
+    ratios = [float(v) for v in pca_full.explainedVariance]
+    k = choose_k(ratios, variance)
+    slicer = VectorSlicer(inputCol="pca_all", outputCol="pca_features", indices=list(range(k)))
+    base = slicer.transform(pca_full.transform(xc)).select(S.KEY, S.LABEL, "pca_features")
+    if subsample_fraction:
+        base = stratified_subsample(base, S.LABEL, S.KEY, subsample_fraction, S.SUBSAMPLE_SALT)
+    weights = balanced_weights(base, S.LABEL)
+    wrows = {r[S.LABEL]: (r["n"], r["weight"]) for r in weights.collect()}
+    n_train = sum(n for n, _ in wrows.values())
+    reg = 1.0 / (C * n_train)  # sum of balanced weights = n_train
+    wexpr = F.lit(None).cast("double")
+    for c, (_, wt) in wrows.items():
+        wexpr = F.when(F.col(S.LABEL) == c, F.lit(wt)).otherwise(wexpr)
+    train = (base.withColumn("weight", wexpr)
+             .withColumn("label_d", F.col(S.LABEL).cast("double"))
+             .withColumn("fold", F.pmod(hash_order(S.KEY, S.FOLD_SALT), F.lit(folds)))
+             .persist())
+    try:
+        jobs = {"final": train}
+        for f in range(folds):
+            jobs[f] = train.where(F.col("fold") != f)
+        with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
+            futures = {name: pool.submit(_fit_svm, df, "pca_features", "label_d", "weight", reg, max_iter)
+                       for name, df in jobs.items()}
+            models = {name: fut.result() for name, fut in futures.items()}
+        svm = models["final"]
+        # out-of-fold margins -> Platt targets (P+1)/(P+2), 1/(N+2)
+        oof = None
+        for f in range(folds):
+            part = models[f].transform(train.where(F.col("fold") == f)).select(
+                "label_d", vector_to_array("rawPrediction")[1].alias("m"))
+            oof = part if oof is None else oof.unionByName(part)
+        n_pos = wrows.get(1, (0, 0))[0]
+        n_neg = wrows.get(0, (0, 0))[0]
+        t_pos = (n_pos + 1.0) / (n_pos + 2.0)
+        t_neg = 1.0 / (n_neg + 2.0)
+        t = F.when(F.col("label_d") == 1.0, F.lit(t_pos)).otherwise(F.lit(t_neg))
+        soft = oof.select(F.array(F.col("m")).alias("arr"), t.alias("t"))
+        soft = soft.select(F.col("arr"), F.explode(F.array(
+            F.struct(F.lit(1.0).alias("y"), F.col("t").alias("w")),
+            F.struct(F.lit(0.0).alias("y"), (F.lit(1.0) - F.col("t")).alias("w")))).alias("yw"))
+        soft = soft.select(array_to_vector("arr").alias("mf"), "yw.y", "yw.w")
+        lr = LogisticRegression(featuresCol="mf", labelCol="y", weightCol="w", regParam=0.0,
+                                standardization=False, maxIter=100, tol=1e-10).fit(soft)
+        a, b = float(lr.coefficients[0]), float(lr.intercept)
+    finally:
+        train.unpersist()
+    platt = PlattCalibrationModel(a=a, b=b, rawCol="rawPrediction")
+    pipeline = PipelineModel(stages=[prep, scaler, pca_full, slicer, svm.setFeaturesCol("pca_features"),
+                                     platt])
+    return FittedModel(pipeline=pipeline, state=state, explained=ratios, k=k, encoded_width=d,
+                       n_train_rows=n_train, class_counts={c: n for c, (n, _) in wrows.items()},
+                       reg_param=reg, svm_iterations=svm.summary().totalIterations if svm.hasSummary else -1,
+                       platt=(a, b), subsample=subsample_fraction)
+
+
+def score(model: PipelineModel, df: DataFrame, apply_clip: bool = True) -> DataFrame:
+    """Score rows end to end: class (margin > 0), confidence |margin|,
+    calibrated probability of default (ML3-ML6). ``apply_clip=False`` scores
+    like the dashboard's live form, which does not clip new applicants."""
+    stages = list(model.stages)
+    prep = stages[0].copy().setApplyClip(apply_clip)
+    out = PipelineModel(stages=[prep] + stages[1:]).transform(df)
+    return (out.withColumn("prediction", F.col("prediction").cast("int"))
+            .withColumn("confidence", F.abs(F.col("decision"))))
+
+
+def explained_variance_table(spark, ratios: list[float], k: int, width: int,
+                             variance: float = S.PCA_VARIANCE) -> DataFrame:
+    """Per component: ratio, running sum (WIN1), kept flag (WIN2), with the
+    component count and the feature-reduction percent (AGG25, AGG26)."""
+    df = spark.createDataFrame([(i + 1, r) for i, r in enumerate(ratios)],
+                               "component int, explained_ratio double")
+    # d rows (the encoded width): a bounded window without partition key
+    w = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
+    return (df.withColumn("cumulative_ratio", F.sum("explained_ratio").over(w))
+            .withColumn("kept", F.col("component") <= F.lit(k))
+            .withColumn("n_components", F.lit(k))
+            .withColumn("encoded_width", F.lit(width))
+            .withColumn("variance_target", F.lit(variance))
+            .withColumn("reduction_pct", F.round((F.lit(1.0) - F.lit(k) / F.lit(width)) * 100, 1)))

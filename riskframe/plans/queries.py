@@ -357,3 +357,64 @@ def pipeline_stage_counts(spark, sf_dir):
                  F.lit(len(st["cat_cols"])).alias("n_categorical_features"),
                  F.lit(width).alias("encoded_width"),
                  F.sum(missing).cast("bigint").alias("missing_after_imputation"))
+
+
+# ------------------------------------------------------------- fitted model
+def _model(spark, sf_dir):
+    ctx = prepared(spark, sf_dir)
+    return ctx.cached("model", lambda: model.fit_pipeline(ctx.train, state=_state(spark, sf_dir)))
+
+
+@query
+def pca_variance(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    return model.explained_variance_table(spark, m.explained, m.k, m.encoded_width)
+
+
+@query
+def svm_model_config(spark, sf_dir):
+    m = _model(spark, sf_dir)
+    rows = [("kernel", "linear"), ("C", repr(S.SVM_C)), ("class_weight", "balanced"),
+            ("training_rows", str(m.n_train_rows)),
+            ("training_size", "all training rows" if not m.subsample else
+             f"{float(m.subsample) * 100:g}% of training set (stratified)"),
+            ("pca_components", str(m.k)), ("encoded_width", str(m.encoded_width)),
+            ("explained_variance", f"{sum(m.explained[:m.k]):.4f}"),
+            ("reg_param", repr(m.reg_param)), ("svm_iterations", str(m.svm_iterations)),
+            ("platt_a", repr(m.platt[0])), ("platt_b", repr(m.platt[1]))]
+    return spark.createDataFrame(rows, "setting string, value string")
+
+
+def _test_scores(spark, sf_dir):
+    ctx = prepared(spark, sf_dir)
+    m = _model(spark, sf_dir)
+    return model.score(m.pipeline, ctx.test, apply_clip=True)
+
+
+@query
+def svm_test_metrics(spark, sf_dir):
+    s = _test_scores(spark, sf_dir).select(S.LABEL, "prediction", "decision").persist()
+    met = evaluate.binary_metrics(s, S.LABEL, "prediction")
+    auc = evaluate.roc_auc(s, S.LABEL, "decision").select("auc")
+    return met.crossJoin(auc)
+
+
+@query
+def applicant_scores(spark, sf_dir):
+    """Save the fitted pipeline, load it back and score partial applicant
+    records the way the live form does (no clipping)."""
+    from pyspark.ml import PipelineModel
+
+    from riskframe.session import ensure_checkpoint_dir
+    import uuid
+
+    m = _model(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-models/pipeline-{uuid.uuid4().hex}"
+    m.pipeline.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    forms = applicants.form_to_columns(_applicant_forms(spark, sf_dir))
+    template = prepared(spark, sf_dir).train.drop(S.LABEL)
+    aligned = applicants.align_to_schema(forms, template, keep=[S.KEY])
+    out = model.score(loaded, aligned, apply_clip=False)
+    return out.select(S.KEY, "prediction", C.label_text("prediction").alias("prediction_label"),
+                      "confidence", "p_default")
