@@ -135,15 +135,28 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
     trains on every training row, which the distributed solver handles in
     linear time.
     """
+    import time
+    tick = [time.time()]
+    info: dict = {}
+
+    def lap(name):
+        now = time.time()
+        info[name] = round(now - tick[0], 3)
+        tick[0] = now
+
     state = state or fit_state(train_raw)
+    lap("state")
     prep = RiskPreprocessorModel(stateJson=json.dumps(state), applyClip=True, outputCol="features")
     x = prep.transform(train_raw.select(S.KEY, S.LABEL, *state["num_cols"], *state["cat_cols"]))
     scaler = StandardScaler(inputCol="features", outputCol="centered", withMean=True, withStd=False).fit(x)
     xc = scaler.transform(x)
+    lap("scaler")
     d = len(xc.select("centered").first()[0])
+    lap("width")
     pca_full = PCA(k=d, inputCol="centered", outputCol="pca_all").fit(xc)
     ratios = [float(v) for v in pca_full.explainedVariance]
     k = choose_k(ratios, variance)
+    lap("pca")
     slicer = VectorSlicer(inputCol="pca_all", outputCol="pca_features", indices=list(range(k)))
     base = slicer.transform(pca_full.transform(xc)).select(S.KEY, S.LABEL, "pca_features")
     if subsample_fraction:
@@ -151,6 +164,7 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
     weights = balanced_weights(base, S.LABEL)
     wrows = {r[S.LABEL]: (r["n"], r["weight"]) for r in weights.collect()}
     n_train = sum(n for n, _ in wrows.values())
+    lap("weights")
     reg = 1.0 / (C * n_train)  # sum of balanced weights = n_train
     wexpr = F.lit(None).cast("double")
     for c, (_, wt) in wrows.items():
@@ -168,6 +182,7 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
                        for name, df in jobs.items()}
             models = {name: fut.result() for name, fut in futures.items()}
         svm = models["final"]
+        lap("svm_fits")
         # out-of-fold margins -> Platt targets (P+1)/(P+2), 1/(N+2)
         oof = None
         for f in range(folds):
@@ -187,6 +202,7 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
         lr = LogisticRegression(featuresCol="mf", labelCol="y", weightCol="w", regParam=0.0,
                                 standardization=False, maxIter=100, tol=1e-10).fit(soft)
         a, b = float(lr.coefficients[0]), float(lr.intercept)
+        lap("platt")
     finally:
         train.unpersist()
     platt = PlattCalibrationModel(a=a, b=b, rawCol="rawPrediction")
@@ -195,7 +211,7 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
     return FittedModel(pipeline=pipeline, state=state, explained=ratios, k=k, encoded_width=d,
                        n_train_rows=n_train, class_counts={c: n for c, (n, _) in wrows.items()},
                        reg_param=reg, svm_iterations=svm.summary().totalIterations if svm.hasSummary else -1,
-                       platt=(a, b), subsample=subsample_fraction)
+                       platt=(a, b), subsample=subsample_fraction, info=info)
 
 
 def score(model: PipelineModel, df: DataFrame, apply_clip: bool = True) -> DataFrame:

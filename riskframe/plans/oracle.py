@@ -110,6 +110,7 @@ def _missing_sql() -> str:
 
 
 register("missing_profile", q(_missing_sql()))
+register("csv_missing_profile", q(_missing_sql()))
 
 register("split_cover_check", q("""
 SELECT (SELECT count(*) FROM split) AS n_rows,

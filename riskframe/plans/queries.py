@@ -418,3 +418,39 @@ def applicant_scores(spark, sf_dir):
     out = model.score(loaded, aligned, apply_clip=False)
     return out.select(S.KEY, "prediction", C.label_text("prediction").alias("prediction_label"),
                       "confidence", "p_default")
+
+
+@query
+def streamed_applicant_scores(spark, sf_dir):
+    """The applicant forms arrive as files; a Structured Streaming query
+    scores them with the fitted pipeline into a Parquet sink."""
+    import uuid
+
+    from riskframe.session import ensure_checkpoint_dir
+    from riskframe.streaming.scoring import scored_stream, start_scoring
+
+    m = _model(spark, sf_dir)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-stream/{uuid.uuid4().hex}"
+    forms = _applicant_forms(spark, sf_dir)
+    forms.write.mode("overwrite").parquet(f"{base}/incoming")
+    template = prepared(spark, sf_dir).train.drop(S.LABEL)
+    stream = scored_stream(spark, m.pipeline, f"{base}/incoming", forms.schema, template, S.KEY)
+    q = start_scoring(stream, f"{base}/scores", f"{base}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/scores").select(
+        S.KEY, "prediction", C.label_text("prediction").alias("prediction_label"), "confidence", "p_default")
+
+
+@query
+def csv_missing_profile(spark, sf_dir):
+    """The dashboard's input format: the application table as a headed CSV
+    (NULL written as an empty field) scanned back with pandas-style NA tokens
+    and one-pass type inference, then profiled."""
+    import uuid
+
+    from riskframe.session import ensure_checkpoint_dir
+    from riskframe.sources import csv
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-csv/{uuid.uuid4().hex}"
+    csv.write_csv(prepared(spark, sf_dir).table.drop("split"), path)
+    return profile.missing_profile(csv.read_csv(spark, path), S.MISSING_TOP)
