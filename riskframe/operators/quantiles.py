@@ -72,6 +72,8 @@ def order_statistics(df: DataFrame, columns: list[str], ranks_for, by: list[str]
     ``values[(by..., cid)][rank] = value``.
     """
     by = list(by or [])
+    if not columns:
+        return {}, {}
     spark = df.sparkSession
     long = _long_form(df, columns, by)
     by_fields = [df.schema[b] for b in by]
