@@ -67,24 +67,33 @@ def fit_state(train_raw: DataFrame, factor: float = S.IQR_FACTOR) -> dict:
         fences[c] = [q1, q3]
         medians[c] = _interp(_clip_value(a, lo_b, hi_b), _clip_value(b, lo_b, hi_b), frac)
     # categorical value counts: modes (ties -> smallest) and category lists
-    modes, categories = {}, {}
+    modes, categories, onehot_means = {}, {}, {}
     if cat_cols:
         items = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in cat_cols]
         rows = (clean.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
-                .where(F.col("value").isNotNull())
                 .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
                 .limit(MAX_CATEGORIES + 1).collect())
         if len(rows) > MAX_CATEGORIES:
             raise ValueError(f"more than {MAX_CATEGORIES} categories to one-hot encode")
-        per = defaultdict(list)
+        per, nulls = defaultdict(list), defaultdict(int)
         for r in rows:
-            per[r["column_name"]].append((r["value"], r["n"]))
+            if r["value"] is None:
+                nulls[r["column_name"]] += r["n"]
+            else:
+                per[r["column_name"]].append((r["value"], r["n"]))
         for c in cat_cols:
             vals = per.get(c, [])
             modes[c] = min(vals, key=lambda t: (-t[1], t[0]))[0] if vals else None
             categories[c] = sorted(v for v, _ in vals)
+            # one-hot column means after imputation (the mode takes the NULLs):
+            # the centring vector of the encoded matrix, known without a pass
+            n_c = sum(n for _, n in vals) + nulls.get(c, 0)
+            cnt = dict(vals)
+            onehot_means[c] = [(cnt[v] + (nulls.get(c, 0) if v == modes[c] else 0)) / n_c
+                               for v in categories[c]] if n_c else []
     state = dict(num_cols=num_cols, cat_cols=cat_cols, factor=factor, fences=fences,
-                 medians=medians, modes=modes, categories=categories, means={}, stds={})
+                 medians=medians, modes=modes, categories=categories, means={}, stds={},
+                 onehot_means=onehot_means)
     # mean and population std after clipping and imputation
     imp = impute(clip_fitted(clean, state), state)
     if num_cols:
@@ -183,16 +192,24 @@ def _cat_expr(c: str, state: dict, present: bool) -> F.Column:
     return x
 
 
-def feature_vector(df: DataFrame, state: dict, apply_clip: bool = True) -> F.Column:
+def feature_vector(df: DataFrame, state: dict, apply_clip: bool = True,
+                   center: bool = False) -> F.Column:
     """One dense vector expression for raw rows: sentinels -> NULL, clip,
     impute, scale, one-hot (unseen / NULL -> zeros); training columns missing
     from ``df`` count as NULL (FE5, FE6, PRJ9). No intermediate columns, no
-    shuffle: the whole preparation is one projection."""
+    shuffle: the whole preparation is one projection.
+
+    ``center`` subtracts the training mean of every encoded column, as PCA
+    does before projecting: 0 for the scaled numeric block, the category
+    frequency (after imputation) for each one-hot column."""
     have = set(df.columns)
     parts = [_num_expr(c, state, c in have, apply_clip) for c in state["num_cols"]]
     for c in state["cat_cols"]:
         x = _cat_expr(c, state, c in have)
-        parts += [F.coalesce((x == F.lit(v)).cast("double"), F.lit(0.0)) for v in state["categories"][c]]
+        means = state.get("onehot_means", {}).get(c) or [0.0] * len(state["categories"][c])
+        for v, m in zip(state["categories"][c], means):
+            hot = F.coalesce((x == F.lit(v)).cast("double"), F.lit(0.0))
+            parts.append(hot - F.lit(m) if center else hot)
     return array_to_vector(F.array(*parts))
 
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark import keyword_only
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler, VectorSlicer
+from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -29,10 +29,13 @@ from pyspark.sql import Window
 from riskframe import schema as S
 from riskframe.functions.columns import hash_order
 from riskframe.functions.joins import attach_scalars
-from riskframe.operators.features import feature_vector, fit_state
+from riskframe.operators.features import feature_names, feature_vector, fit_state
 from riskframe.operators.sampling import stratified_subsample
 
 
+ROWS_PER_SOLVER_PARTITION = 500_000
+
+
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced class weights ``n / (k * n_c)`` (ML1): one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -53,11 +56,14 @@ class RiskPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable)
                       typeConverter=TypeConverters.toBoolean)
     outputCol = Param(Params._dummy(), "outputCol", "output vector column",
                       typeConverter=TypeConverters.toString)
+    center = Param(Params._dummy(), "center", "subtract the training column means",
+                   typeConverter=TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, stateJson: str = "{}", applyClip: bool = True, outputCol: str = "features"):
+    def __init__(self, stateJson: str = "{}", applyClip: bool = True, outputCol: str = "features",
+                 center: bool = False):
         super().__init__()
-        self._setDefault(stateJson="{}", applyClip=True, outputCol="features")
+        self._setDefault(stateJson="{}", applyClip=True, outputCol="features", center=False)
         self._set(**self._input_kwargs)
 
     def state(self) -> dict:
@@ -68,7 +74,8 @@ class RiskPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn(self.getOrDefault(self.outputCol),
-                             feature_vector(df, self.state(), self.getOrDefault(self.applyClip)))
+                             feature_vector(df, self.state(), self.getOrDefault(self.applyClip),
+                                            self.getOrDefault(self.center)))
 
 
 class PlattCalibrationModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -146,14 +153,12 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
 
     state = state or fit_state(train_raw)
     lap("state")
-    prep = RiskPreprocessorModel(stateJson=json.dumps(state), applyClip=True, outputCol="features")
-    x = prep.transform(train_raw.select(S.KEY, S.LABEL, *state["num_cols"], *state["cat_cols"]))
-    scaler = StandardScaler(inputCol="features", outputCol="centered", withMean=True, withStd=False).fit(x)
-    xc = scaler.transform(x)
-    lap("scaler")
-    d = len(xc.select("centered").first()[0])
-    lap("width")
-    pca_full = PCA(k=d, inputCol="centered", outputCol="pca_all").fit(xc)
+    # centred features: the means come from the fitted statistics, no pass
+    prep = RiskPreprocessorModel(stateJson=json.dumps(state), applyClip=True, outputCol="features",
+                                 center=True)
+    xc = prep.transform(train_raw.select(S.KEY, S.LABEL, *state["num_cols"], *state["cat_cols"]))
+    d = len(feature_names(state))
+    pca_full = PCA(k=d, inputCol="features", outputCol="pca_all").fit(xc)
     ratios = [float(v) for v in pca_full.explainedVariance]
     k = choose_k(ratios, variance)
     lap("pca")
@@ -161,7 +166,10 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
     base = slicer.transform(pca_full.transform(xc)).select(S.KEY, S.LABEL, "pca_features")
     if subsample_fraction:
         base = stratified_subsample(base, S.LABEL, S.KEY, subsample_fraction, S.SUBSAMPLE_SALT)
-    weights = balanced_weights(base, S.LABEL)
+    labels = train_raw.select(S.KEY, S.LABEL)
+    if subsample_fraction:
+        labels = stratified_subsample(labels, S.LABEL, S.KEY, subsample_fraction, S.SUBSAMPLE_SALT)
+    weights = balanced_weights(labels, S.LABEL)
     wrows = {r[S.LABEL]: (r["n"], r["weight"]) for r in weights.collect()}
     n_train = sum(n for n, _ in wrows.values())
     lap("weights")
@@ -171,8 +179,12 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
         wexpr = F.when(F.col(S.LABEL) == c, F.lit(wt)).otherwise(wexpr)
     train = (base.withColumn("weight", wexpr)
              .withColumn("label_d", F.col(S.LABEL).cast("double"))
-             .withColumn("fold", F.pmod(hash_order(S.KEY, S.FOLD_SALT), F.lit(folds)))
-             .persist())
+             .withColumn("fold", F.pmod(hash_order(S.KEY, S.FOLD_SALT), F.lit(folds))))
+    # Each solver iteration is one job over every partition: keep about
+    # ROWS_PER_SOLVER_PARTITION rows per partition (never more partitions than
+    # the input has; a large input keeps its own split count).
+    parts = max(1, min(train.rdd.getNumPartitions(), -(-n_train // ROWS_PER_SOLVER_PARTITION)))
+    train = train.coalesce(parts).persist()
     try:
         jobs = {"final": train}
         for f in range(folds):
@@ -206,8 +218,7 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
     finally:
         train.unpersist()
     platt = PlattCalibrationModel(a=a, b=b, rawCol="rawPrediction")
-    pipeline = PipelineModel(stages=[prep, scaler, pca_full, slicer, svm.setFeaturesCol("pca_features"),
-                                     platt])
+    pipeline = PipelineModel(stages=[prep, pca_full, slicer, svm.setFeaturesCol("pca_features"), platt])
     return FittedModel(pipeline=pipeline, state=state, explained=ratios, k=k, encoded_width=d,
                        n_train_rows=n_train, class_counts={c: n for c, (n, _) in wrows.items()},
                        reg_param=reg, svm_iterations=svm.summary().totalIterations if svm.hasSummary else -1,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe import schema as S
@@ -20,6 +21,27 @@ from riskframe.sources.applications import applications
 
 _CONTEXTS: dict[tuple[int, str], "Prepared"] = {}
 
+# A table this small (about a few GB at 21 columns) may be cached whole.
+SPREAD_MAX_ROWS = 20_000_000
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small table at least one partition per core.
+
+    A large table is read as many file splits and needs nothing. A small one
+    may come back as one or two files (AQE coalesces a small join output),
+    which would leave every later query in one task; such a table (bounded by
+    ``SPREAD_MAX_ROWS``; the parquet row count comes from file footers) is
+    spread round-robin (deterministic: rows are sorted before the
+    round-robin) and cached once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores or df.count() > SPREAD_MAX_ROWS:
+        return df
+    out = df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
 
 @dataclass
 class Prepared:
@@ -50,7 +72,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
         # One write of the joined table; the split thresholds are then found
         # from two of its columns, and ``split`` is a per-row comparison with
         # literal thresholds (no second write, no shuffle of the rows).
-        base = materialize(applications(spark, sf_dir), "applications")
+        base = spread_small(materialize(applications(spark, sf_dir), "applications"))
         table = stratified_split(base, S.LABEL, S.KEY, S.TEST_FRACTION, S.SPLIT_SALT)
         ctx = Prepared(spark, sf_dir, table)
         _CONTEXTS[key] = ctx

@@ -4,7 +4,7 @@ inference (SRC1), and a clear error for a missing path (SRC2).
 Spark's ``nullValue`` takes one string and an ``NA`` token makes a numeric
 column infer as string, so the file is read as strings, the tokens are
 nulled, and each column's type is chosen by one aggregate pass that counts,
-per column, the non-null values that do not cast to int / long / double.
+per column, the non-null values that do not parse as int / long / double.
 With an explicit schema the inference pass is skipped.
 """
 
@@ -44,26 +44,37 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     if schema is not None:
         return cleaned.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
     types = infer_types(cleaned)
-    return cleaned.select(*[F.col(c).cast(types[c]).alias(c) for c in names])
+    return cleaned.select(*[F.trim(F.col(c)).cast(types[c]).alias(c)
+                            if not isinstance(types[c], T.StringType) else F.col(c) for c in names])
+
+
+INT_RE = r"^[+-]?[0-9]{1,18}$"
+FLOAT_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|Infinity)$"
 
 
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
-    """Smallest of int / bigint / double every non-null value casts to, else
-    string: one aggregate job for all columns."""
+    """Smallest of int / bigint / double every non-null value parses as,
+    else string: one aggregate job for all columns, pattern tests only (a
+    failing cast would raise and be caught per value, far slower)."""
     checks = []
     for i, c in enumerate(df.columns):
+        x = F.trim(F.col(c))
         present = F.col(c).isNotNull()
-        for t in ("int", "bigint", "double"):
-            bad = present & F.expr(f"try_cast(`{c}` AS {t})").isNull()
-            checks.append(F.sum(F.when(bad, 1).otherwise(0)).alias(f"{t}_{i}"))
+        integral = x.rlike(INT_RE)
+        checks += [
+            F.sum(F.when(present & ~integral, 1).otherwise(0)).alias(f"nonint_{i}"),
+            F.sum(F.when(present & ~x.rlike(FLOAT_RE), 1).otherwise(0)).alias(f"nonfloat_{i}"),
+            F.min(F.when(integral, x.cast("bigint"))).alias(f"min_{i}"),
+            F.max(F.when(integral, x.cast("bigint"))).alias(f"max_{i}"),
+        ]
     row = df.agg(*checks).first()
     out: dict[str, T.DataType] = {}
     for i, c in enumerate(df.columns):
-        if not row[f"int_{i}"]:
-            out[c] = T.IntegerType()
-        elif not row[f"bigint_{i}"]:
-            out[c] = T.LongType()
-        elif not row[f"double_{i}"]:
+        if not row[f"nonint_{i}"]:
+            lo, hi = row[f"min_{i}"], row[f"max_{i}"]
+            fits = lo is None or (lo >= -(2 ** 31) and hi <= 2 ** 31 - 1)
+            out[c] = T.IntegerType() if fits else T.LongType()
+        elif not row[f"nonfloat_{i}"]:
             out[c] = T.DoubleType()
         else:
             out[c] = T.StringType()
