@@ -25,3 +25,14 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     has a proven size bound; the cross join of n rows with one row is n rows.
     """
     return df.crossJoin(F.broadcast(one_row))
+
+
+def small_frame(df: DataFrame, max_rows: int) -> DataFrame:
+    """Evaluate a small result once (e.g. per-group statistics that several
+    later steps join) and return it as a local table with a proven size
+    bound; raises if ``df`` has more than ``max_rows`` rows. The returned
+    frame is safe to ``F.broadcast`` and is not recomputed per use."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows, got more")
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import label_text, rate, sig
-from riskframe.functions.joins import attach_scalars, bounded_broadcast
+from riskframe.functions.joins import attach_scalars, small_frame
 from riskframe.operators.quantiles import exact_quantiles
 
 MAX_GROUPS_BROADCAST = 10_000
@@ -108,7 +108,7 @@ def equal_width_histogram(df: DataFrame, value: F.Column, by: str, bins: int) ->
                      .otherwise(F.col("xmin")).alias("lo"),
                      F.when(F.col("xmin") == F.col("xmax"), F.col("xmax") + 0.5)
                      .otherwise(F.col("xmax")).alias("hi")))
-    stats_b = bounded_broadcast(stats, MAX_GROUPS_BROADCAST)
+    stats_b = F.broadcast(small_frame(stats, MAX_GROUPS_BROADCAST))
     width = (F.col("hi") - F.col("lo")) / F.lit(bins)
     b = F.least(F.floor((F.col("x") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))),
                 F.lit(bins - 1)).cast("int")
@@ -147,7 +147,7 @@ def box_summary(df: DataFrame, value: str, by: str, factor: float = 1.5) -> Data
                 F.min(F.when(inside, x)).alias("whisker_lo"),
                 F.max(F.when(inside, x)).alias("whisker_hi"),
                 F.sum(F.when(inside, 0).otherwise(1)).cast("bigint").alias("n_outliers")))
-    return qdf.join(agg, by).select(by, "n", "q1", "median", "q3", "iqr", "whisker_lo",
+    return F.broadcast(qdf).join(agg, by).select(by, "n", "q1", "median", "q3", "iqr", "whisker_lo",
                                    "whisker_hi", "n_outliers")
 
 
@@ -187,46 +187,49 @@ def p_quantile_filter(df: DataFrame, column: str, p: float) -> tuple[DataFrame,
     return df.where(F.col(column) < F.lit(v)), v
 
 
-def kde_density(df: DataFrame, value: str, by: str, grid_points: int = 100, cut: float = 2.0,
+def kde_density(df: DataFrame, columns: list[str], by: str, grid_points: int = 100, cut: float = 2.0,
                 bins_per_bandwidth: int = 64, max_bins: int = 1 << 20) -> DataFrame:
-    """Gaussian KDE per group on a grid, Scott bandwidth, as a violin plot uses
-    it (AGG19).
+    """Gaussian KDE per (column, group) on a grid, Scott bandwidth, as a
+    violin plot uses it (AGG19).
 
     Bandwidth ``h = std_samp * n^(-1/5)``; grid: ``grid_points`` points from
     ``min - cut*h`` to ``max + cut*h``. Rows are first reduced to bins of width
-    ``h / bins_per_bandwidth`` (count and mean per bin; error of order
-    ``(1/bins_per_bandwidth)^2 / 24`` relative), so the grid evaluation costs
-    bins x grid, not rows x grid. The bin count grows like ``n^(1/5)``.
-    Output: (by, grid_index, x, density).
+    ``h / bins_per_bandwidth`` (count and mean per bin; relative error of
+    order ``(1/bins_per_bandwidth)^2 / 24``), so the grid evaluation costs
+    bins x grid, not rows x grid; the bin count grows like ``n^(1/5)``. All
+    columns go through one statistics job and one binning pass.
+    Output: (column_name, by, grid_index, x, density).
     """
-    x = F.col(value).cast("double")
-    base = df.select(F.col(by), x.alias("x")).where(F.col(by).isNotNull() & F.col("x").isNotNull())
-    stats = (base.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-                                  F.min("x").alias("xmin"), F.max("x").alias("xmax"))
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns]
+    base = (df.select(F.col(by), F.explode(F.array(*items)).alias("kv")).select(by, "kv.*")
+            .where(F.col(by).isNotNull() & F.col("x").isNotNull()))
+    keys = ["column_name", by]
+    stats = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
+                                     F.min("x").alias("xmin"), F.max("x").alias("xmax"))
              .where(F.col("n") >= 2)
              .withColumn("h", scott_bandwidth(F.col("n"), F.col("sd")))
              .where(F.col("h") > 0))
     stats = stats.withColumn(
         "w", F.greatest(F.col("h") / F.lit(float(bins_per_bandwidth)),
                         (F.col("xmax") - F.col("xmin")) / F.lit(float(max_bins))))
-    stats_b = bounded_broadcast(stats, MAX_GROUPS_BROADCAST)
-    binned = (base.join(stats_b.select(by, "xmin", "w"), by)
-              .groupBy(by, F.floor((F.col("x") - F.col("xmin")) / F.col("w")).alias("bin"))
+    stats_b = F.broadcast(small_frame(stats, MAX_GROUPS_BROADCAST))
+    binned = (base.join(stats_b.select(*keys, "xmin", "w"), keys)
+              .groupBy(*keys, F.floor((F.col("x") - F.col("xmin")) / F.col("w")).alias("bin"))
               .agg(F.count(F.lit(1)).alias("c"), F.avg("x").alias("m")))
     lo = F.col("xmin") - F.lit(cut) * F.col("h")
     hi = F.col("xmax") + F.lit(cut) * F.col("h")
     grid = stats_b.select(
-        by, "n", "h", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("grid_index"),
+        *keys, "n", "h", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("grid_index"),
         lo.alias("lo"), hi.alias("hi"))
     grid = grid.withColumn(
         "gx", F.col("grid_index") * ((F.col("hi") - F.col("lo")) / F.lit(grid_points - 1)) + F.col("lo"))
     z = (F.col("gx") - F.col("m")) / F.col("h")
     # grid is groups x grid_points rows: bounded, broadcast as the build side.
-    dens = (binned.join(F.broadcast(grid.select(by, "grid_index", "gx", "n", "h")), by)
-            .groupBy(by, "grid_index", "gx", "n", "h")
+    dens = (binned.join(F.broadcast(grid.select(*keys, "grid_index", "gx", "n", "h")), keys)
+            .groupBy(*keys, "grid_index", "gx", "n", "h")
             .agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s")))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
-    return dens.select(by, "grid_index", F.col("gx").alias("x"), (F.col("s") / norm).alias("density"))
+    return dens.select(*keys, "grid_index", F.col("gx").alias("x"), (F.col("s") / norm).alias("density"))
 
 
 def scott_bandwidth(n: F.Column, sd: F.Column) -> F.Column:
@@ -253,6 +256,7 @@ def violin_summary(df: DataFrame, columns: list[str], by: str) -> DataFrame:
                       T.StructField(by, df.schema[by].dataType),
                       T.StructField("q1", T.DoubleType()), T.StructField("median", T.DoubleType()),
                       T.StructField("q3", T.DoubleType())]))
-    return (stats.join(qdf, ["column_name", by])
+    # qdf holds one row per (column, group) built on the driver: broadcast it
+    return (stats.join(F.broadcast(qdf), ["column_name", by])
             .select("column_name", by, label_text(by).alias("label"), "n", "q1", "median", "q3",
                     "vmin", "vmax", scott_bandwidth(F.col("n"), F.col("sd")).alias("bandwidth")))

@@ -146,13 +146,9 @@ def score_violin(spark, sf_dir):
 @query
 def score_density(spark, sf_dir):
     t = prepared(spark, sf_dir).train
-    out = None
-    for c in S.EXT_SCORE_COLUMNS:
-        d = explore.kde_density(t, c, S.LABEL, S.KDE_GRID_POINTS, S.KDE_CUT).select(
-            F.lit(c).alias("column_name"), S.LABEL, "grid_index",
-            C.sig("x", 10).alias("x"), C.sig("density", 8).alias("density"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    d = explore.kde_density(t, S.EXT_SCORE_COLUMNS, S.LABEL, S.KDE_GRID_POINTS, S.KDE_CUT)
+    return d.select("column_name", S.LABEL, "grid_index",
+                    C.sig("x", 10).alias("x"), C.sig("density", 8).alias("density"))
 
 
 @query
