@@ -9,7 +9,7 @@ the whole column. Here each order statistic is found by histogram narrowing:
   scale (2^16 buckets) in one aggregate job; the per-bucket counts give the
   group sizes, hence the ranks to find, and the bucket holding each rank;
 * later passes look only inside the bucket that holds a wanted rank: when it
-  has at most ``fetch_limit`` rows its distinct values are fetched with their
+  has at most ``fetch_limit`` (10 k) rows its distinct values are fetched with their
   counts and the rank is read off exactly, otherwise it is bucketed again,
   linearly between its own min and max (the min and max always fall in
   different buckets, so every pass makes progress).
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 LOG_BUCKETS = 1 << 16
 LINEAR_BUCKETS = 1 << 12
-FETCH_LIMIT = 50_000
+FETCH_LIMIT = 10_000
 LOG_SPAN = 710.0  # |sign(v) * log1p(|v|)| < 710 for every finite double
 MAX_SEARCHES = 100_000
 MAX_PASSES = 200

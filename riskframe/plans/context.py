@@ -66,8 +66,10 @@ class Prepared:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
     ctx = _CONTEXTS.get(key)
+    if ctx is not None and ctx.spark is not spark:
+        ctx = None
     if ctx is None:
         # One write of the joined table; the split thresholds are then found
         # from two of its columns, and ``split`` is a per-row comparison with

@@ -27,7 +27,7 @@ def _data(kind, n, rng):
 
 
 @pytest.mark.parametrize("kind", ["normal", "heavy", "spread", "ints"])
-@pytest.mark.parametrize("fetch_limit", [50_000, 7])
+@pytest.mark.parametrize("fetch_limit", [10_000, 7])
 def test_exact_quantiles_match_numpy(spark, kind, fetch_limit):
     rng = random.Random(hash(kind) % 1000)
     xs = _data(kind, 3000, rng)
