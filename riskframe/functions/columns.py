@@ -63,9 +63,38 @@ def years_to_days(years: str | Column) -> Column:
 
 
 def sig(c: str | Column, digits: int = 9) -> Column:
-    """Round a double to ``digits`` significant digits (for cross-engine
-    comparison of order-dependent float sums). DuckDB:
-    ``CAST(printf('%.{d-1}e', x) AS DOUBLE)``."""
-    x = col(c)
-    txt = F.format_string(f"%.{digits - 1}e", x)
-    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double")).otherwise(txt.cast("double"))
+    """Round a double to ``digits`` significant digits with plain IEEE
+    arithmetic, ``floor(x * 10^k + 0.5) / 10^k`` (``x / 10^-k`` for k < 0),
+    where every power of ten used is exact (|k| <= 22). Any engine that
+    evaluates the same operations gets the same bits, so order-dependent
+    float results can be compared exactly (``plans.oracle.sig_sql`` is the
+    SQL form). Values below ``10^(digits-23)`` in magnitude count as 0."""
+    x = col(c).cast("double")
+    k = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
+    up = F.floor(x * F.pow(F.lit(10.0), k) + F.lit(0.5)) / F.pow(F.lit(10.0), k)
+    down = F.floor(x / F.pow(F.lit(10.0), -k) + F.lit(0.5)) * F.pow(F.lit(10.0), -k)
+    return (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double"))
+            .when(x == 0, F.lit(0.0))
+            .when(k > 22, F.lit(0.0))
+            .when(k >= 0, up)
+            .when(k >= -22, down)
+            .otherwise(x))
+
+
+def sig_value(v: float | None, digits: int = 9) -> float | None:
+    """``sig`` for one Python float, with the same IEEE operations."""
+    import math
+    if v is None or v != v:
+        return None
+    if v == 0:
+        return 0.0
+    k = digits - 1 - math.floor(math.log10(abs(v)))
+    if k > 22:
+        return 0.0
+    if k >= 0:
+        p = 10.0 ** k
+        return math.floor(v * p + 0.5) / p
+    if k >= -22:
+        p = 10.0 ** (-k)
+        return math.floor(v / p + 0.5) * p
+    return v

@@ -1,7 +1,8 @@
 """DuckDB SQL for every SQL-checkable query (the correctness oracle).
 
 The SQL is written independently of the Spark code: the split uses the
-simple ``row_number`` form, quantiles use ``quantile_cont``, correlations use
+simple ``row_number`` form, quantiles read order statistics off a sorted
+list and interpolate like NumPy (``npq``), correlations use
 ``corr``/``covar_pop``. Shared pieces are CTEs prepended to each query.
 """
 
@@ -16,7 +17,33 @@ def hash_sql(key: str, salt: str) -> str:
 
 
 def sig_sql(x: str, digits: int = 9) -> str:
-    return f"CAST(printf('%.{digits - 1}e', {x}) AS DOUBLE)"
+    """Same IEEE operations as ``functions.columns.sig``."""
+    v = f"CAST(({x}) AS DOUBLE)"
+    k = f"({digits - 1} - floor(log10(abs({v}))))"
+    return (f"(CASE WHEN {v} IS NULL OR isnan({v}) THEN NULL WHEN {v} = 0 THEN 0.0 "
+            f"WHEN {k} > 22 THEN 0.0 "
+            f"WHEN {k} >= 0 THEN floor({v} * pow(10.0, {k}) + 0.5) / pow(10.0, {k}) "
+            f"WHEN {k} >= -22 THEN floor({v} / pow(10.0, -{k}) + 0.5) * pow(10.0, -{k}) "
+            f"ELSE {v} END)")
+
+
+def sorted_list(x: str) -> str:
+    """Aggregate: the non-null values of ``x`` as a sorted DOUBLE list."""
+    return f"list_sort(list(CAST({x} AS DOUBLE)) FILTER (WHERE {x} IS NOT NULL))"
+
+
+def npq(xs: str, p: float) -> str:
+    """Linear-interpolated quantile of a sorted list, NumPy's formula:
+    v = p*(n-1), a/b = values at floor(v) and the next rank, t = v - floor(v),
+    a + (b-a)*t for t < 0.5, b - (b-a)*(1-t) otherwise."""
+    n = f"len({xs})"
+    v = f"(CAST({p!r} AS DOUBLE) * ({n} - 1))"
+    lo = f"CAST(floor({v}) AS BIGINT)"
+    t = f"({v} - {lo})"
+    a = f"{xs}[{lo} + 1]"
+    b = f"{xs}[least({lo} + 2, {n})]"
+    return (f"(CASE WHEN {n} = 0 THEN NULL WHEN {t} >= 0.5 THEN {b} - ({b} - {a}) * (1 - {t}) "
+            f"ELSE {a} + ({b} - {a}) * {t} END)")
 
 
 def quota_sql(src: str, salt: str, num: int, den: int, round_up: bool, name: str) -> str:
@@ -166,11 +193,11 @@ FROM (
          min(CASE WHEN x >= q1 - 1.5*(q3-q1) AND x <= q3 + 1.5*(q3-q1) THEN x END) AS whisker_lo,
          max(CASE WHEN x >= q1 - 1.5*(q3-q1) AND x <= q3 + 1.5*(q3-q1) THEN x END) AS whisker_hi,
          CAST(sum(CASE WHEN x >= q1 - 1.5*(q3-q1) AND x <= q3 + 1.5*(q3-q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
-  FROM b JOIN qs USING (TARGET) GROUP BY b.TARGET)""", """
-p99 AS (SELECT quantile_cont(AMT_INCOME_TOTAL, 0.99) AS v FROM train),
+  FROM b JOIN qs USING (TARGET) GROUP BY b.TARGET)""", f"""
+p99 AS (SELECT {npq('xs', 0.99)} AS v FROM (SELECT {sorted_list('AMT_INCOME_TOTAL')} AS xs FROM train)),
 b AS (SELECT TARGET, AMT_INCOME_TOTAL AS x FROM train, p99 WHERE AMT_INCOME_TOTAL < p99.v),
-qs AS (SELECT TARGET, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
-              quantile_cont(x, 0.75) AS q3 FROM b GROUP BY TARGET)"""))
+qs AS (SELECT TARGET, {npq('xs', 0.25)} AS q1, {npq('xs', 0.5)} AS median, {npq('xs', 0.75)} AS q3
+       FROM (SELECT TARGET, {sorted_list('x')} AS xs FROM b GROUP BY TARGET))"""))
 
 register("gender_pivot", q("""
 SELECT CODE_GENDER, n_no_default, n_default, n_no_default + n_default AS total,
@@ -230,8 +257,9 @@ def _ext_long() -> str:
 register("score_violin", q(f"""
 SELECT column_name, TARGET, CASE TARGET WHEN 0 THEN 'No Default' WHEN 1 THEN 'Default' END AS label,
        count(*) AS n,
-       {sig_sql('quantile_cont(v, 0.25)', 10)} AS q1, {sig_sql('quantile_cont(v, 0.5)', 10)} AS median,
-       {sig_sql('quantile_cont(v, 0.75)', 10)} AS q3,
+       {sig_sql(npq(sorted_list('v'), 0.25), 10)} AS q1,
+       {sig_sql(npq(sorted_list('v'), 0.5), 10)} AS median,
+       {sig_sql(npq(sorted_list('v'), 0.75), 10)} AS q3,
        {sig_sql('min(v)', 10)} AS vmin, {sig_sql('max(v)', 10)} AS vmax,
        {sig_sql('stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2)', 9)} AS bandwidth
 FROM ext GROUP BY column_name, TARGET""", _ext_long()))
@@ -271,31 +299,34 @@ CAT = ["NAME_CONTRACT_TYPE", "CODE_GENDER", "NAME_INCOME_TYPE", "NAME_EDUCATION_
 def _fe_ctes() -> str:
     clean = (f"SELECT * REPLACE (nullif(DAYS_EMPLOYED, {S.DAYS_EMPLOYED_SENTINEL}) AS DAYS_EMPLOYED, "
              f"nullif(CODE_GENDER, '{S.GENDER_SENTINEL}') AS CODE_GENDER)")
-    fq = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.25) AS {c}__q1, "
-                   f"quantile_cont(CAST({c} AS DOUBLE), 0.75) AS {c}__q3" for c in NUM)
+    fl = ", ".join(f"{sorted_list(c)} AS {c}__xs" for c in NUM)
+    fq = ", ".join(f"{npq(f'{c}__xs', 0.25)} AS {c}__q1, {npq(f'{c}__xs', 0.75)} AS {c}__q3" for c in NUM)
     fb = ", ".join(f"{c}__q1 - 1.5*({c}__q3 - {c}__q1) AS {c}__lo, {c}__q3 + 1.5*({c}__q3 - {c}__q1) AS {c}__hi"
                    for c in NUM)
     cl = ", ".join(f"CASE WHEN {c} IS NULL THEN NULL ELSE greatest({c}__lo, least({c}__hi, CAST({c} AS DOUBLE))) END AS {c}"
                    for c in NUM)
-    med = ", ".join(f"quantile_cont({c}, 0.5) AS {c}__med" for c in NUM)
+    ml = ", ".join(f"{sorted_list(c)} AS {c}__xs" for c in NUM)
+    med = ", ".join(f"{npq(f'{c}__xs', 0.5)} AS {c}__med" for c in NUM)
     mode_src = "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, {c} AS value FROM ct" for c in CAT)
     imp_num = ", ".join(f"coalesce({c}, {c}__med) AS {c}" for c in NUM)
     imp_cat = ", ".join(f"coalesce({c}, (SELECT mode FROM modes WHERE column_name = '{c}')) AS {c}" for c in CAT)
     ms = ", ".join(f"avg({c}) AS {c}__mean, stddev_pop({c}) AS {c}__sd" for c in NUM)
+    ms9 = ", ".join(f"{sig_sql(f'{c}__mean', 9)} AS {c}__mean, {sig_sql(f'{c}__sd', 9)} AS {c}__sd" for c in NUM)
     sc = ", ".join(f"({c} - {c}__mean) / CASE WHEN {c}__sd = 0 THEN 1 ELSE {c}__sd END AS {c}" for c in NUM)
     return f"""
 ct AS ({clean} FROM train),
 ca AS ({clean} FROM split),
-fq AS (SELECT {fq} FROM ct),
+fq AS (SELECT {fq} FROM (SELECT {fl} FROM ct)),
 fb AS (SELECT *, {fb} FROM fq),
 cl_all AS (SELECT SK_ID_CURR, split, TARGET, {cl}, {", ".join(CAT)} FROM ca, fb),
-med AS (SELECT {med} FROM cl_all WHERE split = 'train'),
+med AS (SELECT {med} FROM (SELECT {ml} FROM cl_all WHERE split = 'train')),
 modes AS (SELECT column_name, value AS mode FROM (
     SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY count(*) DESC, value) AS rn
     FROM ({mode_src}) WHERE value IS NOT NULL GROUP BY column_name, value) WHERE rn = 1),
 imp_all AS (SELECT SK_ID_CURR, split, TARGET, {imp_num}, {imp_cat} FROM cl_all, med),
 ms AS (SELECT {ms} FROM imp_all WHERE split = 'train'),
-sc_all AS (SELECT SK_ID_CURR, split, TARGET, {sc}, {", ".join(CAT)} FROM imp_all, ms),
+ms9 AS (SELECT {ms9} FROM ms),
+sc_all AS (SELECT SK_ID_CURR, split, TARGET, {sc}, {", ".join(CAT)} FROM imp_all, ms9),
 cats AS (SELECT DISTINCT column_name, value AS category FROM ({mode_src}) WHERE value IS NOT NULL)"""
 
 
@@ -437,3 +468,56 @@ SELECT count(*) AS n_rows, CAST(count(*) FILTER (WHERE split = 'train') AS BIGIN
        CAST({len(NUM)} + (SELECT count(*) FROM cats) AS INTEGER) AS encoded_width,
        CAST(sum({" + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in NUM + CAT)}) AS BIGINT) AS missing_after_imputation
 FROM imp_all"""))
+
+# ------------------------------------- the same operators over lineitem
+LINE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+register("lineitem_quantiles", "\nUNION ALL\n".join(
+    f"SELECT l_returnflag, '{c}' AS column_name, CAST({p} AS DOUBLE) AS prob, "
+    f"{sig_sql(npq(sorted_list(c), p), 10)} AS value FROM lineitem GROUP BY l_returnflag"
+    for c in LINE_NUMERIC for p in (0.25, 0.5, 0.75, 0.99)))
+
+register("lineitem_price_boxplot", f"""
+WITH qs AS (SELECT l_returnflag, {npq('xs', 0.25)} AS q1, {npq('xs', 0.5)} AS median, {npq('xs', 0.75)} AS q3
+            FROM (SELECT l_returnflag, {sorted_list('l_extendedprice')} AS xs FROM lineitem GROUP BY l_returnflag))
+SELECT l_returnflag, count(*) AS n, {sig_sql('any_value(q1)', 10)} AS q1, {sig_sql('any_value(median)', 10)} AS median,
+       {sig_sql('any_value(q3)', 10)} AS q3, {sig_sql('any_value(q3) - any_value(q1)', 10)} AS iqr,
+       {sig_sql('min(CASE WHEN x >= q1 - 1.5*(q3-q1) AND x <= q3 + 1.5*(q3-q1) THEN x END)', 10)} AS whisker_lo,
+       {sig_sql('max(CASE WHEN x >= q1 - 1.5*(q3-q1) AND x <= q3 + 1.5*(q3-q1) THEN x END)', 10)} AS whisker_hi,
+       CAST(sum(CASE WHEN x >= q1 - 1.5*(q3-q1) AND x <= q3 + 1.5*(q3-q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
+FROM (SELECT l_returnflag, l_extendedprice AS x FROM lineitem) JOIN qs USING (l_returnflag)
+GROUP BY l_returnflag""")
+
+register("lineitem_price_histogram", """
+WITH hx AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem),
+hs AS (SELECT l_returnflag,
+              CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
+              CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
+       FROM hx WHERE x IS NOT NULL GROUP BY l_returnflag),
+c AS (SELECT l_returnflag, CAST(least(floor((x - lo) * (CAST(50 AS DOUBLE) / (hi - lo))), 49) AS INT) AS bin,
+             count(*) AS n
+      FROM hx JOIN hs USING (l_returnflag) WHERE x IS NOT NULL GROUP BY ALL),
+g AS (SELECT l_returnflag, lo, hi, CAST(unnest(range(0, 50)) AS INT) AS bin FROM hs)
+SELECT l_returnflag, bin, bin * ((hi - lo) / 50) + lo AS bin_lo,
+       CASE WHEN bin = 49 THEN hi ELSE (bin + 1) * ((hi - lo) / 50) + lo END AS bin_hi,
+       CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM g LEFT JOIN c USING (l_returnflag, bin) ORDER BY l_returnflag, bin""")
+
+register("lineitem_correlation_pairs", "SELECT col_a, col_b, n, " + sig_sql("c", 9) + " AS corr FROM (\n" + "\nUNION ALL\n".join(
+    f"SELECT '{LINE_NUMERIC[i]}' AS col_a, '{LINE_NUMERIC[j]}' AS col_b, count(*) AS n, "
+    f"covar_pop({LINE_NUMERIC[i]}, {LINE_NUMERIC[j]}) / nullif(sqrt(var_pop({LINE_NUMERIC[i]}) * var_pop({LINE_NUMERIC[j]})), 0) AS c "
+    f"FROM lineitem WHERE {LINE_NUMERIC[i]} IS NOT NULL AND {LINE_NUMERIC[j]} IS NOT NULL"
+    for i in range(len(LINE_NUMERIC)) for j in range(i)) + "\n)")
+
+register("lineitem_discount_auc", """
+SELECT CAST(sum(CAST(pos AS HUGEINT) * (2 * below + neg)) AS DOUBLE) / CAST(2 * any_value(P) * any_value(N) AS DOUBLE) AS auc,
+       CAST(any_value(P) AS BIGINT) AS n_pos, CAST(any_value(N) AS BIGINT) AS n_neg
+FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+      FROM (SELECT l_discount + 0.0 AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS pos,
+                   sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS neg FROM lineitem GROUP BY 1)),
+     (SELECT sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS P,
+             sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS N FROM lineitem)""")
+
+register("lineitem_return_rate_by_status", """
+SELECT l_linestatus, avg(CAST(CAST(l_returnflag = 'R' AS INTEGER) AS DOUBLE))*100 AS default_rate_pct, count(*) AS n
+FROM lineitem WHERE l_linestatus IS NOT NULL GROUP BY l_linestatus ORDER BY default_rate_pct DESC, l_linestatus""")

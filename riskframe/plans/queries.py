@@ -224,10 +224,20 @@ def scale_stats(spark, sf_dir):
     return df.select("column_name", C.sig("mean", 9).alias("mean"), C.sig("std", 9).alias("std"))
 
 
+def _reported(st):
+    """The fitted state with mean / std as ``scale_stats`` reports them (9
+    significant digits): the standardised rows below use these, so any
+    engine recomputing them from the report gets the same bits."""
+    out = dict(st)
+    out["means"] = {c: C.sig_value(v, 9) for c, v in st["means"].items()}
+    out["stds"] = {c: C.sig_value(v, 9) for c, v in st["stds"].items()}
+    return out
+
+
 @query
 def scaled_rows(spark, sf_dir):
     x, st = _imputed(spark, sf_dir)
-    s = features.scale(x.select(S.KEY, "split", *st["num_cols"]), st)
+    s = features.scale(x.select(S.KEY, "split", *st["num_cols"]), _reported(st))
     return s.select(S.KEY, "split", *[C.sig(c, 8).alias(c) for c in st["num_cols"]])
 
 
@@ -254,7 +264,7 @@ def feature_catalogue(spark, sf_dir):
 @query
 def covariance_pairs(spark, sf_dir):
     x, st = _imputed(spark, sf_dir)
-    s = features.scale(x.where("split = 'train'").select(*st["num_cols"]), st)
+    s = features.scale(x.where("split = 'train'").select(*st["num_cols"]), _reported(st))
     return features.covariance_pairs(s, st["num_cols"]).select(
         "col_a", "col_b", "n", C.sig("cov", 8).alias("cov"))
 
@@ -269,7 +279,7 @@ EVAL_WEIGHTS = {"EXT_SOURCE_1": -1.2, "CNT_CHILDREN": 0.6, "CNT_FAM_MEMBERS": 0.
 
 def _fixed_scores(spark, sf_dir):
     x, st = _imputed(spark, sf_dir)
-    s = features.scale(x.where("split = 'test'").select(S.KEY, *st["num_cols"]), st)
+    s = features.scale(x.where("split = 'test'").select(S.KEY, *st["num_cols"]), _reported(st))
     labels = prepared(spark, sf_dir).test.select(S.KEY, S.LABEL)
     score = F.lit(EVAL_INTERCEPT)
     for c, w in EVAL_WEIGHTS.items():
@@ -450,3 +460,62 @@ def csv_missing_profile(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-csv/{uuid.uuid4().hex}"
     csv.write_csv(prepared(spark, sf_dir).table.drop("split"), path)
     return profile.missing_profile(csv.read_csv(spark, path), S.MISSING_TOP)
+
+
+# ------------------------------------- the same operators over lineitem
+# Every operator takes column names; these run them over the largest test
+# table (whole table, no sampling) as a heavier workload.
+LINE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _lineitem(spark, sf_dir):
+    from riskframe.sources.applications import read_table
+    return read_table(spark, sf_dir, "lineitem")
+
+
+@query
+def lineitem_quantiles(spark, sf_dir):
+    from riskframe.operators.quantiles import exact_quantiles
+    li = _lineitem(spark, sf_dir).select("l_returnflag", *LINE_NUMERIC)
+    probs = [0.25, 0.5, 0.75, 0.99]
+    q = exact_quantiles(li, LINE_NUMERIC, probs, by=["l_returnflag"])
+    rows = [(k[0], k[1], p, v[p]) for k, v in q.items() for p in probs]
+    df = spark.createDataFrame(rows, "l_returnflag string, column_name string, prob double, value double")
+    return df.select("l_returnflag", "column_name", "prob", C.sig("value", 10).alias("value"))
+
+
+@query
+def lineitem_price_boxplot(spark, sf_dir):
+    li = _lineitem(spark, sf_dir).select("l_returnflag", "l_extendedprice")
+    box = explore.box_summary(li, "l_extendedprice", "l_returnflag", S.IQR_FACTOR)
+    return box.select("l_returnflag", "n", *[C.sig(c, 10).alias(c) for c in
+                                             ("q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi")],
+                      "n_outliers")
+
+
+@query
+def lineitem_price_histogram(spark, sf_dir):
+    li = _lineitem(spark, sf_dir)
+    return explore.equal_width_histogram(li, F.col("l_extendedprice"), "l_returnflag", 50)
+
+
+@query
+def lineitem_correlation_pairs(spark, sf_dir):
+    li = _lineitem(spark, sf_dir)
+    return explore.pearson_pairs(li, LINE_NUMERIC).select("col_a", "col_b", "n", C.sig("corr", 9).alias("corr"))
+
+
+@query
+def lineitem_discount_auc(spark, sf_dir):
+    """Tie-heavy AUC (11 distinct discounts over the whole table) of the
+    discount as a score for a returned line."""
+    li = _lineitem(spark, sf_dir).select(
+        F.col("l_discount").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return evaluate.roc_auc(li, "y", "score")
+
+
+@query
+def lineitem_return_rate_by_status(spark, sf_dir):
+    li = _lineitem(spark, sf_dir).select(
+        "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+    return explore.rate_by_category(li, "l_linestatus", "returned")

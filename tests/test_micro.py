@@ -149,3 +149,23 @@ def test_csv_tokens(spark, tmp_path):
 def test_missing_path_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         csv.read_csv(spark, str(tmp_path / "does-not-exist.csv"))
+
+
+def test_sig_same_bits_in_spark_python_duckdb(spark):
+    import random
+
+    import duckdb
+
+    from riskframe.functions.columns import sig, sig_value
+    from riskframe.plans.oracle import sig_sql
+
+    rng = random.Random(3)
+    vals = [534350.77875, -0.6826495, 0.0, -0.0, 1e-30, 123456789012.5, 2.5e-8, 7.0, -117961.57125]
+    vals += [rng.uniform(-1, 1) * 10 ** rng.randint(-12, 12) for _ in range(300)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
+    got = {r.i: r.s for r in df.select("i", sig("x", 9).alias("s")).collect()}
+    con = duckdb.connect()
+    duck = dict(con.execute(f"SELECT i, {sig_sql('x', 9)} FROM (SELECT unnest(range(?)) AS i, unnest(?::DOUBLE[]) AS x)",
+                            [len(vals), vals]).fetchall())
+    for i, v in enumerate(vals):
+        assert got[i] == sig_value(v, 9) == duck[i], (v, got[i], sig_value(v, 9), duck[i])
