@@ -18,15 +18,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row table of fitted scalars to every row (JOIN4).
-
-    An aggregate without grouping keys has exactly one row, so the broadcast
-    has a proven size bound; the cross join of n rows with one row is n rows.
-    """
-    return df.crossJoin(F.broadcast(one_row))
-
-
 def small_frame(df: DataFrame, max_rows: int) -> DataFrame:
     """Evaluate a small result once (e.g. per-group statistics that several
     later steps join) and return it as a local table with a proven size

@@ -13,9 +13,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from riskframe.functions.columns import label_text, rate, sig
-from riskframe.functions.joins import attach_scalars, small_frame
+from riskframe.functions.joins import small_frame
 from riskframe.operators.quantiles import exact_quantiles
 
 MAX_GROUPS_BROADCAST = 10_000
@@ -25,10 +26,10 @@ def target_distribution(df: DataFrame, label: str) -> DataFrame:
     """Value counts of the label with label text and share of all rows
     (AGG3, PRJ11, PRJ12)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return (attach_scalars(counts, total)
-            .select(label, label_text(label).alias("label"), "n",
-                    (F.col("n").cast("double") / F.col("total") * 100).alias("pct"))
+    # the window runs over the aggregated result (one row per class)
+    total = F.sum("n").over(Window.partitionBy())
+    return (counts.select(label, label_text(label).alias("label"), "n",
+                          (F.col("n").cast("double") / total * 100).alias("pct"))
             .orderBy(F.desc("n"), label))
 
 

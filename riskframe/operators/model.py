@@ -28,7 +28,6 @@ from pyspark.sql import Window
 
 from riskframe import schema as S
 from riskframe.functions.columns import hash_order
-from riskframe.functions.joins import attach_scalars
 from riskframe.operators.features import feature_names, feature_vector, fit_state
 from riskframe.operators.sampling import stratified_subsample
 
@@ -39,9 +38,10 @@ ROWS_PER_SOLVER_PARTITION = 500_000
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced class weights ``n / (k * n_c)`` (ML1): one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    tot = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
-    return (attach_scalars(counts, tot)
-            .select(label, "n", (F.col("total").cast("double") / (F.col("k") * F.col("n"))).alias("weight"))
+    # windows over the aggregated result (one row per class)
+    every = Window.partitionBy()
+    total, k = F.sum("n").over(every), F.count(F.lit(1)).over(every)
+    return (counts.select(label, "n", (total.cast("double") / (k * F.col("n"))).alias("weight"))
             .orderBy(label))
 
 

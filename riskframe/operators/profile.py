@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from riskframe import schema as S
 from riskframe.functions.columns import rate
-from riskframe.functions.joins import attach_scalars
 
 
 def dataset_summary(df: DataFrame, label: str) -> DataFrame:
@@ -94,15 +93,20 @@ def preview(df: DataFrame, key: str, n: int = 10) -> DataFrame:
 
 def split_cover(table: DataFrame, key: str, split_col: str = "split") -> DataFrame:
     """Invariant of a split: train and test are disjoint and cover all rows
-    (JOIN6 and the set-operation checks). One row of counts."""
+    (JOIN6 and the set-operation checks). One row of counts, from one
+    aggregate over a tagged union of the set-operation results."""
     train = table.where(F.col(split_col) == "train").select(key)
     test = table.where(F.col(split_col) == "test").select(key)
-    overlap = train.intersect(test).agg(F.count(F.lit(1)).alias("n_overlap"))
-    uncovered = (table.select(key).exceptAll(train.unionByName(test))
-                 .agg(F.count(F.lit(1)).alias("n_uncovered")))
-    anti = (table.select(key).join(train, key, "left_anti")
-            .agg(F.count(F.lit(1)).alias("n_not_train")))
-    counts = table.agg(F.count(F.lit(1)).alias("n_rows"),
-                       F.sum(F.when(F.col(split_col) == "train", 1).otherwise(0)).cast("bigint").alias("n_train"),
-                       F.sum(F.when(F.col(split_col) == "test", 1).otherwise(0)).cast("bigint").alias("n_test"))
-    return attach_scalars(attach_scalars(attach_scalars(counts, overlap), uncovered), anti)
+    tagged = (table.select(F.col(split_col).alias("tag"))
+              .unionByName(train.intersect(test).select(F.lit("overlap").alias("tag")))
+              .unionByName(table.select(key).exceptAll(train.unionByName(test))
+                           .select(F.lit("uncovered").alias("tag")))
+              .unionByName(table.select(key).join(train, key, "left_anti")
+                           .select(F.lit("not_train").alias("tag"))))
+
+    def n(*tags):
+        return F.sum(F.when(F.col("tag").isin(*tags), 1).otherwise(0)).cast("bigint")
+
+    return tagged.agg(n("train", "test").alias("n_rows"), n("train").alias("n_train"),
+                      n("test").alias("n_test"), n("overlap").alias("n_overlap"),
+                      n("uncovered").alias("n_uncovered"), n("not_train").alias("n_not_train"))

@@ -401,8 +401,8 @@ def _test_scores(spark, sf_dir):
 def svm_test_metrics(spark, sf_dir):
     s = _test_scores(spark, sf_dir).select(S.LABEL, "prediction", "decision").persist()
     met = evaluate.binary_metrics(s, S.LABEL, "prediction")
-    auc = evaluate.roc_auc(s, S.LABEL, "decision").select("auc")
-    return met.crossJoin(auc)
+    auc = evaluate.roc_auc(s, S.LABEL, "decision").first().auc  # one number
+    return met.withColumn("auc", F.lit(auc).cast("double"))
 
 
 @query
