@@ -9,6 +9,7 @@ recomputing the join).
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -19,7 +20,8 @@ from riskframe.operators.sampling import stratified_split
 from riskframe.session import materialize
 from riskframe.sources.applications import applications
 
-_CONTEXTS: dict[tuple[int, str], "Prepared"] = {}
+_CONTEXTS: dict[tuple, "Prepared"] = {}
+_LOCK = threading.RLock()
 
 # A table this small (about a few GB at 21 columns) may be cached whole.
 SPREAD_MAX_ROWS = 20_000_000
@@ -59,13 +61,20 @@ class Prepared:
         return self.table.where("split = 'test'").drop("split")
 
     def cached(self, name: str, build):
-        """Fitted objects (stats, models) computed once per input."""
-        if name not in self.memo:
-            self.memo[name] = build()
-        return self.memo[name]
+        """Fitted objects (stats, models) computed once per input, also when
+        queries run from several threads."""
+        with _LOCK:
+            if name not in self.memo:
+                self.memo[name] = build()
+            return self.memo[name]
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
+    with _LOCK:
+        return _prepared(spark, sf_dir)
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
     key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
     ctx = _CONTEXTS.get(key)
     if ctx is not None and ctx.spark is not spark:
