@@ -48,19 +48,25 @@ def largest_remainder(counts: dict, total: int) -> dict:
     return base
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).count().limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata in {label}")
-    return {r[label]: r["count"] for r in rows}
-
-
 def _eq(c: str, v) -> Column:
     return F.col(c).isNull() if v is None else F.col(c) == F.lit(v)
 
 
+def top_bucket_counts(df: DataFrame, label: str, key: str, salt: str) -> dict:
+    """Counts per (class, top 16 hash bits): at most 65,536 rows per class.
+    Summed per class they are the class sizes, so one job gives both."""
+    top = F.shiftright(hash_order(key, salt), TOP_BITS_SHIFT).alias("hb")
+    rows = df.groupBy(label, top).count().collect()
+    hist = defaultdict(list)
+    for r in rows:
+        hist[r[label]].append((r["hb"], r["count"]))
+    if len(hist) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata in {label}")
+    return hist
+
+
 def lowest_k_thresholds(df: DataFrame, label: str, key: str, salt: str,
-                        quotas: dict, counts: dict) -> dict:
+                        quotas: dict, counts: dict, hist: dict | None = None) -> dict:
     """Per class, the ``(h, key)`` of its ``quotas[c]``-th smallest row.
 
     Returns ``{c: None}`` for "pick none", ``{c: "all"}`` for "pick all",
@@ -77,14 +83,8 @@ def lowest_k_thresholds(df: DataFrame, label: str, key: str, salt: str,
     if not need:
         return out
     # level 1: counts per (class, top hash bits); <= 65,536 rows per class
-    top = F.shiftright(h, TOP_BITS_SHIFT).alias("hb")
-    cond = F.lit(False)
-    for c in need:
-        cond = cond | _eq(label, c)
-    rows = df.where(cond).groupBy(label, top).count().collect()
-    hist = defaultdict(list)
-    for r in rows:
-        hist[r[label]].append((r["hb"], r["count"]))
+    if hist is None:
+        hist = top_bucket_counts(df, label, key, salt)
     boundary = {}
     for c, q in need.items():
         below = 0
@@ -149,11 +149,12 @@ def stratified_pick(df: DataFrame, label: str, key: str, fraction, salt: str,
     """Pick ``ceil`` (``round_up``) or ``floor`` of ``fraction * n`` rows with
     class shares kept. Returns the membership column, quotas and class counts."""
     f = as_fraction(fraction)
-    counts = class_counts(df, label)
+    hist = top_bucket_counts(df, label, key, salt)
+    counts = {c: sum(n for _, n in b) for c, b in hist.items()}
     n = sum(counts.values())
     total = -((-n * f.numerator) // f.denominator) if round_up else (n * f.numerator) // f.denominator
     quotas = largest_remainder(counts, total)
-    thresholds = lowest_k_thresholds(df, label, key, salt, quotas, counts)
+    thresholds = lowest_k_thresholds(df, label, key, salt, quotas, counts, hist)
     return membership(label, key, salt, thresholds), quotas, counts
 
 
