@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from conftest import MEDIUM, SMALL
 from riskframe import schema as S
 from riskframe.operators import model
 from riskframe.plans import queries as Q
@@ -73,3 +73,16 @@ def test_model_beats_chance(spark):
     # sf0.001 has ~300 test rows with ~20 defaults; "clearly above 0.5"
     r = Q.svm_test_metrics(spark, SMALL).first()
     assert r.auc > 0.6
+
+
+def test_subsample_parity_option(spark):
+    """The dashboard's 5 % stratified subsample: the SVM sees exactly the
+    rows (and class counts) of the ``class_weights`` query. On sf0.01 (600
+    rows): 60 rows of sf0.001 make the hinge-loss solver crawl."""
+    ctx = prepared(spark, MEDIUM)
+    m = model.fit_pipeline(ctx.train, state=Q._state(spark, MEDIUM), subsample_fraction=S.SUBSAMPLE_FRACTION)
+    weights = {r[S.LABEL]: r.n for r in Q.class_weights(spark, MEDIUM).collect()}
+    assert m.class_counts == weights
+    assert m.n_train_rows == Q.stratified_subsample(spark, MEDIUM).count()
+    scored = model.score(m.pipeline, ctx.test).select("prediction", "p_default").collect()
+    assert scored and all(0.0 <= r.p_default <= 1.0 for r in scored)
