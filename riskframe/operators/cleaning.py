@@ -1,21 +1,12 @@
-"""Row cleaning with bounds fitted on training rows only (PRJ1, PRJ5-7,
-AGG8, JOIN4).
-
-Fitting is aggregate work (exact quantiles, one search for all columns);
-applying is a narrow projection with the fitted numbers as literals, so the
-same plan cleans train, test, new applicants or a stream.
-"""
+"""Row cleaning (PRJ1, PRJ5, PRJ6). Clipping to fences fitted on training
+rows (AGG8, PRJ7) lives with the other fitted statistics in ``features``."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from riskframe import schema as S
-from riskframe.functions.columns import clip, sentinel_to_null
-from riskframe.operators.quantiles import exact_quantiles
+from riskframe.functions.columns import sentinel_to_null
 
 
 def drop_id_and_label(df: DataFrame) -> DataFrame:
@@ -33,41 +24,3 @@ def clean_sentinels(df: DataFrame) -> DataFrame:
     if "CODE_GENDER" in df.columns:
         out = out.withColumn("CODE_GENDER", sentinel_to_null("CODE_GENDER", S.GENDER_SENTINEL))
     return out
-
-
-@dataclass(frozen=True)
-class Fence:
-    q1: float
-    q3: float
-
-    @property
-    def iqr(self) -> float:
-        return self.q3 - self.q1
-
-    def bounds(self, factor: float = S.IQR_FACTOR) -> tuple[float, float]:
-        return self.q1 - factor * self.iqr, self.q3 + factor * self.iqr
-
-
-def fit_quartiles(train: DataFrame, columns: list[str],
-                  extra_probs: tuple[float, ...] = ()) -> dict[str, dict[float, float]]:
-    """Exact Q1/Q3 (and any extra quantiles) of each column, one search for all."""
-    q = exact_quantiles(train, columns, [0.25, 0.75, *extra_probs])
-    return {k[0]: v for k, v in q.items()}
-
-
-def fences_from(quantiles: dict[str, dict[float, float]]) -> dict[str, Fence]:
-    """Tukey fences per column (AGG8)."""
-    return {c: Fence(v[0.25], v[0.75]) for c, v in quantiles.items()}
-
-
-def apply_clip(df: DataFrame, fences: dict[str, Fence], factor: float = S.IQR_FACTOR) -> DataFrame:
-    """Clip every fitted column to its fences, NULL kept; columns become
-    double like pandas ``clip`` with float bounds (PRJ7)."""
-    exprs = []
-    for c in df.columns:
-        if c in fences:
-            lo, hi = fences[c].bounds(factor)
-            exprs.append(clip(F.col(c).cast("double"), F.lit(lo), F.lit(hi)).alias(c))
-        else:
-            exprs.append(F.col(c))
-    return df.select(*exprs)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions.columns import clip
-from riskframe.operators.cleaning import clean_sentinels
+from riskframe.operators.cleaning import clean_sentinels, drop_id_and_label
 from riskframe.operators.quantiles import _interp, order_statistics, quantile_ranks
 
 MAX_CATEGORIES = 100_000
@@ -38,7 +38,7 @@ def _clip_value(v: float, lo: float, hi: float) -> float:
 
 def fit_state(train_raw: DataFrame, factor: float = S.IQR_FACTOR) -> dict:
     """Fit all preprocessing statistics on the raw training rows."""
-    clean = clean_sentinels(train_raw.drop(S.KEY, S.LABEL))
+    clean = clean_sentinels(drop_id_and_label(train_raw))
     num_cols = S.numeric_columns(clean)
     cat_cols = S.categorical_columns(clean)
     probs = (0.25, 0.5, 0.75)

@@ -12,6 +12,7 @@ per iteration over the cached training vectors, and the calibration is a
 from __future__ import annotations
 
 import json
+import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -142,7 +143,6 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
     trains on every training row, which the distributed solver handles in
     linear time.
     """
-    import time
     tick = [time.time()]
     info: dict = {}
 

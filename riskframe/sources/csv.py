@@ -81,14 +81,6 @@ def infer_types(df: DataFrame) -> dict[str, T.DataType]:
     return out
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN -> NULL in float columns, so aggregates skip them as pandas does."""
-    return df.select(*[
-        F.when(F.isnan(F.col(f.name)), F.lit(None).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-        for f in df.schema.fields])
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """Headed CSV, NULL written as an empty field."""
     df.write.mode("overwrite").option("header", "true").csv(path)
