@@ -86,3 +86,56 @@ def test_subsample_parity_option(spark):
     assert m.n_train_rows == Q.stratified_subsample(spark, MEDIUM).count()
     scored = model.score(m.pipeline, ctx.test).select("prediction", "p_default").collect()
     assert scored and all(0.0 <= r.p_default <= 1.0 for r in scored)
+
+
+def test_pca_matches_numpy_eigenvalues(spark):
+    """FE8 against brute force on the small fixture: the explained-variance
+    ratios are the eigenvalue shares of the centred training matrix, and the
+    projection of a row equals the centred row times the components (up to
+    each component's sign)."""
+    import numpy as np
+
+    from riskframe.operators.model import RiskPreprocessorModel
+    import json
+
+    m = Q._model(spark, SMALL)
+    st = m.state
+    prep = RiskPreprocessorModel(stateJson=json.dumps(st), applyClip=True, center=True)
+    x = np.array([r.features.toArray() for r in prep.transform(prepared(spark, SMALL).train).collect()])
+    assert np.allclose(x.mean(axis=0), 0.0, atol=1e-9)  # centring from the fitted counts
+    eig = np.sort(np.linalg.eigvalsh(np.cov(x, rowvar=False)))[::-1]
+    assert np.allclose(m.explained, eig / eig.sum(), atol=1e-9)
+    pca = m.pipeline.stages[1]
+    pc = pca.pc.toArray()
+    vals, vecs = np.linalg.eigh(np.cov(x, rowvar=False))
+    top = vecs[:, np.argsort(vals)[::-1][:m.k]]
+    assert np.allclose(np.abs(pc[:, :m.k].T @ top), np.eye(m.k), atol=1e-6)
+
+
+def test_svm_solution_is_a_local_optimum_of_the_c_form(spark):
+    """ML2: the LinearSVC solution minimises the reference's objective
+    0.5*|w|^2 + C * sum_i weight_i * hinge_i (balanced weights), checked
+    against random perturbations of (w, b)."""
+    import numpy as np
+
+    m = Q._model(spark, SMALL)
+    stages = m.pipeline.stages
+    svm = stages[3]
+    rows = (stages[2].transform(stages[1].transform(stages[0].transform(prepared(spark, SMALL).train)))
+            .select(S.LABEL, "pca_features").collect())
+    x = np.array([r.pca_features.toArray() for r in rows])
+    y = np.array([1.0 if r[S.LABEL] == 1 else -1.0 for r in rows])
+    n, n_pos = len(y), int((y > 0).sum())
+    wt = np.where(y > 0, n / (2.0 * n_pos), n / (2.0 * (n - n_pos)))
+
+    def objective(w, b):
+        return 0.5 * w @ w + S.SVM_C * np.sum(wt * np.maximum(0.0, 1.0 - y * (x @ w + b)))
+
+    w0, b0 = svm.coefficients.toArray(), svm.intercept
+    j0 = objective(w0, b0)
+    rng = np.random.default_rng(0)
+    for scale in (1e-2, 1e-3):
+        for _ in range(200):
+            dw = rng.normal(size=w0.shape) * scale * (np.linalg.norm(w0) + 1e-9)
+            db = rng.normal() * scale * (abs(b0) + 1e-9)
+            assert j0 <= objective(w0 + dw, b0 + db) * (1 + 1e-3)
