@@ -52,10 +52,17 @@ def _eq(c: str, v) -> Column:
     return F.col(c).isNull() if v is None else F.col(c) == F.lit(v)
 
 
-def top_bucket_counts(df: DataFrame, label: str, key: str, salt: str) -> dict:
+def _order(key: str, salt: str, hash_col: str | None) -> Column:
+    """The hash order of the rows: a stored column when the table carries it
+    (computed once when the table was written), else ``md5`` per row."""
+    return F.col(hash_col) if hash_col else hash_order(key, salt)
+
+
+def top_bucket_counts(df: DataFrame, label: str, key: str, salt: str,
+                      hash_col: str | None = None) -> dict:
     """Counts per (class, top 16 hash bits): at most 65,536 rows per class.
     Summed per class they are the class sizes, so one job gives both."""
-    top = F.shiftright(hash_order(key, salt), TOP_BITS_SHIFT).alias("hb")
+    top = F.shiftright(_order(key, salt, hash_col), TOP_BITS_SHIFT).alias("hb")
     rows = df.groupBy(label, top).count().collect()
     hist = defaultdict(list)
     for r in rows:
@@ -66,13 +73,14 @@ def top_bucket_counts(df: DataFrame, label: str, key: str, salt: str) -> dict:
 
 
 def lowest_k_thresholds(df: DataFrame, label: str, key: str, salt: str,
-                        quotas: dict, counts: dict, hist: dict | None = None) -> dict:
+                        quotas: dict, counts: dict, hist: dict | None = None,
+                        hash_col: str | None = None) -> dict:
     """Per class, the ``(h, key)`` of its ``quotas[c]``-th smallest row.
 
     Returns ``{c: None}`` for "pick none", ``{c: "all"}`` for "pick all",
     otherwise ``{c: (h_star, key_star)}``.
     """
-    h = hash_order(key, salt)
+    h = _order(key, salt, hash_col)
     out: dict = {}
     need = {c: q for c, q in quotas.items() if 0 < q < counts[c]}
     for c, q in quotas.items():
@@ -84,7 +92,7 @@ def lowest_k_thresholds(df: DataFrame, label: str, key: str, salt: str,
         return out
     # level 1: counts per (class, top hash bits); <= 65,536 rows per class
     if hist is None:
-        hist = top_bucket_counts(df, label, key, salt)
+        hist = top_bucket_counts(df, label, key, salt, hash_col)
     boundary = {}
     for c, q in need.items():
         below = 0
@@ -128,9 +136,10 @@ def lowest_k_thresholds(df: DataFrame, label: str, key: str, salt: str,
     return out
 
 
-def membership(label: str, key: str, salt: str, thresholds: dict) -> Column:
+def membership(label: str, key: str, salt: str, thresholds: dict,
+               hash_col: str | None = None) -> Column:
     """Boolean column: the row is among the lowest ``(h, key)`` of its class."""
-    h = hash_order(key, salt)
+    h = _order(key, salt, hash_col)
     picked = F.lit(False)
     for c, t in thresholds.items():
         if t is None:
@@ -145,23 +154,25 @@ def membership(label: str, key: str, salt: str, thresholds: dict) -> Column:
 
 
 def stratified_pick(df: DataFrame, label: str, key: str, fraction, salt: str,
-                    round_up: bool) -> tuple[Column, dict, dict]:
+                    round_up: bool, hash_col: str | None = None) -> tuple[Column, dict, dict]:
     """Pick ``ceil`` (``round_up``) or ``floor`` of ``fraction * n`` rows with
-    class shares kept. Returns the membership column, quotas and class counts."""
+    class shares kept. Returns the membership column, quotas and class counts.
+    ``hash_col`` names a stored ``hash_order(key, salt)`` column, if any."""
     f = as_fraction(fraction)
-    hist = top_bucket_counts(df, label, key, salt)
+    hist = top_bucket_counts(df, label, key, salt, hash_col)
     counts = {c: sum(n for _, n in b) for c, b in hist.items()}
     n = sum(counts.values())
     total = -((-n * f.numerator) // f.denominator) if round_up else (n * f.numerator) // f.denominator
     quotas = largest_remainder(counts, total)
-    thresholds = lowest_k_thresholds(df, label, key, salt, quotas, counts, hist)
-    return membership(label, key, salt, thresholds), quotas, counts
+    thresholds = lowest_k_thresholds(df, label, key, salt, quotas, counts, hist, hash_col)
+    return membership(label, key, salt, thresholds, hash_col), quotas, counts
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction, salt: str,
-                     split_col: str = "split") -> DataFrame:
+                     split_col: str = "split", hash_col: str | None = None) -> DataFrame:
     """Add ``split`` = 'test' for ceil(f*n) rows (class shares kept), else 'train' (SMP1)."""
-    picked, _, _ = stratified_pick(df, label, key, test_fraction, salt, round_up=True)
+    picked, _, _ = stratified_pick(df, label, key, test_fraction, salt, round_up=True,
+                                   hash_col=hash_col)
     return df.withColumn(split_col, F.when(picked, F.lit("test")).otherwise(F.lit("train")))
 
 

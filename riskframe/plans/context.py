@@ -16,6 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from riskframe import schema as S
+from riskframe.functions.columns import hash_order
 from riskframe.operators.sampling import stratified_split
 from riskframe.session import materialize
 from riskframe.sources.applications import applications
@@ -25,6 +26,9 @@ _LOCK = threading.RLock()
 
 # A table this small (about a few GB at 21 columns) may be cached whole.
 SPREAD_MAX_ROWS = 20_000_000
+# The split's hash order, written with the table so that no query pays an
+# md5 per row to tell train from test.
+SPLIT_HASH = "_split_h"
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -80,11 +84,15 @@ def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
     if ctx is not None and ctx.spark is not spark:
         ctx = None
     if ctx is None:
-        # One write of the joined table; the split thresholds are then found
-        # from two of its columns, and ``split`` is a per-row comparison with
-        # literal thresholds (no second write, no shuffle of the rows).
-        base = spread_small(materialize(applications(spark, sf_dir), "applications"))
-        table = stratified_split(base, S.LABEL, S.KEY, S.TEST_FRACTION, S.SPLIT_SALT)
+        # One write of the joined table, with the split's hash order as an
+        # extra column; the split thresholds are then found from it and the
+        # label, and ``split`` is an integer comparison with literal
+        # thresholds (no second write, no shuffle of the rows, no per-query
+        # hashing).
+        apps = applications(spark, sf_dir).withColumn(SPLIT_HASH, hash_order(S.KEY, S.SPLIT_SALT))
+        base = spread_small(materialize(apps, "applications"))
+        table = stratified_split(base, S.LABEL, S.KEY, S.TEST_FRACTION, S.SPLIT_SALT,
+                                 hash_col=SPLIT_HASH).drop(SPLIT_HASH)
         ctx = Prepared(spark, sf_dir, table)
         _CONTEXTS[key] = ctx
     return ctx
