@@ -69,9 +69,11 @@ def split_cover_check(spark, sf_dir):
 
 @query
 def train_raw_rows(spark, sf_dir):
-    ctx = prepared(spark, sf_dir)
-    keys = ctx.table.where("split = 'train'").select(S.KEY)
-    return ctx.table.drop("split").join(keys, S.KEY, "left_semi")
+    """Raw rows of the training split with their label (JOIN1, JOIN2). The
+    split membership and the label sit in the row, so the semi join on the
+    row id is a filter on ``split``: no shuffle of the table against its
+    own keys."""
+    return sampling.train_rows(prepared(spark, sf_dir).table)
 
 
 # --------------------------------------------------------------- exploration
