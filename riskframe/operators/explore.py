@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from riskframe.functions.columns import label_text, rate, sig
+from riskframe.functions.columns import label_text, rate, sig, unpivot
 from riskframe.functions.joins import small_frame
 from riskframe.operators.quantiles import exact_quantiles
 
@@ -156,19 +156,16 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair (i > j, lower triangle), pairwise
     complete; NULL for a constant column (AGG18, PRJ15).
 
-    Each row is unpivoted into one (pair, a, b) row per complete pair and
+    Each row is unpivoted (``stack``) into one (pair, a, b) row per complete pair and
     aggregated per pair with Spark's numerically stable ``covar_pop`` /
     ``var_pop`` merges; the aggregate is combined map-side, so the shuffle
     carries pairs x partitions rows. ``corr`` itself would raise on a
     constant column under ANSI mode, hence ``try_divide``.
     """
     pairs = [(i, j) for i in range(len(columns)) for j in range(len(columns)) if i > j]
-    items = [F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"),
-                      F.col(columns[i]).cast("double").alias("a"),
-                      F.col(columns[j]).cast("double").alias("b"))
+    items = [(columns[i], columns[j], F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double"))
              for i, j in pairs]
-    long = (df.select(F.explode(F.array(*items)).alias("p"))
-            .select("p.*")
+    long = (unpivot(df, [], items, ["col_a", "col_b", "a", "b"])
             .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
     agg = long.groupBy("col_a", "col_b").agg(
         F.count(F.lit(1)).alias("n"),
@@ -201,8 +198,8 @@ def kde_density(df: DataFrame, columns: list[str], by: str, grid_points: int = 1
     columns go through one statistics job and one binning pass.
     Output: (column_name, by, grid_index, x, density).
     """
-    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns]
-    base = (df.select(F.col(by), F.explode(F.array(*items)).alias("kv")).select(by, "kv.*")
+    items = [(c, F.col(c).cast("double")) for c in columns]
+    base = (unpivot(df, [by], items, ["column_name", "x"])
             .where(F.col(by).isNotNull() & F.col("x").isNotNull()))
     keys = ["column_name", by]
     stats = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
@@ -243,10 +240,9 @@ def violin_summary(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     """Per (column, group): size, quartiles, min, max and KDE bandwidth of
     the complete (value, group) pairs, with label text (FLT4, PRJ11, AGG19)."""
     spark = df.sparkSession
-    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v"))
-             for c in columns]
-    long = (df.select(F.col(by), F.explode(F.array(*items)).alias("kv"))
-            .select(by, "kv.*").where(F.col("v").isNotNull() & F.col(by).isNotNull()))
+    items = [(c, F.col(c).cast("double")) for c in columns]
+    long = (unpivot(df, [by], items, ["column_name", "v"])
+            .where(F.col("v").isNotNull() & F.col(by).isNotNull()))
     stats = long.groupBy("column_name", by).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
         F.stddev_samp("v").alias("sd"))

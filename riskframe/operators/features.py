@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe import schema as S
-from riskframe.functions.columns import clip
+from riskframe.functions.columns import clip, unpivot
 from riskframe.operators.cleaning import clean_sentinels, drop_id_and_label
 from riskframe.operators.quantiles import _interp, order_statistics, quantile_ranks
 
@@ -69,8 +69,8 @@ def fit_state(train_raw: DataFrame, factor: float = S.IQR_FACTOR) -> dict:
     # categorical value counts: modes (ties -> smallest) and category lists
     modes, categories, onehot_means = {}, {}, {}
     if cat_cols:
-        items = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in cat_cols]
-        rows = (clean.select(F.explode(F.array(*items)).alias("kv")).select("kv.*")
+        items = [(c, F.col(c).cast("string")) for c in cat_cols]
+        rows = (unpivot(clean, [], items, ["column_name", "value"])
                 .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
                 .limit(MAX_CATEGORIES + 1).collect())
         if len(rows) > MAX_CATEGORIES:
@@ -223,11 +223,9 @@ def covariance_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Population covariance of every pair i >= j (diagonal = variance), as
     long rows aggregated per pair with map-side combine (FE9)."""
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
-    items = [F.struct(F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"),
-                      F.col(columns[i]).cast("double").alias("a"),
-                      F.col(columns[j]).cast("double").alias("b"))
+    items = [(columns[i], columns[j], F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double"))
              for i, j in pairs]
-    long = (df.select(F.explode(F.array(*items)).alias("p")).select("p.*")
+    long = (unpivot(df, [], items, ["col_a", "col_b", "a", "b"])
             .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
     return long.groupBy("col_a", "col_b").agg(F.count(F.lit(1)).alias("n"),
                                               F.covar_pop("a", "b").alias("cov"))

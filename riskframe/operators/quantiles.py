@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskframe.functions.columns import unpivot
+
 LOG_BUCKETS = 1 << 16
 LINEAR_BUCKETS = 1 << 12
 FETCH_LIMIT = 10_000
@@ -38,9 +40,8 @@ MAX_PASSES = 200
 
 def _long_form(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """(by..., cid, v) with one row per non-null, non-NaN value."""
-    items = [F.struct(F.lit(i).alias("cid"), F.col(c).cast("double").alias("v"))
-             for i, c in enumerate(columns)]
-    long = df.select(*by, F.explode(F.array(*items)).alias("kv")).select(*by, "kv.cid", "kv.v")
+    items = [(i, F.col(c).cast("double")) for i, c in enumerate(columns)]
+    long = unpivot(df, by, items, ["cid", "v"])
     return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 

@@ -246,8 +246,8 @@ def scaled_rows(spark, sf_dir):
 @query
 def onehot_long(spark, sf_dir):
     x, st = _imputed(spark, sf_dir)
-    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("category")) for c in st["cat_cols"]]
-    long = x.select(S.KEY, "split", F.explode(F.array(*items)).alias("kv")).select(S.KEY, "split", "kv.*")
+    items = [(c, F.col(c).cast("string")) for c in st["cat_cols"]]
+    long = C.unpivot(x, [S.KEY, "split"], items, ["column_name", "category"])
     cats = spark.createDataFrame([(c, v) for c in st["cat_cols"] for v in st["categories"][c]],
                                  "column_name string, category string")
     # the category list is the fitted encoder vocabulary (bounded by MAX_CATEGORIES)
