@@ -169,3 +169,13 @@ def test_sig_same_bits_in_spark_python_duckdb(spark):
                             [len(vals), vals]).fetchall())
     for i, v in enumerate(vals):
         assert got[i] == sig_value(v, 9) == duck[i], (v, got[i], sig_value(v, 9), duck[i])
+
+
+def test_unpivot_stack(spark):
+    from riskframe.functions.columns import unpivot
+
+    df = spark.createDataFrame([(1, 2.0, None), (2, None, 5)], "k int, a double, b int")
+    out = unpivot(df, ["k"], [("a", F.col("a")), ("b", F.col("b").cast("double"))], ["name", "v"])
+    assert out.columns == ["k", "name", "v"]
+    got = sorted((r.k, r.name, r.v) for r in out.collect())
+    assert got == [(1, "a", 2.0), (1, "b", None), (2, "a", None), (2, "b", 5.0)]

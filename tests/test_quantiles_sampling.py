@@ -105,3 +105,30 @@ def test_hash_sample_top_k(spark):
     import hashlib
     expect = sorted(range(1000), key=lambda k: (int(hashlib.md5(f"x:{k}".encode()).hexdigest()[:8], 16), k))[:50]
     assert sorted(r.key for r in s.collect()) == sorted(expect)
+
+
+@pytest.mark.parametrize("n", [500, 4000])
+def test_stratified_split_with_stored_hash(spark, n):
+    # the table may carry hash_order(key, salt) as a column, written once
+    rows = [(k * 7 + 3, int(k % 11 == 0)) for k in range(n)]
+    df = spark.createDataFrame(rows, "key long, y int")
+    stored = df.withColumn("h", hash_order("key", "salt-a:"))
+    a = sampling.stratified_split(df, "y", "key", "0.2", "salt-a:")
+    b = sampling.stratified_split(stored, "y", "key", "0.2", "salt-a:", hash_col="h")
+    assert ({r.key for r in a.where("split = 'test'").collect()}
+            == {r.key for r in b.where("split = 'test'").collect()})
+
+
+def test_stored_order_with_heavy_ties(spark):
+    # a stored order column with only 3 values: the boundary falls among
+    # tied orders and is resolved by key
+    rows = [(k, int(k % 4 == 0), k % 3) for k in range(3000)]
+    df = spark.createDataFrame(rows, "key long, y int, h long")
+    col, quotas, _ = sampling.stratified_pick(df, "y", "key", "0.3", "unused:", round_up=True,
+                                              hash_col="h")
+    got = {r.key for r in df.where(col).collect()}
+    expect = set()
+    for y in (0, 1):
+        members = sorted((h, k) for k, yy, h in rows if yy == y)
+        expect |= {k for _, k in members[:quotas[y]]}
+    assert got == expect
