@@ -14,11 +14,14 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskframe import schema as S
 from riskframe.functions.columns import hash_order
 from riskframe.operators.sampling import stratified_split
 from riskframe.session import materialize
+from riskframe.sources import csv
 from riskframe.sources.applications import applications
 
 _CONTEXTS: dict[tuple, "Prepared"] = {}
@@ -73,6 +76,30 @@ class Prepared:
             return self.memo[name]
 
 
+def load_applications(spark: SparkSession, source: str) -> DataFrame:
+    """The application table named by ``source``:
+
+    * ``*.csv`` -- a headed CSV file, or a folder of them (the dashboard's
+      input format): pandas-style NA tokens become NULL, types are inferred
+      in one pass (SRC1); a missing path raises ``FileNotFoundError`` (SRC2);
+    * ``*.parquet`` -- a Parquet table of applications; NaN in floating
+      columns becomes NULL (Spark aggregates skip NULL, not NaN);
+    * any other folder -- the TPC-H-style test tables, from which the
+      application table is derived (``sources/applications.py``).
+
+    The choice is by name only, so it works for any Hadoop file system.
+    """
+    src = source.rstrip("/")
+    if src.lower().endswith(".csv"):
+        return csv.read_csv(spark, src)
+    if src.lower().endswith(".parquet"):
+        df = spark.read.parquet(src)
+        return df.select(*[F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
+                           if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+                           for f in df.schema.fields])
+    return applications(spark, src)
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
     with _LOCK:
         return _prepared(spark, sf_dir)
@@ -89,7 +116,7 @@ def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
         # label, and ``split`` is an integer comparison with literal
         # thresholds (no second write, no shuffle of the rows, no per-query
         # hashing).
-        apps = applications(spark, sf_dir).withColumn(SPLIT_HASH, hash_order(S.KEY, S.SPLIT_SALT))
+        apps = load_applications(spark, sf_dir).withColumn(SPLIT_HASH, hash_order(S.KEY, S.SPLIT_SALT))
         base = spread_small(materialize(apps, "applications"))
         table = stratified_split(base, S.LABEL, S.KEY, S.TEST_FRACTION, S.SPLIT_SALT,
                                  hash_col=SPLIT_HASH).drop(SPLIT_HASH)
