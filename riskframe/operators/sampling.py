@@ -153,18 +153,54 @@ def membership(label: str, key: str, salt: str, thresholds: dict,
     return picked
 
 
-def stratified_pick(df: DataFrame, label: str, key: str, fraction, salt: str,
-                    round_up: bool, hash_col: str | None = None) -> tuple[Column, dict, dict]:
-    """Pick ``ceil`` (``round_up``) or ``floor`` of ``fraction * n`` rows with
-    class shares kept. Returns the membership column, quotas and class counts.
-    ``hash_col`` names a stored ``hash_order(key, salt)`` column, if any."""
+def hash_bounds(thresholds: dict) -> tuple[int | None, int | None]:
+    """Bounds on the hash order implied by per-class thresholds: every picked
+    row has ``h <= hi`` and every other row ``h >= lo`` (``None``: no bound).
+    They are redundant with ``membership`` but are plain column-vs-literal
+    comparisons, which Parquet row-group statistics can evaluate even though
+    the class label is mixed inside every row group."""
+    ts = list(thresholds.values())
+    cut = [t[0] for t in ts if t is not None and t != "all"]
+    hi = None if any(t == "all" for t in ts) else max(cut, default=-1)
+    lo = None if any(t is None for t in ts) else min(cut, default=None)
+    return hi, lo
+
+
+def _thresholds(df: DataFrame, label: str, key: str, fraction, salt: str, round_up: bool,
+                hash_col: str | None) -> tuple[dict, dict, dict]:
     f = as_fraction(fraction)
     hist = top_bucket_counts(df, label, key, salt, hash_col)
     counts = {c: sum(n for _, n in b) for c, b in hist.items()}
     n = sum(counts.values())
     total = -((-n * f.numerator) // f.denominator) if round_up else (n * f.numerator) // f.denominator
     quotas = largest_remainder(counts, total)
-    thresholds = lowest_k_thresholds(df, label, key, salt, quotas, counts, hist, hash_col)
+    return lowest_k_thresholds(df, label, key, salt, quotas, counts, hist, hash_col), quotas, counts
+
+
+def split_predicates(df: DataFrame, label: str, key: str, test_fraction, salt: str,
+                     hash_col: str | None = None) -> tuple[Column, Column]:
+    """``(test, train)`` row predicates of the stratified split (SMP1), each
+    the exact membership test plus the redundant hash bound of
+    ``hash_bounds``. On a table whose files are sorted by the stored hash
+    order, the bound lets the scan skip the row groups of the other side."""
+    thresholds, _, _ = _thresholds(df, label, key, test_fraction, salt, True, hash_col)
+    member = membership(label, key, salt, thresholds, hash_col)
+    h = _order(key, salt, hash_col)
+    hi, lo = hash_bounds(thresholds)
+    test, train = member, ~member
+    if hi is not None:
+        test = (h <= F.lit(hi)) & test
+    if lo is not None:
+        train = (h >= F.lit(lo)) & train
+    return test, train
+
+
+def stratified_pick(df: DataFrame, label: str, key: str, fraction, salt: str,
+                    round_up: bool, hash_col: str | None = None) -> tuple[Column, dict, dict]:
+    """Pick ``ceil`` (``round_up``) or ``floor`` of ``fraction * n`` rows with
+    class shares kept. Returns the membership column, quotas and class counts.
+    ``hash_col`` names a stored ``hash_order(key, salt)`` column, if any."""
+    thresholds, quotas, counts = _thresholds(df, label, key, fraction, salt, round_up, hash_col)
     return membership(label, key, salt, thresholds, hash_col), quotas, counts
 
 

@@ -71,9 +71,9 @@ def split_cover_check(spark, sf_dir):
 def train_raw_rows(spark, sf_dir):
     """Raw rows of the training split with their label (JOIN1, JOIN2). The
     split membership and the label sit in the row, so the semi join on the
-    row id is a filter on ``split``: no shuffle of the table against its
-    own keys."""
-    return sampling.train_rows(prepared(spark, sf_dir).table)
+    row id is the split's row predicate: no shuffle of the table against its
+    own keys, and the predicate reaches the Parquet scan."""
+    return prepared(spark, sf_dir).train
 
 
 # --------------------------------------------------------------- exploration

@@ -132,3 +132,42 @@ def test_stored_order_with_heavy_ties(spark):
         members = sorted((h, k) for k, yy, h in rows if yy == y)
         expect |= {k for _, k in members[:quotas[y]]}
     assert got == expect
+
+
+def test_split_predicates_match_split_and_bounds(spark):
+    rows = [(k * 3 + 1, int(k % 9 == 0)) for k in range(5000)]
+    df = spark.createDataFrame(rows, "key long, y int").withColumn("h", hash_order("key", "s:"))
+    test, train = sampling.split_predicates(df, "y", "key", "0.2", "s:", hash_col="h")
+    split = sampling.stratified_split(df, "y", "key", "0.2", "s:", hash_col="h")
+    assert ({r.key for r in df.where(test).collect()}
+            == {r.key for r in split.where("split = 'test'").collect()})
+    assert ({r.key for r in df.where(train).collect()}
+            == {r.key for r in split.where("split = 'train'").collect()})
+    assert sampling.hash_bounds({0: (5, 1), 1: (9, 2)}) == (9, 5)
+    assert sampling.hash_bounds({0: "all", 1: None}) == (None, None)
+
+
+def test_split_predicate_skips_row_groups(spark, tmp_path):
+    """Files sorted by the stored hash order: the test predicate's hash bound
+    lets the Parquet scan skip the training rows' row groups."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    old = conf.get("parquet.block.size")
+    conf.setInt("parquet.block.size", 64 * 1024)
+    try:
+        path = str(tmp_path / "t")
+        (spark.range(200_000).select(F.col("id").alias("key"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+         .withColumn("h", hash_order("key", "s:")).coalesce(1).sortWithinPartitions("h")
+         .write.parquet(path))
+    finally:
+        if old is None:
+            conf.unset("parquet.block.size")
+        else:
+            conf.set("parquet.block.size", old)
+    df = spark.read.parquet(path)
+    test, _ = sampling.split_predicates(df, "y", "key", "0.2", "s:", hash_col="h")
+    sel = df.where(test).select("key")
+    assert len(sel.collect()) == 40_000
+    leaves = sel._jdf.queryExecution().executedPlan().collectLeaves()
+    scanned = [leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())
+               if leaves.apply(i).metrics().contains("numOutputRows")]
+    assert scanned and scanned[0] < 100_000
