@@ -205,10 +205,12 @@ def impute_stats(spark, sf_dir):
     return df.select("column_name", "kind", C.sig("median", 10).alias("median"), "mode")
 
 
-def _imputed(spark, sf_dir):
+def _imputed(spark, sf_dir, rows: DataFrame | None = None, keep=("split",)):
+    """Cleaned, clipped and imputed feature columns of ``rows`` (default:
+    every row), with the key and the ``keep`` columns."""
     st = _state(spark, sf_dir)
-    t = cleaning.clean_sentinels(_all_rows(spark, sf_dir))
-    x = t.select(S.KEY, "split", *st["num_cols"], *st["cat_cols"])
+    t = cleaning.clean_sentinels(_all_rows(spark, sf_dir) if rows is None else rows)
+    x = t.select(S.KEY, *keep, *st["num_cols"], *st["cat_cols"])
     return features.impute(features.clip_fitted(x, st), st), st
 
 
@@ -265,8 +267,8 @@ def feature_catalogue(spark, sf_dir):
 
 @query
 def covariance_pairs(spark, sf_dir):
-    x, st = _imputed(spark, sf_dir)
-    s = features.scale(x.where("split = 'train'").select(*st["num_cols"]), _reported(st))
+    x, st = _imputed(spark, sf_dir, prepared(spark, sf_dir).train, keep=())
+    s = features.scale(x.select(*st["num_cols"]), _reported(st))
     return features.covariance_pairs(s, st["num_cols"]).select(
         "col_a", "col_b", "n", C.sig("cov", 8).alias("cov"))
 
@@ -280,14 +282,14 @@ EVAL_WEIGHTS = {"EXT_SOURCE_1": -1.2, "CNT_CHILDREN": 0.6, "CNT_FAM_MEMBERS": 0.
 
 
 def _fixed_scores(spark, sf_dir):
-    x, st = _imputed(spark, sf_dir)
-    s = features.scale(x.where("split = 'test'").select(S.KEY, *st["num_cols"]), _reported(st))
-    labels = prepared(spark, sf_dir).test.select(S.KEY, S.LABEL)
+    # test rows through the split's pushed-down predicate; the label stays
+    # in the row (no join of the scores back to their own labels)
+    x, st = _imputed(spark, sf_dir, prepared(spark, sf_dir).test, keep=(S.LABEL,))
+    s = features.scale(x.select(S.KEY, S.LABEL, *st["num_cols"]), _reported(st))
     score = F.lit(EVAL_INTERCEPT)
     for c, w in EVAL_WEIGHTS.items():
         score = score + F.lit(w) * F.col(c)
-    scored = s.select(S.KEY, score.alias("score")).join(labels, S.KEY)
-    return evaluate.score_columns(scored, "score")
+    return evaluate.score_columns(s.select(S.KEY, S.LABEL, score.alias("score")), "score")
 
 
 @query
