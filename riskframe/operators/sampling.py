@@ -220,10 +220,18 @@ def stratified_subsample(df: DataFrame, label: str, key: str, fraction, salt: st
 
 def hash_sample(df: DataFrame, key: str, n: int, salt: str) -> DataFrame:
     """Uniform sample of ``n`` rows without replacement: the ``n`` lowest
-    ``(h, key)``. ``orderBy(..).limit(n)`` plans as TakeOrderedAndProject,
-    which keeps ``n`` rows per partition, never a full sort (SMP3)."""
-    return (df.withColumn("_h", hash_order(key, salt))
-            .orderBy("_h", key).limit(n).drop("_h"))
+    ``(h, key)`` (SMP3).
+
+    ``orderBy(..).limit(n)`` would plan as TakeOrderedAndProject, whose one
+    final task receives ``n`` rows from every input partition (n x
+    partitions rows on a large table). Instead the exact ``(h, key)`` of the
+    ``n``-th row is found with the split's two bounded histograms (the whole
+    table as one stratum), and the sample is a map-side filter."""
+    one = df.withColumn("_stratum", F.lit(0))
+    hist = top_bucket_counts(one, "_stratum", key, salt)
+    total = sum(c for _, c in hist.get(0, []))
+    thresholds = lowest_k_thresholds(one, "_stratum", key, salt, {0: min(n, total)}, {0: total}, hist)
+    return one.where(membership("_stratum", key, salt, thresholds)).drop("_stratum")
 
 
 def train_rows(table: DataFrame, split_col: str = "split") -> DataFrame:

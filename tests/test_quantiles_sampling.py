@@ -171,3 +171,10 @@ def test_split_predicate_skips_row_groups(spark, tmp_path):
     scanned = [leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())
                if leaves.apply(i).metrics().contains("numOutputRows")]
     assert scanned and scanned[0] < 100_000
+
+
+def test_hash_sample_edges(spark):
+    df = spark.range(30).withColumnRenamed("id", "key")
+    assert sampling.hash_sample(df, "key", 100, "x:").count() == 30
+    assert sampling.hash_sample(df, "key", 0, "x:").count() == 0
+    assert sampling.hash_sample(df.limit(0), "key", 5, "x:").count() == 0
