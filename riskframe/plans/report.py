@@ -1,7 +1,7 @@
 """Every output of the dashboard over one application table, written as
 Parquet: the batch job a user of the dashboard runs on their own data.
 
-usage: spark-submit riskframe/plans/report.py SOURCE OUT_DIR [QUERY ...]
+usage: spark-submit scripts/report.py SOURCE OUT_DIR [QUERY ...]
 
 ``SOURCE`` is an application CSV (``*.csv``), a Parquet table of
 applications (``*.parquet``) or a folder of the TPC-H-style test tables
