@@ -36,6 +36,10 @@ FETCH_LIMIT = 10_000
 LOG_SPAN = 710.0  # |sign(v) * log1p(|v|)| < 710 for every finite double
 MAX_SEARCHES = 100_000
 MAX_PASSES = 200
+# Up to this many open searches, later passes first keep only the rows with
+# a value inside some searched range (one OR of range tests, before the
+# unpivot), so the unpivot and the range join see candidates only.
+MAX_PREFILTER_SEARCHES = 256
 
 
 def _long_form(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
@@ -53,6 +57,22 @@ def _interp(a: float, b: float, t: float) -> float:
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
+def _prefilter(columns: list[str], by: list[str], searches: dict):
+    """Row predicate: some searched (group, column) range holds the row's
+    value; None when there are too many searches for one expression."""
+    if len(searches) > MAX_PREFILTER_SEARCHES:
+        return None
+    cond = F.lit(False)
+    for s in searches.values():
+        *group, cid = s["group"]
+        x = F.col(columns[cid]).cast("double")
+        term = (x >= F.lit(s["lo"])) & (x <= F.lit(s["hi"]))
+        for b, v in zip(by, group):
+            term = F.col(b).eqNullSafe(F.lit(v)) & term
+        cond = cond | term
+    return cond
+
+
 def _search_table(spark, by_fields, searches):
     """Small DataFrame of active searches: (sid, by..., cid, lo, hi)."""
     fields = [T.StructField("sid", T.LongType(), False)] + by_fields + [
@@ -112,8 +132,10 @@ def order_statistics(df: DataFrame, columns: list[str], ranks_for, by: list[str]
         if not searches:
             break
         st = _search_table(spark, by_fields, searches)
+        pre = _prefilter(columns, by, searches)
+        src = long if pre is None else _long_form(df.where(pre), columns, by)
         # The search table has a proven bound (MAX_SEARCHES rows).
-        joined = long.join(F.broadcast(st), on=[*by, "cid"]).where(
+        joined = src.join(F.broadcast(st), on=[*by, "cid"]).where(
             (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         small = [sid for sid, s in searches.items() if s["n"] <= fetch_limit]
         big = [sid for sid, s in searches.items() if s["n"] > fetch_limit]
