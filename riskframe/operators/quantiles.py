@@ -35,6 +35,8 @@ LINEAR_BUCKETS = 1 << 12
 FETCH_LIMIT = 10_000
 LOG_SPAN = 710.0  # |sign(v) * log1p(|v|)| < 710 for every finite double
 MAX_SEARCHES = 100_000
+# Rows the first histogram may bring to the driver (2^16 per group and column at most).
+MAX_HIST_ROWS = 4_000_000
 MAX_PASSES = 200
 # Up to this many open searches, later passes first keep only the rows with
 # a value inside some searched range (one OR of range tests, before the
@@ -104,7 +106,9 @@ def order_statistics(df: DataFrame, columns: list[str], ranks_for, by: list[str]
                      F.lit(LOG_BUCKETS - 1)).cast("int")
     hist = (long.groupBy(*by, "cid", bucket.alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
-            .collect())
+            .limit(MAX_HIST_ROWS + 1).collect())
+    if len(hist) > MAX_HIST_ROWS:
+        raise ValueError("too many groups x columns for exact quantiles")
     per_group: dict[tuple, list] = defaultdict(list)
     for r in hist:
         key = tuple(r[b] for b in by) + (r["cid"],)

@@ -26,6 +26,8 @@ from riskframe.functions.columns import hash_order
 
 TOP_BITS_SHIFT = 16
 MAX_STRATA = 10_000
+# Rows the first histogram may bring to the driver (65,536 per stratum at most).
+MAX_HIST_ROWS = 4_000_000
 
 
 def as_fraction(f) -> Fraction:
@@ -63,7 +65,9 @@ def top_bucket_counts(df: DataFrame, label: str, key: str, salt: str,
     """Counts per (class, top 16 hash bits): at most 65,536 rows per class.
     Summed per class they are the class sizes, so one job gives both."""
     top = F.shiftright(_order(key, salt, hash_col), TOP_BITS_SHIFT).alias("hb")
-    rows = df.groupBy(label, top).count().collect()
+    rows = df.groupBy(label, top).count().limit(MAX_HIST_ROWS + 1).collect()
+    if len(rows) > MAX_HIST_ROWS:
+        raise ValueError(f"too many strata in {label} for an exact stratified pick")
     hist = defaultdict(list)
     for r in rows:
         hist[r[label]].append((r["hb"], r["count"]))
