@@ -40,6 +40,10 @@ APPLICATION_COLUMNS: list[tuple[str, str]] = [
 
 # Nation is a fixed 25-row dimension; broadcast it only after checking.
 NATION_BROADCAST_ROWS = 10_000
+# A customer is "hot" when it holds at least this share of all orders (and at
+# least MIN_HOT_ROWS of them); there are at most 1 / HOT_KEY_SHARE such keys.
+HOT_KEY_SHARE = 0.001
+MIN_HOT_ROWS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +62,40 @@ def order_lines(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_KEY_SHARE,
+             min_rows: int = MIN_HOT_ROWS) -> list:
+    """Keys holding at least ``share`` of the rows of ``df`` (and ``min_rows``):
+    one map-side-combined count per key, of which at most ``1 / share`` rows
+    pass the filter and reach the driver."""
+    total = df.count()
+    cut = max(min_rows, int(total * share))
+    bound = int(1 / share) + 1
+    rows = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cut)
+            .limit(bound + 1).collect())
+    if len(rows) > bound:
+        raise AssertionError("more hot keys than the share allows")
+    return [r[key] for r in rows if r[key] is not None]
+
+
+def join_splitting_hot_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
+                            hot: list) -> DataFrame:
+    """Inner equi-join where the ``hot`` keys of ``left`` (a bounded list)
+    meet a broadcast of their few ``right`` rows, and all other keys take
+    the ordinary shuffle join. A key holding a third of ``left`` is then
+    spread over all of ``left``'s partitions instead of one reducer."""
+    if not hot:
+        return left.join(right, F.col(left_key) == F.col(right_key))
+    is_hot_l = F.col(left_key).isin(hot)
+    is_hot_r = F.col(right_key).isin(hot)
+    # at most len(hot) rows when the right key is unique; checked, not assumed
+    hot_right = bounded_broadcast(right.where(is_hot_r), 10 * len(hot) + 1000)
+    return (left.where(is_hot_l).join(hot_right, F.col(left_key) == F.col(right_key))
+            .unionByName(left.where(~is_hot_l)
+                         .join(right.where(~is_hot_r), F.col(left_key) == F.col(right_key))))
+
+
+def applications(spark: SparkSession, sf_dir: str, hot_share: float = HOT_KEY_SHARE,
+                 min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Build the 21-column application table from the test tables."""
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
@@ -71,9 +108,11 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("c_nationkey") == F.col("n_nationkey"))
     # orders first meet their line statistics: the aggregate's output is
     # already hash-partitioned by order key, so only orders is shuffled; the
-    # result then meets customers on the customer key.
-    joined = (orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-              .join(cust, F.col("o_custkey") == F.col("c_custkey")))
+    # result then meets customers on the customer key, with customers that
+    # hold a large share of all orders split off to a broadcast join.
+    hot = hot_keys(orders.select("o_custkey"), "o_custkey", hot_share, min_hot_rows)
+    ol = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    joined = join_splitting_hot_keys(ol, cust, "o_custkey", "c_custkey", hot)
     return joined.select(*[F.expr(expr).alias(name) for name, expr in APPLICATION_COLUMNS])
 
 
