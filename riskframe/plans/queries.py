@@ -404,9 +404,14 @@ def _test_scores(spark, sf_dir):
 @query
 def svm_test_metrics(spark, sf_dir):
     s = _test_scores(spark, sf_dir).select(S.LABEL, "prediction", "decision").persist()
-    met = evaluate.binary_metrics(s, S.LABEL, "prediction")
-    auc = evaluate.roc_auc(s, S.LABEL, "decision").first().auc  # one number
-    return met.withColumn("auc", F.lit(auc).cast("double"))
+    try:
+        # two one-row results over the same scored rows, scored once
+        met = evaluate.binary_metrics(s, S.LABEL, "prediction").first()
+        auc = evaluate.roc_auc(s, S.LABEL, "decision").first().auc
+    finally:
+        s.unpersist()
+    return spark.createDataFrame([(*met, auc)], "accuracy double, precision double, recall double, "
+                                                "f1 double, auc double")
 
 
 @query
