@@ -19,6 +19,7 @@ stream alike and never shuffles.
 from __future__ import annotations
 
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -50,7 +51,23 @@ def fit_state(train_raw: DataFrame, factor: float = S.IQR_FACTOR) -> dict:
             out += [lo, hi]
         return out
 
-    sizes, stats = order_statistics(clean, num_cols, ranks_for)
+    def category_counts():
+        if not cat_cols:
+            return []
+        items = [(c, F.col(c).cast("string")) for c in cat_cols]
+        rows = (unpivot(clean, [], items, ["column_name", "value"])
+                .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+                .limit(MAX_CATEGORIES + 1).collect())
+        if len(rows) > MAX_CATEGORIES:
+            raise ValueError(f"more than {MAX_CATEGORIES} categories to one-hot encode")
+        return rows
+
+    # the categorical counts do not depend on the quantile search: both run
+    # as concurrent Spark jobs
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        cat_future = pool.submit(category_counts)
+        sizes, stats = order_statistics(clean, num_cols, ranks_for)
+        cat_rows = cat_future.result()
     fences, medians = {}, {}
     for (cid,), n in sizes.items():
         c = num_cols[cid]
@@ -69,14 +86,8 @@ def fit_state(train_raw: DataFrame, factor: float = S.IQR_FACTOR) -> dict:
     # categorical value counts: modes (ties -> smallest) and category lists
     modes, categories, onehot_means = {}, {}, {}
     if cat_cols:
-        items = [(c, F.col(c).cast("string")) for c in cat_cols]
-        rows = (unpivot(clean, [], items, ["column_name", "value"])
-                .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-                .limit(MAX_CATEGORIES + 1).collect())
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"more than {MAX_CATEGORIES} categories to one-hot encode")
         per, nulls = defaultdict(list), defaultdict(int)
-        for r in rows:
+        for r in cat_rows:
             if r["value"] is None:
                 nulls[r["column_name"]] += r["n"]
             else:
