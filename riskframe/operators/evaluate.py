@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -106,9 +107,18 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
            .where(F.col("s").isNotNull() & F.col("y").isNotNull())
            .groupBy("s").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
                              F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).cast("bigint").alias("neg")))
+    # three jobs read the per-score counts (totals, range bounds, buckets):
+    # keep them for the duration of the call (recomputable if an executor is lost)
+    per = per.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _auc_from_counts(df.sparkSession, per)
+    finally:
+        per.unpersist()
+
+
+def _auc_from_counts(spark, per: DataFrame) -> DataFrame:
     tot = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("D")).first()
     P, N, D = (tot["P"] or 0), (tot["N"] or 0), (tot["D"] or 0)
-    spark = df.sparkSession
     if P == 0 or N == 0:
         return spark.createDataFrame([(None, P, N)], "auc double, n_pos bigint, n_neg bigint")
     buckets = max(1, min(MAX_AUC_BUCKETS, math.ceil(D / ROWS_PER_AUC_BUCKET)))
