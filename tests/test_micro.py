@@ -179,3 +179,32 @@ def test_unpivot_stack(spark):
     assert out.columns == ["k", "name", "v"]
     got = sorted((r.k, r.name, r.v) for r in out.collect())
     assert got == [(1, "a", 2.0), (1, "b", None), (2, "a", None), (2, "b", 5.0)]
+
+
+def test_checkpoint_dir_required_on_cluster():
+    """Outside local mode an unset spark.checkpoint.dir is an error, never a
+    machine-local scratch folder."""
+    from riskframe.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+        def setCheckpointDir(self, path):  # pragma: no cover - must not be reached
+            raise AssertionError("must not set a local folder")
+
+    class Session:
+        sparkContext = Context()
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
