@@ -216,9 +216,10 @@ def stratified_split(df: DataFrame, label: str, key: str, test_fraction, salt: s
     return df.withColumn(split_col, F.when(picked, F.lit("test")).otherwise(F.lit("train")))
 
 
-def stratified_subsample(df: DataFrame, label: str, key: str, fraction, salt: str) -> DataFrame:
+def stratified_subsample(df: DataFrame, label: str, key: str, fraction, salt: str,
+                         hash_col: str | None = None) -> DataFrame:
     """Rows of a floor(f*n) stratified subsample (SMP2)."""
-    picked, _, _ = stratified_pick(df, label, key, fraction, salt, round_up=False)
+    picked, _, _ = stratified_pick(df, label, key, fraction, salt, round_up=False, hash_col=hash_col)
     return df.where(picked)
 
 

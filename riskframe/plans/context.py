@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from riskframe import schema as S
 from riskframe.functions.columns import hash_order
-from riskframe.operators.sampling import split_predicates
+from riskframe.operators.sampling import split_predicates, stratified_subsample
 from riskframe.session import materialize
 from riskframe.sources import csv
 from riskframe.sources.applications import applications
@@ -32,6 +32,8 @@ SPREAD_MAX_ROWS = 20_000_000
 # The split's hash order, written with the table so that no query pays an
 # md5 per row to tell train from test.
 SPLIT_HASH = "_split_h"
+# Likewise the hash order of the training subsample (SMP2).
+SUBSAMPLE_HASH = "_sub_h"
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -65,16 +67,23 @@ class Prepared:
     def table(self) -> DataFrame:
         """All application rows + ``split``."""
         split = F.when(self.test_pred, F.lit("test")).otherwise(F.lit("train"))
-        return self.base.withColumn("split", split).drop(SPLIT_HASH)
+        return self.base.withColumn("split", split).drop(SPLIT_HASH, SUBSAMPLE_HASH)
 
     @property
     def train(self) -> DataFrame:
         # the predicate reaches the Parquet scan (see _prepared)
-        return self.base.where(self.train_pred).drop(SPLIT_HASH)
+        return self.base.where(self.train_pred).drop(SPLIT_HASH, SUBSAMPLE_HASH)
 
     @property
     def test(self) -> DataFrame:
-        return self.base.where(self.test_pred).drop(SPLIT_HASH)
+        return self.base.where(self.test_pred).drop(SPLIT_HASH, SUBSAMPLE_HASH)
+
+    def subsample(self, fraction) -> DataFrame:
+        """Stratified subsample of the training rows (SMP2), ordered by the
+        stored subsample hash (no md5 per row)."""
+        t = self.base.where(self.train_pred).drop(SPLIT_HASH)
+        return stratified_subsample(t, S.LABEL, S.KEY, fraction, S.SUBSAMPLE_SALT,
+                                    hash_col=SUBSAMPLE_HASH).drop(SUBSAMPLE_HASH)
 
     def cached(self, name: str, build):
         """Fitted objects (stats, models) computed once per input, also when
@@ -130,7 +139,9 @@ def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
         # which carry a plain bound on the hash, let the Parquet scan skip
         # the other side's row groups (test queries read about a fifth of
         # the table).
-        apps = load_applications(spark, sf_dir).withColumn(SPLIT_HASH, hash_order(S.KEY, S.SPLIT_SALT))
+        apps = (load_applications(spark, sf_dir)
+                .withColumn(SPLIT_HASH, hash_order(S.KEY, S.SPLIT_SALT))
+                .withColumn(SUBSAMPLE_HASH, hash_order(S.KEY, S.SUBSAMPLE_SALT)))
         base = spread_small(materialize(apps.sortWithinPartitions(SPLIT_HASH), "applications"))
         test_pred, train_pred = split_predicates(base, S.LABEL, S.KEY, S.TEST_FRACTION, S.SPLIT_SALT,
                                                  hash_col=SPLIT_HASH)

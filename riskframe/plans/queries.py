@@ -321,8 +321,7 @@ def classification_report(spark, sf_dir):
 
 # -------------------------------------------------- subsample, applicants
 def _subsample(spark, sf_dir):
-    t = prepared(spark, sf_dir).train
-    return sampling.stratified_subsample(t, S.LABEL, S.KEY, S.SUBSAMPLE_FRACTION, S.SUBSAMPLE_SALT)
+    return prepared(spark, sf_dir).subsample(S.SUBSAMPLE_FRACTION)
 
 
 @query
