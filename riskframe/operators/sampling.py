@@ -223,7 +223,7 @@ def stratified_subsample(df: DataFrame, label: str, key: str, fraction, salt: st
     return df.where(picked)
 
 
-def hash_sample(df: DataFrame, key: str, n: int, salt: str) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, n: int, salt: str, hash_col: str | None = None) -> DataFrame:
     """Uniform sample of ``n`` rows without replacement: the ``n`` lowest
     ``(h, key)`` (SMP3).
 
@@ -233,10 +233,11 @@ def hash_sample(df: DataFrame, key: str, n: int, salt: str) -> DataFrame:
     ``n``-th row is found with the split's two bounded histograms (the whole
     table as one stratum), and the sample is a map-side filter."""
     one = df.withColumn("_stratum", F.lit(0))
-    hist = top_bucket_counts(one, "_stratum", key, salt)
+    hist = top_bucket_counts(one, "_stratum", key, salt, hash_col)
     total = sum(c for _, c in hist.get(0, []))
-    thresholds = lowest_k_thresholds(one, "_stratum", key, salt, {0: min(n, total)}, {0: total}, hist)
-    return one.where(membership("_stratum", key, salt, thresholds)).drop("_stratum")
+    thresholds = lowest_k_thresholds(one, "_stratum", key, salt, {0: min(n, total)}, {0: total}, hist,
+                                     hash_col)
+    return one.where(membership("_stratum", key, salt, thresholds, hash_col)).drop("_stratum")
 
 
 def train_rows(table: DataFrame, split_col: str = "split") -> DataFrame:

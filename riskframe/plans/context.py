@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from riskframe import schema as S
 from riskframe.functions.columns import hash_order
-from riskframe.operators.sampling import split_predicates, stratified_subsample
+from riskframe.operators.sampling import hash_sample, split_predicates, stratified_subsample
 from riskframe.session import materialize
 from riskframe.sources import csv
 from riskframe.sources.applications import applications
@@ -32,8 +32,11 @@ SPREAD_MAX_ROWS = 20_000_000
 # The split's hash order, written with the table so that no query pays an
 # md5 per row to tell train from test.
 SPLIT_HASH = "_split_h"
-# Likewise the hash order of the training subsample (SMP2).
+# Likewise the hash orders of the training subsample (SMP2) and of the
+# scatter sample (SMP3).
 SUBSAMPLE_HASH = "_sub_h"
+SCATTER_HASH = "_scatter_h"
+HASH_COLUMNS = (SPLIT_HASH, SUBSAMPLE_HASH, SCATTER_HASH)
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -67,24 +70,30 @@ class Prepared:
     def table(self) -> DataFrame:
         """All application rows + ``split``."""
         split = F.when(self.test_pred, F.lit("test")).otherwise(F.lit("train"))
-        return self.base.withColumn("split", split).drop(SPLIT_HASH, SUBSAMPLE_HASH)
+        return self.base.withColumn("split", split).drop(*HASH_COLUMNS)
 
     @property
     def train(self) -> DataFrame:
         # the predicate reaches the Parquet scan (see _prepared)
-        return self.base.where(self.train_pred).drop(SPLIT_HASH, SUBSAMPLE_HASH)
+        return self.base.where(self.train_pred).drop(*HASH_COLUMNS)
 
     @property
     def test(self) -> DataFrame:
-        return self.base.where(self.test_pred).drop(SPLIT_HASH, SUBSAMPLE_HASH)
+        return self.base.where(self.test_pred).drop(*HASH_COLUMNS)
 
     def subsample(self, fraction) -> DataFrame:
         """Stratified subsample of the training rows (SMP2), ordered by the
         stored subsample hash (no md5 per row)."""
-        t = self.base.where(self.train_pred).drop(SPLIT_HASH)
+        t = self.base.where(self.train_pred).drop(SPLIT_HASH, SCATTER_HASH)
         return stratified_subsample(t, S.LABEL, S.KEY, fraction, S.SUBSAMPLE_SALT,
                                     hash_col=SUBSAMPLE_HASH).drop(SUBSAMPLE_HASH)
 
+    def train_sample(self, n: int, complete: list[str]) -> DataFrame:
+        """``n`` training rows, uniform without replacement among those with
+        all of ``complete`` present (SMP3), by the stored scatter order."""
+        t = self.base.where(self.train_pred).drop(SPLIT_HASH, SUBSAMPLE_HASH).na.drop(subset=complete)
+        return hash_sample(t, S.KEY, n, S.SCATTER_SALT, hash_col=SCATTER_HASH).drop(SCATTER_HASH)
+
     def cached(self, name: str, build):
         """Fitted objects (stats, models) computed once per input, also when
         queries run from several threads."""
@@ -141,7 +150,8 @@ def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
         # the table).
         apps = (load_applications(spark, sf_dir)
                 .withColumn(SPLIT_HASH, hash_order(S.KEY, S.SPLIT_SALT))
-                .withColumn(SUBSAMPLE_HASH, hash_order(S.KEY, S.SUBSAMPLE_SALT)))
+                .withColumn(SUBSAMPLE_HASH, hash_order(S.KEY, S.SUBSAMPLE_SALT))
+                .withColumn(SCATTER_HASH, hash_order(S.KEY, S.SCATTER_SALT)))
         base = spread_small(materialize(apps.sortWithinPartitions(SPLIT_HASH), "applications"))
         test_pred, train_pred = split_predicates(base, S.LABEL, S.KEY, S.TEST_FRACTION, S.SPLIT_SALT,
                                                  hash_col=SPLIT_HASH)

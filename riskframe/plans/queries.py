@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions import columns as C
-from riskframe.operators import cleaning, evaluate, explore, features, model, profile, sampling
+from riskframe.operators import cleaning, evaluate, explore, features, model, profile
 from riskframe.sources import applicants
 from riskframe.plans.context import prepared
 
@@ -155,10 +155,8 @@ def score_density(spark, sf_dir):
 
 @query
 def scatter_sample(spark, sf_dir):
-    t = prepared(spark, sf_dir).train
-    complete = t.na.drop(subset=["AMT_CREDIT", "AMT_GOODS_PRICE"])
-    return sampling.hash_sample(complete, S.KEY, S.SCATTER_SAMPLE_SIZE, S.SCATTER_SALT).select(
-        S.KEY, "AMT_GOODS_PRICE", "AMT_CREDIT", S.LABEL)
+    sample = prepared(spark, sf_dir).train_sample(S.SCATTER_SAMPLE_SIZE, ["AMT_CREDIT", "AMT_GOODS_PRICE"])
+    return sample.select(S.KEY, "AMT_GOODS_PRICE", "AMT_CREDIT", S.LABEL)
 
 
 # ------------------------------------------------------ cleaning and features
