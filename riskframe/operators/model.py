@@ -34,6 +34,10 @@ from riskframe.operators.sampling import stratified_subsample
 
 
 ROWS_PER_SOLVER_PARTITION = 500_000
+# Each LinearSVC fit caches its own blocks of training vectors; six fits at
+# once hold about five copies of the training set. Above this many training
+# rows the fits run one after another (peak: the shared cache plus one fit's).
+CONCURRENT_FIT_MAX_ROWS = 50_000_000
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -189,7 +193,8 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
         jobs = {"final": train}
         for f in range(folds):
             jobs[f] = train.where(F.col("fold") != f)
-        with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
+        workers = parallel_fits if n_train <= CONCURRENT_FIT_MAX_ROWS else 1
+        with ThreadPoolExecutor(max_workers=workers) as pool:
             futures = {name: pool.submit(_fit_svm, df, "pca_features", "label_d", "weight", reg, max_iter)
                        for name, df in jobs.items()}
             models = {name: fut.result() for name, fut in futures.items()}
