@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from riskframe import schema as S
-from riskframe.functions.columns import hash_order
+from riskframe.functions.columns import hash_order, unpivot
 from riskframe.operators.features import feature_names, feature_vector, fit_state
 from riskframe.operators.sampling import stratified_subsample
 
@@ -212,10 +212,9 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
         t_neg = 1.0 / (n_neg + 2.0)
         t = F.when(F.col("label_d") == 1.0, F.lit(t_pos)).otherwise(F.lit(t_neg))
         soft = oof.select(F.array(F.col("m")).alias("arr"), t.alias("t"))
-        soft = soft.select(F.col("arr"), F.explode(F.array(
-            F.struct(F.lit(1.0).alias("y"), F.col("t").alias("w")),
-            F.struct(F.lit(0.0).alias("y"), (F.lit(1.0) - F.col("t")).alias("w")))).alias("yw"))
-        soft = soft.select(array_to_vector("arr").alias("mf"), "yw.y", "yw.w")
+        # each margin twice: target 1 with weight t, target 0 with weight 1 - t
+        soft = unpivot(soft, ["arr"], [(1.0, F.col("t")), (0.0, F.lit(1.0) - F.col("t"))], ["y", "w"])
+        soft = soft.select(array_to_vector("arr").alias("mf"), "y", "w")
         lr = LogisticRegression(featuresCol="mf", labelCol="y", weightCol="w", regParam=0.0,
                                 standardization=False, maxIter=100, tol=1e-10).fit(soft)
         a, b = float(lr.coefficients[0]), float(lr.intercept)
