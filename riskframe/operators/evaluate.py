@@ -25,9 +25,10 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
                                  "actual int, predicted int")
     counts = (df.groupBy(F.col(label).cast("int").alias("actual"),
                          F.col(prediction).cast("int").alias("predicted"))
-              .agg(F.count(F.lit(1)).alias("n")))
-    # the grid is 4 literal rows: a proven-small broadcast side
-    return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")
+              .agg(F.count(F.lit(1)).alias("n"))
+              .where(F.col("actual").isin(*CLASSES) & F.col("predicted").isin(*CLASSES)))
+    # at most 4 count rows: a proven-small build side for the outer join
+    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
             .orderBy("actual", "predicted"))
 

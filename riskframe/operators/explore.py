@@ -50,9 +50,10 @@ def rate_in_fixed_order(df: DataFrame, category: str, label: str, order: list[st
     order_df = spark.createDataFrame(list(enumerate(order, start=1)),
                                      T.StructType([T.StructField("ord", T.IntegerType(), False),
                                                    T.StructField(category, T.StringType(), False)]))
-    rates = rate_by_category(df, category, label)
-    # The order table is a literal list (7 rows): a proven-small build side.
-    return (F.broadcast(order_df).join(rates, category, "left")
+    # only the listed categories can match: at most len(order) rate rows,
+    # a proven-small build side for the outer join that keeps every listed one
+    rates = rate_by_category(df.where(F.col(category).isin(order)), category, label)
+    return (order_df.join(F.broadcast(rates), category, "left")
             .select("ord", category, "default_rate_pct", F.coalesce("n", F.lit(0)).alias("n"))
             .orderBy("ord"))
 
