@@ -463,8 +463,15 @@ def csv_missing_profile(spark, sf_dir):
     from riskframe.session import ensure_checkpoint_dir
     from riskframe.sources import csv
 
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-csv/{uuid.uuid4().hex}"
-    csv.write_csv(prepared(spark, sf_dir).table.drop("split"), path)
+    ctx = prepared(spark, sf_dir)
+
+    def write_copy():
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-csv/{uuid.uuid4().hex}"
+        csv.write_csv(ctx.table.drop("split"), path)
+        return path
+
+    # the CSV copy is written once per input and read back by every call
+    path = ctx.cached("csv_copy", write_copy)
     return profile.missing_profile(csv.read_csv(spark, path), S.MISSING_TOP)
 
 
