@@ -421,9 +421,14 @@ def applicant_scores(spark, sf_dir):
     import uuid
 
     m = _model(spark, sf_dir)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-models/pipeline-{uuid.uuid4().hex}"
-    m.pipeline.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
+
+    def save():
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-models/pipeline-{uuid.uuid4().hex}"
+        m.pipeline.write().overwrite().save(path)
+        return path
+
+    # saved once per fitted model; every call loads it back and scores
+    loaded = PipelineModel.load(prepared(spark, sf_dir).cached("model_path", save))
     forms = applicants.form_to_columns(_applicant_forms(spark, sf_dir))
     template = prepared(spark, sf_dir).train.drop(S.LABEL)
     aligned = applicants.align_to_schema(forms, template, keep=[S.KEY])
