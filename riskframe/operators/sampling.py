@@ -11,6 +11,11 @@ smallest ``(h, key)`` is located with two bounded histograms: counts per
 (class, top 16 hash bits) -- at most 65,536 rows per class -- then counts per
 exact hash value inside the one boundary bucket per class. Membership is then
 a map-side comparison with the per-class threshold, no shuffle of the rows.
+
+Every function takes ``hash_col``: a column holding ``hash_order(key, salt)``
+written with the table, so no md5 is computed per row. ``split_predicates``
+adds a plain bound on that column to each side's membership test, which
+Parquet row-group statistics can use when the files are sorted by it.
 """
 
 from __future__ import annotations
