@@ -3,7 +3,8 @@ fences, median / most-frequent imputation, standardisation with the
 population std, one-hot encoding with sorted categories (unseen -> all
 zeros), and assembly into one vector (FE1-FE7, FE9, JOIN4).
 
-Fitting costs two aggregate jobs plus one categorical count job:
+Fitting costs two aggregate jobs plus one categorical count job (run
+concurrently with the first):
 
 1. exact order statistics for Q1 / median / Q3 of every numeric column (one
    bounded search for all columns, see ``quantiles``) -- the median is taken

@@ -222,3 +222,9 @@ def test_hot_key_split_join_matches_plain_join(spark):
     plain = left.join(right, F.col("k") == F.col("rk"))
     assert split.count() == plain.count()
     assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
+
+
+def test_fixed_order_ignores_unlisted_categories(spark):
+    df = spark.createDataFrame([("MONDAY", 1), ("MONDAY", 0), ("HOLIDAY", 1), (None, 1)], "d string, y int")
+    out = explore.rate_in_fixed_order(df, "d", "y", ["MONDAY", "TUESDAY"]).collect()
+    assert [(r.ord, r.d, r.default_rate_pct, r.n) for r in out] == [(1, "MONDAY", 50.0, 2), (2, "TUESDAY", None, 0)]
