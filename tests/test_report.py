@@ -79,3 +79,18 @@ def test_hot_customer_split_join(spark, tmp_path):
     plain = A.applications(spark, out, min_hot_rows=10 ** 12)
     assert split.count() == plain.count() == orders.count()
     assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
+
+
+def test_split_predicates_reach_the_scan(spark, monkeypatch):
+    """Uncached (as at scale), train and test read the written table with
+    the split's hash bound among the Parquet pushed filters."""
+    monkeypatch.setattr(context, "SPREAD_MAX_ROWS", 0)
+    context.reset()
+    try:
+        ctx = context.prepared(spark, SMALL)
+        for df, op in ((ctx.train, "GreaterThanOrEqual(_split_h"), (ctx.test, "LessThanOrEqual(_split_h")):
+            plan = df.select("AMT_CREDIT")._jdf.queryExecution().executedPlan().toString()
+            pushed = [l for l in plan.split("\n") if "PushedFilters" in l]
+            assert pushed and op in pushed[0]
+    finally:
+        context.reset()
