@@ -17,9 +17,11 @@ is missed once in 270,000.
    small stars.
 4. In a bucket that still holds several components, the members outside its
    largest component are compared with all others, in blocks of at most
-   ``BLOCK`` members, first on the minhashes themselves (at least ``AGREE`` of
-   them must agree; a link has fewer once in 10^9) and then on the full sets.
-   No bucket is capped, and pairs within a component are never made.
+   ``BLOCK`` members, first on parity bitmaps of the sets (their differing
+   bits are never more than the differing shingles, so no link is lost) and
+   then on the full sets.
+   Two documents that meet in many tables are compared in the first of them
+   only. No bucket is capped, and pairs within a component are never made.
 
 Defined results: without words or text a set is empty and linked with nothing
 (n_shingles 0, its own component); a null key has component null and is kept;
@@ -48,7 +50,7 @@ from riskframe.session import materialize
 WORDS = 5
 SIDE = 16  # hashes in each of the two collections
 ROWS = 2  # minhashes combined to one of them
-AGREE = 24  # of the 64 minhashes; a similarity of 0.75 gives 48 on average
+PARITY_BITS = 2048
 BLOCK = 256
 BROADCAST_ROWS = 200_000
 
@@ -84,6 +86,12 @@ def shingles(utf8: bytes | None, hashes: Hashed) -> np.ndarray:
     return np.unique(total)
 
 
+def parity(shingle_set: np.ndarray) -> bytes:
+    """Bitmap in which every shingle flips one bit."""
+    bit = (_mix(shingle_set) % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(bit, minlength=PARITY_BITS) % 2 == 1).tobytes()
+
+
 def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     """32-bit minhashes, one row for each (non-empty) set."""
     sizes = np.array([len(s) for s in sets])
@@ -151,17 +159,17 @@ def _tables(classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes) of the wanted (key, node)."""
-    schema = StructType().add("node", LongType()).add("shingles", BinaryType())
+    """node, shingles (sorted 64-bit hashes as bytes), parity of the wanted (key, node)."""
+    schema = StructType().add("node", LongType()).add("shingles", BinaryType()).add("parity", BinaryType())
 
     def run(batches):
         arrow = to_arrow_schema(schema)
         for batch in slices(batches, chars_of="_utf8", max_bytes=1 << 20):
             hashes = Hashed()
             sets = [shingles(t, hashes) for t in batch.column("_utf8").to_pylist()]
-            keep = [(w, s.tobytes()) for w, s in zip(batch.column("node").to_pylist(), sets) if node_of(s) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.int64()),
-                                              pa.array([s for _, s in keep], pa.binary())], schema=arrow)
+            keep = [(w, s.tobytes(), parity(s)) for w, s in zip(batch.column("node").to_pylist(), sets) if node_of(s) == w]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keep], pa.int64())] + [
+                pa.array([k[i] for k in keep], pa.binary()) for i in (1, 2)], schema=arrow)
 
     rows = binary_text(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
     joined = rows.join(bounded_broadcast(wanted, BROADCAST_ROWS), "key").select("node", "_utf8")
@@ -213,35 +221,48 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, mins: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and agree in
-    enough minhashes; each bucket's members outside its largest component
+def _first_table(equal: np.ndarray) -> np.ndarray:
+    """Number (i * SIDE + j) of the first table that each row of equal minhashes shares; -1 for none."""
+    sides = equal.reshape(len(equal), 2, SIDE, ROWS).all(axis=3)
+    return np.where(sides.any(axis=2).all(axis=1), sides[:, 0].argmax(axis=1) * SIDE + sides[:, 1].argmax(axis=1), -1)
+
+
+def _open_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and may be
+    similar enough by their parity bitmaps; each bucket's members outside its largest component
     against all of its members, in blocks."""
     root = F.coalesce("root", "node")
-    rows = members.join(roots, "node", "left").select("k", "node", "n", root.alias("root"))
+    rows = members.join(roots, "node", "left").select("k", "table", "node", "n", root.alias("root"))
     by_root = rows.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
     open_ = (by_root.groupBy("k").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"),
                                       F.sum("c").alias("size"))
              .filter("roots > 1").select("k", F.col("top.root").alias("top"),
                                          F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     rows = materialize(rows.join(bounded_broadcast(materialize(open_, "op10-open"), BROADCAST_ROWS), "k")
-                       .join(mins, "node"), "op10-members")
+                       .join(sketches, "node"), "op10-members")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    held = rows.select("k", "node", "n", "root", "mins", block.alias("block"), F.lit(0).alias("asks"))
+    held = rows.select("k", "table", "node", "n", "root", "mins", "parity", block.alias("block"), F.lit(0).alias("asks"),
+                       (F.col("root") == F.col("top")).alias("inner"))
     asks = rows.filter("root <> top").select(
-        "k", "node", "n", "root", "mins", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"))
+        "k", "table", "node", "n", "root", "mins", "parity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.lit(1).alias("asks"), F.lit(False).alias("inner"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["asks"] == 1], pdf[pdf["asks"] == 0]
         a, b = [], []
         if len(left) and len(right):
             right_mins = np.frombuffer(b"".join(right["mins"]), np.uint32).reshape(len(right), -1)
+            bits = np.frombuffer(b"".join(right["parity"]), np.uint64).reshape(len(right), -1)
             nodes, roots_, sizes = right["node"].to_numpy(), right["root"].to_numpy(), right["n"].to_numpy()
-            for node, own, n, m in zip(left["node"], left["root"], left["n"], left["mins"]):
-                agree = (right_mins == np.frombuffer(m, np.uint32)).sum(axis=1)
-                ok = (agree >= AGREE) & (roots_ != own) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n))
+            inner = right["inner"].to_numpy()  # two outer members are compared once
+            for node, own, n, m, p in zip(left["node"], left["root"], left["n"], left["mins"], left["parity"]):
+                ok = np.flatnonzero((roots_ != own) & (inner | (nodes > node)) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)))
+                # a link differs in at most a seventh of the summed sizes
+                apart = np.bitwise_count(bits[ok] ^ np.frombuffer(p, np.uint64)).sum(axis=1, dtype=np.int64)
+                ok = ok[7 * apart <= sizes[ok] + n]
+                ok = ok[_first_table(right_mins[ok] == np.frombuffer(m, np.uint32)) == pdf["table"].iloc[0]]
                 b += nodes[ok].tolist()
-                a += [node] * int(ok.sum())
+                a += [node] * len(ok)
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     found = held.unionByName(asks).groupBy("k", "block").applyInPandas(compare, "a long, b long")
@@ -259,13 +280,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sides = (single.join(bounded_broadcast(shared, BROADCAST_ROWS), "h", "left_semi")
              .groupBy("node").agg(F.collect_set("h").alias("h")))
     both = tables.join(sides, "node").select(
-        "node", "n", F.explode(F.array_intersect("a", "h")).alias("a"), F.array_intersect("b", "h").alias("b"))
-    keyed = materialize(both.select("node", "n", "a", F.explode("b").alias("b"))
-                        .select("node", "n", F.xxhash64("a", "b").alias("k")), "op10-keyed")
-    # buckets with the same members are one: the lowest key stands for them
+        "node", "n", F.posexplode("a").alias("i", "x"), "b", "h").filter(F.array_contains("h", F.col("x")))
+    both = both.select("node", "n", "i", "x", "h", F.posexplode("b").alias("j", "y")).filter(F.array_contains("h", F.col("y")))
+    keyed = materialize(both.select("node", "n", (F.col("i") * SIDE + F.col("j")).alias("table"),
+                                    F.xxhash64("x", "y").alias("k")), "op10-keyed")
+    # buckets with the same members are one: the one of the first table stands for them
     marks = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"m{salt}") for salt in (1, 2)]
-    buckets = (keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("rep"), *marks)
-               .filter("c > 1").groupBy("c", "rep", "m1", "m2").agg(F.min("k").alias("k")).select("k", "rep"))
+    buckets = (keyed.groupBy("k", "table").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("rep"), *marks)
+               .filter("c > 1").groupBy("c", "rep", "m1", "m2").agg(F.min(F.struct("table", "k")).alias("first"))
+               .select("first.k", "rep"))
     buckets = materialize(buckets, "op10-buckets")
     members = materialize(keyed.join(bounded_broadcast(buckets, BROADCAST_ROWS), "k"), "op10-bucketed")
     wanted = members.select("node").distinct().join(classes.select("node", "key"), "node")
@@ -277,7 +300,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             .select(F.col("rep").alias("a"), F.col("node").alias("b")))
     links = materialize(_verified(star, sets), "op10-links")
     roots = materialize(components(links), "op10-roots")
-    rest = materialize(_verified(_open_pairs(members, roots, classes.select("node", "mins")), sets), "op10-rest")
+    sketches = sets.select("node", "parity").join(classes.select("node", "mins"), "node")
+    rest = materialize(_verified(_open_pairs(members, roots, sketches), sets), "op10-rest")
     # the second round links components: whole stars of the first round and the new links
     all_links = rest.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
     roots = materialize(components(all_links), "op10-final")
