@@ -41,7 +41,7 @@ from riskframe.llm.common import slices
 
 ALPHA = 1.0
 RANK_OFFSET = 10
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 18
 SPACE = "▁"
 LITERAL = "\0" + SPACE  # no unit of a text begins so: a mark follows its own kind alone
 
@@ -101,15 +101,22 @@ class Suffixes:
     BITS = 20
 
     def __init__(self, ids: dict[str, int]) -> None:
+        self.longest = max(map(len, ids))
+        self.powers = np.cumprod(np.concatenate([[1], np.full(self.longest, 0x100000001B3)]).astype(np.uint64), dtype=np.uint64)
+        letters = sorted(set("".join(ids)))
+        mixed = dict(zip(letters, _mix(np.array([ord(c) + 1 for c in letters], np.uint64)).tolist()))
+        powers = self.powers.tolist()
         known: dict[str, int] = {}
+        hash_of: dict[str, int] = {"": 0}
         for text, i in ids.items():
-            for at in range(1, len(text)):
-                known.setdefault(text[at:], -1)
+            for at in range(len(text) - 1, -1, -1):
+                suffix = text[at:]
+                if suffix not in known:
+                    known[suffix] = -1
+                    hash_of[suffix] = (hash_of[text[at + 1:]] + mixed[text[at]] * powers[len(suffix) - 1]) % (1 << 64)
             known[text] = i
         texts = list(known)
-        self.longest = max(map(len, texts))
-        self.powers = np.cumprod(np.concatenate([[1], np.full(self.longest, 0x100000001B3)]).astype(np.uint64), dtype=np.uint64)
-        hashes = np.array([self._hash(t) for t in texts], np.uint64)
+        hashes = np.array([hash_of[t] for t in texts], np.uint64)
         self.hashes = np.concatenate([hashes, [np.uint64(0)]])
         self.piece = np.array([*known.values(), -1], np.int32)
         self.slots: list[np.ndarray] = []  # tables of suffix numbers; what collides goes to the next one
@@ -121,10 +128,6 @@ class Suffixes:
             self.slots.append(table)
             left = left[table[slot] != left]
 
-    def _hash(self, text: str) -> int:
-        codes = np.frombuffer(text[::-1].encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-        return int((_mix(codes) * self.powers[:len(codes)]).sum(dtype=np.uint64))
-
     def _slot(self, hashes: np.ndarray, level: int) -> np.ndarray:
         return (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
@@ -288,25 +291,19 @@ def decode(table: PieceTable, ids) -> str | None:
     return text[1:]
 
 
-def _tables(spark, model_file: str):
-    return spark.sparkContext.broadcast(load_pieces(model_file))  # bounded by the vocabulary
-
-
 def encode(docs: DataFrame, model_file: str, alpha: float = ALPHA, key: str = "doc_id",
            text: str = "text", out: str = "ids") -> DataFrame:
     """The documents with a sampled segmentation (array of piece ids) in ``out``."""
-    shared = _tables(docs.sparkSession, model_file)
+    table = PieceTable(load_pieces(model_file))
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # bounded by the vocabulary
     keep = [f for f in docs.schema if f.name != out]
     schema = StructType(list(keep)).add(out, ArrayType(IntegerType()))
-    state: dict = {}
 
     def run(batches):
         arrow = to_arrow_schema(schema)
-        if "table" not in state:
-            state["table"] = PieceTable(shared.value)
         for batch in slices(batches, rows=4096, chars_of="_text", max_bytes=BATCH_BYTES):
             seeds = batch.column("_seed").to_numpy(zero_copy_only=False).view(np.uint64)
-            ids = encode_batch(state["table"], batch.column("_text").to_pylist(), _mix(seeds.copy()), alpha)
+            ids = encode_batch(shared.value, batch.column("_text").to_pylist(), _mix(seeds.copy()), alpha)
             offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])]).astype(np.int32)
             values = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int32)])
             null = pa.array([x is None for x in ids], pa.bool_())
@@ -321,17 +318,14 @@ def encode(docs: DataFrame, model_file: str, alpha: float = ALPHA, key: str = "d
 
 def decoded(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """The rows with the decoded text of ``ids`` in ``out``."""
-    shared = _tables(encoded.sparkSession, model_file)
+    shared = encoded.sparkSession.sparkContext.broadcast(PieceTable(load_pieces(model_file)).raw)
     keep = [f for f in encoded.schema if f.name != out]
     schema = StructType(list(keep)).add(out, StringType())
-    state: dict = {}
 
     def run(batches):
         arrow = to_arrow_schema(schema)
-        if "table" not in state:
-            state["table"] = PieceTable(shared.value)
-        raw = state["table"].raw
-        for batch in slices(batches, rows=1024):
+        raw = shared.value
+        for batch in slices(batches, rows=256):
             column = batch.column(ids)
             values, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
             texts = [b"".join(map(raw.__getitem__, values[a:b])).decode("utf-8")[1:] if ok else None

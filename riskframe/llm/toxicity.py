@@ -44,7 +44,7 @@ ATTENTION = 8
 WORD_BUCKETS = 1 << 13
 GRAM_BUCKETS = 1 << 14
 SAMPLE_TOXIC = 500
-SAMPLE_CLEAN = 2500
+SAMPLE_CLEAN = 1500
 STEPS = 380
 FIRST_STEPS = 170  # with random windows
 BATCH = 96
@@ -82,7 +82,7 @@ class Vocabulary:
             grams.append((h % np.uint64(GRAM_BUCKETS)).astype(np.int64))
             owners.append(of[at])
         owner = np.concatenate(owners)
-        self.grams = np.concatenate(grams)[np.argsort(owner, kind="stable")]
+        self.grams = np.concatenate(grams)[np.argsort(owner, kind="stable")].astype(np.int32)
         self.sizes = np.bincount(owner, minlength=len(words))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.scale = (1 / np.sqrt(np.maximum(1, self.sizes)))[:, None].astype(np.float32)
@@ -97,9 +97,13 @@ class Vocabulary:
     def inputs(self, p: dict, which: np.ndarray) -> np.ndarray:
         if not len(which):
             return np.zeros((0, WIDTH), np.float32)
-        grams, of = self.grams_of(which)
-        starts = np.searchsorted(of, np.arange(len(which)))
-        return p["word"][self.word[which]] + np.add.reduceat(p["gram"][grams], starts, axis=0) * self.scale[which]
+        out = p["word"][self.word[which]]
+        for at in range(0, len(which), 4096):
+            part = which[at:at + 4096]
+            grams, of = self.grams_of(part)
+            starts = np.searchsorted(of, np.arange(len(part)))
+            out[at:at + 4096] += np.add.reduceat(p["gram"][grams], starts, axis=0) * self.scale[part]
+        return out
 
 
 def window_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +210,8 @@ class Texts:
         begin = np.cumsum(lengths) - lengths
         place = first[:, None] + np.arange(WINDOW)
         self.mask = place < lengths[self.owner][:, None]
-        self.at = np.where(self.mask, flat[np.minimum(begin[self.owner][:, None] + place, len(flat) - 1)], 0)
+        place += begin[self.owner][:, None]
+        self.at = np.where(self.mask, flat[np.minimum(place, len(flat) - 1)], 0).astype(np.int32)
 
     def inputs(self, p: dict, rows: np.ndarray) -> np.ndarray:
         """Inputs of the given rows (ascending); row 0 stands for no word."""
@@ -214,20 +219,20 @@ class Texts:
         return np.concatenate([np.zeros((1, WIDTH), np.float32), real]) if rows[0] == 0 else real
 
     def logits(self, p: dict, block: int = 1024) -> np.ndarray:
-        inputs, mask = self.inputs(p, np.arange(len(self.vocabulary.word) + 1)), self.mask.astype(np.float32)
-        return np.concatenate([forward(p, inputs, self.at[i:i + block], mask[i:i + block])[0]
+        inputs = self.inputs(p, np.arange(len(self.vocabulary.word) + 1))
+        return np.concatenate([forward(p, inputs, self.at[i:i + block], self.mask[i:i + block].astype(np.float32))[0]
                                for i in range(0, len(self.at), block)] or [np.empty(0, np.float32)])
 
 
 def _common_buckets(data: Texts) -> dict[str, np.ndarray]:
     """By table: whether at least LEAST_DOCS texts use a bucket (as 0 or 1)."""
-    doc, word = np.unique(np.stack([np.repeat(data.owner, WINDOW), data.at.ravel()])[:, data.mask.ravel()], axis=1)
-    grams, of = data.vocabulary.grams_of(word - 1)
-    out = {}
-    for name, size, owner, bucket in (("word", WORD_BUCKETS, doc, data.vocabulary.word[word - 1]),
-                                      ("gram", GRAM_BUCKETS, doc[of], grams)):
-        pairs = np.unique(owner * size + bucket)
-        out[name] = (np.bincount(pairs % size, minlength=size) >= LEAST_DOCS).astype(np.float32)
+    counts = {"word": np.zeros(WORD_BUCKETS), "gram": np.zeros(GRAM_BUCKETS)}
+    begin = np.append(np.flatnonzero(np.diff(data.owner, prepend=-1)), len(data.owner))
+    for first, last in zip(begin, begin[1:]):
+        used = np.unique(data.at[first:last][data.mask[first:last]]) - 1
+        counts["word"][np.unique(data.vocabulary.word[used])] += 1
+        counts["gram"][np.unique(data.vocabulary.grams_of(used)[0])] += 1
+    out = {k: (c >= LEAST_DOCS).astype(np.float32) for k, c in counts.items()}
     return out
 
 
