@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import time
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -33,13 +34,6 @@ from riskframe.operators.features import feature_names, feature_vector, fit_stat
 from riskframe.operators.sampling import stratified_subsample
 
 
-ROWS_PER_SOLVER_PARTITION = 500_000
-# Each LinearSVC fit caches its own blocks of training vectors; six fits at
-# once hold about five copies of the training set. Above this many training
-# rows the fits run one after another (peak: the shared cache plus one fit's).
-CONCURRENT_FIT_MAX_ROWS = 50_000_000
-
-
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced class weights ``n / (k * n_c)`` (ML1): one row per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -136,6 +130,13 @@ def _fit_svm(train: DataFrame, features: str, label: str, weight: str, reg: floa
     return svm.fit(train)
 
 
+def fold_reg(weight_in_fold: dict, fold: int, C: float) -> float:
+    """Regularisation of a fold's model: its own training rows (all other
+    folds) at the same C."""
+    total = sum(w for f, w in weight_in_fold.items() if f != fold)
+    return 1.0 / (C * total) if total else 1.0 / C
+
+
 def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: float = S.SVM_C,
                  subsample_fraction: str | None = None, folds: int = 5, max_iter: int = 100,
                  parallel_fits: int = 6, state: dict | None = None) -> FittedModel:
@@ -184,21 +185,25 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
     train = (base.withColumn("weight", wexpr)
              .withColumn("label_d", F.col(S.LABEL).cast("double"))
              .withColumn("fold", F.pmod(hash_order(S.KEY, S.FOLD_SALT), F.lit(folds))))
-    # Each solver iteration is one job over every partition: keep about
-    # ROWS_PER_SOLVER_PARTITION rows per partition (never more partitions than
-    # the input has; a large input keeps its own split count).
-    parts = max(1, min(train.rdd.getNumPartitions(), -(-n_train // ROWS_PER_SOLVER_PARTITION)))
-    train = train.coalesce(parts).persist()
+    # the solver keeps the partitions of the scan: one task for each
+    train = train.persist()
     try:
         jobs = {"final": train}
         for f in range(folds):
             jobs[f] = train.where(F.col("fold") != f)
-        workers = parallel_fits if n_train <= CONCURRENT_FIT_MAX_ROWS else 1
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            futures = {name: pool.submit(_fit_svm, df, "pca_features", "label_d", "weight", reg, max_iter)
+        in_fold = {r["fold"]: r["w"] for r in train.groupBy("fold").agg(F.sum("weight").alias("w")).collect()}
+        regs = {"final": reg} | {f: fold_reg(in_fold, f, C) for f in range(folds)}
+        with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
+            futures = {name: pool.submit(_fit_svm, df, "pca_features", "label_d", "weight", regs[name], max_iter)
                        for name, df in jobs.items()}
             models = {name: fut.result() for name, fut in futures.items()}
         svm = models["final"]
+        info["not_converged"] = [str(name) for name, m in models.items()
+                                 if m.hasSummary and m.summary().totalIterations >= max_iter]
+        if info["not_converged"]:
+            warnings.warn(f"linear SVM stopped at {max_iter} iterations: {info['not_converged']}", stacklevel=2)
+        info["fold_regs"] = [regs[f] for f in range(folds)]
+        info["solver_partitions"] = train.rdd.getNumPartitions()
         lap("svm_fits")
         # out-of-fold margins -> Platt targets (P+1)/(P+2), 1/(N+2)
         oof = None

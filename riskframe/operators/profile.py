@@ -91,22 +91,15 @@ def preview(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def split_cover(table: DataFrame, key: str, split_col: str = "split") -> DataFrame:
-    """Invariant of a split: train and test are disjoint and cover all rows
-    (JOIN6 and the set-operation checks). One row of counts, from one
-    aggregate over a tagged union of the set-operation results."""
-    train = table.where(F.col(split_col) == "train").select(key)
-    test = table.where(F.col(split_col) == "test").select(key)
-    tagged = (table.select(F.col(split_col).alias("tag"))
-              .unionByName(train.intersect(test).select(F.lit("overlap").alias("tag")))
-              .unionByName(table.select(key).exceptAll(train.unionByName(test))
-                           .select(F.lit("uncovered").alias("tag")))
-              .unionByName(table.select(key).join(train, key, "left_anti")
-                           .select(F.lit("not_train").alias("tag"))))
-
-    def n(*tags):
-        return F.sum(F.when(F.col("tag").isin(*tags), 1).otherwise(0)).cast("bigint")
-
-    return tagged.agg(n("train", "test").alias("n_rows"), n("train").alias("n_train"),
-                      n("test").alias("n_test"), n("overlap").alias("n_overlap"),
-                      n("uncovered").alias("n_uncovered"), n("not_train").alias("n_not_train"))
+def split_cover(rows: DataFrame, test: Column, train: Column) -> DataFrame:
+    """Invariant of a split (JOIN6): the two row predicates that every query
+    uses are disjoint and cover all rows. One row of counts from one scan; a
+    predicate that is NULL for a row selects nothing, as in a filter."""
+    chosen = rows.select(F.coalesce(test, F.lit(False)).alias("test"), F.coalesce(train, F.lit(False)).alias("train"))
+
+    def n(condition):
+        return F.count_if(condition).alias
+
+    return chosen.agg(F.count(F.lit(1)).alias("n_rows"), n(F.col("train"))("n_train"), n(F.col("test"))("n_test"),
+                      n(F.col("test") & F.col("train"))("n_overlap"),
+                      n(~F.col("test") & ~F.col("train"))("n_uncovered"), n(~F.col("train"))("n_not_train"))

@@ -159,7 +159,7 @@ def membership(label: str, key: str, salt: str, thresholds: dict,
         hs, ks = t
         below = (h < F.lit(hs)) | ((h == F.lit(hs)) & (F.col(key) <= F.lit(ks)))
         picked = picked | (_eq(label, c) & below)
-    return picked
+    return F.coalesce(picked, F.lit(False))  # a NULL label must not make the answer NULL
 
 
 def hash_bounds(thresholds: dict) -> tuple[int | None, int | None]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import threading
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +27,6 @@ from riskframe.sources.applications import applications
 _CONTEXTS: dict[tuple, "Prepared"] = {}
 _LOCK = threading.RLock()
 
-# A table this small (about a few GB at 21 columns) may be cached whole.
-SPREAD_MAX_ROWS = 20_000_000
 # The split's hash order, written with the table so that no query pays an
 # md5 per row to tell train from test.
 SPLIT_HASH = "_split_h"
@@ -39,22 +37,10 @@ SCATTER_HASH = "_scatter_h"
 HASH_COLUMNS = (SPLIT_HASH, SUBSAMPLE_HASH, SCATTER_HASH)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small table at least one partition per core.
-
-    A large table is read as many file splits and needs nothing. A small one
-    may come back as one or two files (AQE coalesces a small join output),
-    which would leave every later query in one task; such a table (bounded by
-    ``SPREAD_MAX_ROWS``; the parquet row count comes from file footers) is
-    spread round-robin (deterministic: rows are sorted before the
-    round-robin) and cached once.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or df.count() > SPREAD_MAX_ROWS:
-        return df
-    out = df.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+def write_partitions(spark: SparkSession) -> int:
+    """Files of the prepared table: at least one for each core, and as many as
+    the session's shuffles have."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @dataclass
@@ -108,15 +94,26 @@ def load_applications(spark: SparkSession, source: str) -> DataFrame:
 
     * ``*.csv`` -- a headed CSV file, or a folder of them (the dashboard's
       input format): pandas-style NA tokens become NULL, types are inferred
-      in one pass (SRC1); a missing path raises ``FileNotFoundError`` (SRC2);
+      in one pass (SRC1);
     * ``*.parquet`` -- a Parquet table of applications; NaN in floating
       columns becomes NULL (Spark aggregates skip NULL, not NaN);
     * any other folder -- the TPC-H-style test tables, from which the
       application table is derived (``sources/applications.py``).
 
+    A missing path raises ``FileNotFoundError`` (SRC2).
+
     The choice is by name only, so it works for any Hadoop file system.
     """
     src = source.rstrip("/")
+    try:
+        return _load(spark, src)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(f"File not found: {source}") from e
+        raise
+
+
+def _load(spark: SparkSession, src: str) -> DataFrame:
     if src.lower().endswith(".csv"):
         return csv.read_csv(spark, src)
     if src.lower().endswith(".parquet"):
@@ -152,7 +149,8 @@ def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
                 .withColumn(SPLIT_HASH, hash_order(S.KEY, S.SPLIT_SALT))
                 .withColumn(SUBSAMPLE_HASH, hash_order(S.KEY, S.SUBSAMPLE_SALT))
                 .withColumn(SCATTER_HASH, hash_order(S.KEY, S.SCATTER_SALT)))
-        base = spread_small(materialize(apps.sortWithinPartitions(SPLIT_HASH), "applications"))
+        apps = apps.repartition(write_partitions(spark), S.KEY).sortWithinPartitions(SPLIT_HASH)
+        base = materialize(apps, "applications")
         test_pred, train_pred = split_predicates(base, S.LABEL, S.KEY, S.TEST_FRACTION, S.SPLIT_SALT,
                                                  hash_col=SPLIT_HASH)
         ctx = Prepared(spark, sf_dir, base, test_pred, train_pred)

@@ -64,7 +64,8 @@ def missing_profile(spark, sf_dir):
 
 @query
 def split_cover_check(spark, sf_dir):
-    return profile.split_cover(prepared(spark, sf_dir).table, S.KEY)
+    ctx = prepared(spark, sf_dir)
+    return profile.split_cover(ctx.base, ctx.test_pred, ctx.train_pred)
 
 
 @query

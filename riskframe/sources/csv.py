@@ -28,13 +28,18 @@ def _null_tokens(c: str, tokens: list[str]) -> F.Column:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             na_tokens: list[str] | None = None) -> DataFrame:
+             na_tokens: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """Read a headed CSV like ``pandas.read_csv``: NA tokens become NULL,
-    numeric columns become int / bigint / double, the rest stay strings."""
+    numeric columns become int / bigint / double, the rest stay strings.
+
+    Quotes in a quoted field are doubled, a short row is padded with NULL.
+    ``multi_line`` allows line breaks in quoted fields; a file is then read
+    by one task, so it is off unless asked for."""
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     try:
         raw = (spark.read.option("header", "true").option("inferSchema", "false")
-               .option("mode", "FAILFAST").csv(path))
+               .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
+               .option("multiLine", str(multi_line).lower()).csv(path))
         names = raw.columns
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
@@ -48,7 +53,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
                             if not isinstance(types[c], T.StringType) else F.col(c) for c in names])
 
 
-INT_RE = r"^[+-]?[0-9]{1,18}$"
+INT_RE = r"^[+-]?[0-9]{1,19}$"
 FLOAT_RE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|Infinity)$"
 
 
@@ -60,12 +65,13 @@ def infer_types(df: DataFrame) -> dict[str, T.DataType]:
     for i, c in enumerate(df.columns):
         x = F.trim(F.col(c))
         present = F.col(c).isNotNull()
-        integral = x.rlike(INT_RE)
+        whole = F.when(x.rlike(INT_RE), x.try_cast("bigint"))
+        integral = whole.isNotNull()
         checks += [
             F.sum(F.when(present & ~integral, 1).otherwise(0)).alias(f"nonint_{i}"),
             F.sum(F.when(present & ~x.rlike(FLOAT_RE), 1).otherwise(0)).alias(f"nonfloat_{i}"),
-            F.min(F.when(integral, x.cast("bigint"))).alias(f"min_{i}"),
-            F.max(F.when(integral, x.cast("bigint"))).alias(f"max_{i}"),
+            F.min(whole).alias(f"min_{i}"),
+            F.max(whole).alias(f"max_{i}"),
         ]
     row = df.agg(*checks).first()
     out: dict[str, T.DataType] = {}
@@ -83,4 +89,4 @@ def infer_types(df: DataFrame) -> dict[str, T.DataType]:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Headed CSV, NULL written as an empty field."""
-    df.write.mode("overwrite").option("header", "true").csv(path)
+    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)

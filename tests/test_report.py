@@ -81,10 +81,9 @@ def test_hot_customer_split_join(spark, tmp_path):
     assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
 
 
-def test_split_predicates_reach_the_scan(spark, monkeypatch):
-    """Uncached (as at scale), train and test read the written table with
+def test_split_predicates_reach_the_scan(spark):
+    """At every scale, train and test read the written table with
     the split's hash bound among the Parquet pushed filters."""
-    monkeypatch.setattr(context, "SPREAD_MAX_ROWS", 0)
     context.reset()
     try:
         ctx = context.prepared(spark, SMALL)
