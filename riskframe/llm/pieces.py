@@ -327,7 +327,9 @@ def decoded(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "t
         raw = shared.value
         for batch in slices(batches, rows=256):
             column = batch.column(ids)
-            values, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
+            offsets = column.offsets.to_numpy()  # of a slice: places in the whole batch's values
+            values = column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).tolist()
+            offsets = (offsets - offsets[0]).tolist()
             texts = [b"".join(map(raw.__getitem__, values[a:b])).decode("utf-8")[1:] if ok else None
                      for a, b, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(texts, pa.string())], schema=arrow)
