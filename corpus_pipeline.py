@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, linededup, neardup, pieces, toxicity
+from riskframe.llm import decontaminate, linededup, neardup, toxicity
 from riskframe.llm.common import held_out, read_table
-from riskframe.llm.queries import MODEL_FILE
+from riskframe.llm.queries import piece_ids
 from riskframe.session import ensure_checkpoint_dir, materialize
 
 
@@ -43,10 +43,7 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids and whether they decode to the text."""
-    encoded = pieces.encode(docs.select("doc_id", F.col("text").alias("original")), MODEL_FILE, text="original")
-    return pieces.decoded(encoded, MODEL_FILE).select(
-        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids",
-        F.col("text").eqNullSafe(F.col("original")).alias("lossless"))
+    return piece_ids(docs)
 
 
 STAGES = [

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
 from riskframe.llm.common import slices
 
@@ -292,24 +292,31 @@ def decode(table: PieceTable, ids) -> str | None:
 
 
 def encode(docs: DataFrame, model_file: str, alpha: float = ALPHA, key: str = "doc_id",
-           text: str = "text", out: str = "ids") -> DataFrame:
-    """The documents with a sampled segmentation (array of piece ids) in ``out``."""
+           text: str = "text", out: str = "ids", lossless: str | None = None) -> DataFrame:
+    """The documents with a sampled segmentation (array of piece ids) in ``out``.
+    With ``lossless`` the ids are decoded again in the same task, and that
+    column says whether this gave the text (true for a null text)."""
     table = PieceTable(load_pieces(model_file))
     shared = docs.sparkSession.sparkContext.broadcast(table)  # bounded by the vocabulary
-    keep = [f for f in docs.schema if f.name != out]
+    keep = [f for f in docs.schema if f.name not in (out, lossless)]
     schema = StructType(list(keep)).add(out, ArrayType(IntegerType()))
+    if lossless:
+        schema = schema.add(lossless, BooleanType())
 
     def run(batches):
         arrow = to_arrow_schema(schema)
         for batch in slices(batches, rows=4096, chars_of="_text", max_bytes=BATCH_BYTES):
             seeds = batch.column("_seed").to_numpy(zero_copy_only=False).view(np.uint64)
-            ids = encode_batch(shared.value, batch.column("_text").to_pylist(), _mix(seeds.copy()), alpha)
+            texts = batch.column("_text").to_pylist()
+            ids = encode_batch(shared.value, texts, _mix(seeds.copy()), alpha)
             offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])]).astype(np.int32)
             values = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int32)])
             null = pa.array([x is None for x in ids], pa.bool_())
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=null)
+            same = [pa.array([decode(shared.value, x if x is None else x.tolist()) == t for x, t in zip(ids, texts)],
+                             pa.bool_())] if lossless else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in keep] + [column.cast(arrow.field(out).type)], schema=arrow)
+                [batch.column(f.name) for f in keep] + [column.cast(arrow.field(out).type), *same], schema=arrow)
 
     rows = docs.select(*[f.name for f in keep], F.xxhash64(F.lit("pieces"), F.col(key)).alias("_seed"),
                        F.col(text).cast("string").alias("_text"))

@@ -18,13 +18,15 @@ from riskframe.llm.common import held_out, read_table
 MODEL_FILE = os.environ.get("RISKFRAME_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def piece_ids(docs: DataFrame) -> DataFrame:
+    """doc_id, n_pieces, ids and whether they decode to the text."""
+    encoded = pieces.encode(docs.select("doc_id", "text"), MODEL_FILE, lossless="lossless")
+    return encoded.select("doc_id", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "lossless")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled ids of every whole text, their number, and whether they decode to the text."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
-    encoded = pieces.encode(docs, MODEL_FILE, text="original")
-    back = pieces.decoded(encoded, MODEL_FILE)
-    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids",
-                       F.col("text").eqNullSafe(F.col("original")).alias("lossless"))
+    return piece_ids(read_table(spark, sf_dir, "documents"))
 
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
