@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, StringType, StructType
 
-from riskframe.llm.common import binary_text, slices
+from riskframe.llm.common import slices
 
 WINDOW = 32
 STRIDE = 24
@@ -331,14 +331,17 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
     keep = [f for f in docs.schema if f.name != out]
     schema = StructType(list(keep)).add(out, DoubleType())
 
+    # the text travels once: a string column that is kept is also what is scored
+    source = text if text != out and isinstance(docs.schema[text].dataType, StringType) else "_scored"
+    rows = docs if source == text else docs.withColumn(source, F.col(text).cast("string"))
+
     def run(batches):
         arrow = to_arrow_schema(schema)
-        for batch in slices(batches, rows=4096, chars_of="_utf8", max_bytes=1 << 20):
-            got = score_texts(shared.value, batch.column("_utf8").to_pylist())
+        for batch in slices(batches, rows=4096, chars_of=source, max_bytes=1 << 20):
+            got = score_texts(shared.value, batch.column(source).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(got, pa.float64())], schema=arrow)
 
-    rows = binary_text(docs, text).select(*[f.name for f in keep], "_utf8")
-    return rows.mapInArrow(run, schema)
+    return rows.select(*dict.fromkeys([*[f.name for f in keep], source])).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
