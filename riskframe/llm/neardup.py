@@ -238,8 +238,12 @@ def _open_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> Da
                                       F.sum("c").alias("size"))
              .filter("roots > 1").select("k", F.col("top.root").alias("top"),
                                          F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    rows = materialize(rows.join(bounded_broadcast(materialize(open_, "op10-open"), BROADCAST_ROWS), "k")
-                       .join(sketches, "node"), "op10-members")
+    rows = rows.join(bounded_broadcast(materialize(open_, "op10-open"), BROADCAST_ROWS), "k")
+    # a node meets its sketch once and not in each bucket: its list of buckets has SIDE * SIDE entries at most
+    by_node = rows.groupBy("node").agg(F.min("n").alias("n"), F.min("root").alias("root"),
+                                       F.collect_list(F.struct("k", "table", "top", "blocks")).alias("places"))
+    rows = materialize(by_node.join(sketches, "node"), "op10-members")
+    rows = rows.select("node", "n", "root", "mins", "parity", F.inline("places"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     held = rows.select("k", "table", "node", "n", "root", "mins", "parity", block.alias("block"), F.lit(0).alias("asks"),
                        (F.col("root") == F.col("top")).alias("inner"))
