@@ -50,15 +50,20 @@ def rate(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def label_text(c: str | Column) -> Column:
-    """0/1 code to label text; anything else gives NULL like a dict map (PRJ11)."""
+def code_text(c: str | Column, texts: dict[int, str]) -> Column:
+    """Code to text; a code that is not listed gives NULL like a dict map (PRJ11)."""
     x = col(c)
     out = F.lit(None).cast("string")
-    for code, text in sorted(LABEL_TEXT.items(), reverse=True):
+    for code, text in sorted(texts.items(), reverse=True):
         out = F.when(x == code, F.lit(text)).otherwise(out)
     return out
 
 
+def label_text(c: str | Column) -> Column:
+    """0/1 code to label text (PRJ11)."""
+    return code_text(c, LABEL_TEXT)
+
+
 def age_years(days_birth: str | Column) -> Column:
     """Age in years rounded half-even to 0.1 (PRJ8)."""
     return F.bround(-col(days_birth) / F.lit(365.0), 1)
@@ -75,20 +80,27 @@ def years_to_days(years: str | Column) -> Column:
     return -(col(years) * F.lit(365))
 
 
+def round_even(c: str | Column, digits: int) -> Column:
+    """Rounded to ``digits`` decimals as NumPy and pandas do: scaled, half to
+    even, scaled back (PRJ14)."""
+    return F.rint(col(c) * F.lit(10.0 ** digits)) / F.lit(10.0 ** digits)
+
+
 def sig(c: str | Column, digits: int = 9) -> Column:
     """Round a double to ``digits`` significant digits with plain IEEE
     arithmetic, ``floor(x * 10^k + 0.5) / 10^k`` (``x / 10^-k`` for k < 0),
     where every power of ten used is exact (|k| <= 22). Any engine that
     evaluates the same operations gets the same bits, so order-dependent
     float results can be compared exactly (``plans.oracle.sig_sql`` is the
-    SQL form). Values below ``10^(digits-23)`` in magnitude count as 0."""
+    SQL form). Values below ``10^(digits-23)`` in magnitude go through their
+    decimal text instead."""
     x = col(c).cast("double")
     k = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
     up = F.floor(x * F.pow(F.lit(10.0), k) + F.lit(0.5)) / F.pow(F.lit(10.0), k)
     down = F.floor(x / F.pow(F.lit(10.0), -k) + F.lit(0.5)) * F.pow(F.lit(10.0), -k)
     return (F.when(x.isNull() | F.isnan(x), F.lit(None).cast("double"))
             .when(x == 0, F.lit(0.0))
-            .when(k > 22, F.lit(0.0))
+            .when(k > 22, F.format_string(f"%.{digits - 1}e", x).cast("double"))
             .when(k >= 0, up)
             .when(k >= -22, down)
             .otherwise(x))
@@ -103,7 +115,7 @@ def sig_value(v: float | None, digits: int = 9) -> float | None:
         return 0.0
     k = digits - 1 - math.floor(math.log10(abs(v)))
     if k > 22:
-        return 0.0
+        return float(f"{v:.{digits - 1}e}")
     if k >= 0:
         p = 10.0 ** k
         return math.floor(v * p + 0.5) / p

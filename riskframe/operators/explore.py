@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from riskframe.functions.columns import label_text, rate, sig, unpivot
+from riskframe.functions.columns import label_text, rate, round_even, sig, unpivot
 from riskframe.functions.joins import small_frame
 from riskframe.operators.quantiles import exact_quantiles
 
@@ -69,7 +69,7 @@ def rate_by_small_int(df: DataFrame, column: str, label: str, cap: int) -> DataF
 
 def pivot_counts(df: DataFrame, group: str, label: str, classes=(0, 1)) -> DataFrame:
     """Counts per (group, class) pivoted to one column per class, zero-filled,
-    with total and event rate (AGG14, AGG15, SRT4)."""
+    with total and event rate to 2 decimals (AGG14, AGG15, SRT4)."""
     names = {0: "n_no_default", 1: "n_default"}
     piv = (df.where(F.col(group).isNotNull())
            .groupBy(group).pivot(label, list(classes)).agg(F.count(F.lit(1))))
@@ -79,7 +79,7 @@ def pivot_counts(df: DataFrame, group: str, label: str, classes=(0, 1)) -> DataF
     piv = piv.na.fill(0, subset=cols)
     total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
     return (piv.withColumn("total", total)
-            .withColumn("default_rate_pct", rate(F.col(names[1]), F.col("total")) * 100)
+            .withColumn("default_rate_pct", round_even(rate(F.col(names[1]), F.col("total")) * 100, 2))
             .orderBy(group))
 
 
@@ -187,7 +187,7 @@ def p_quantile_filter(df: DataFrame, column: str, p: float) -> tuple[DataFrame,
 
 
 def kde_density(df: DataFrame, columns: list[str], by: str, grid_points: int = 100, cut: float = 2.0,
-                bins_per_bandwidth: int = 64, max_bins: int = 1 << 20) -> DataFrame:
+                bins_per_bandwidth: int = 64) -> DataFrame:
     """Gaussian KDE per (column, group) on a grid, Scott bandwidth, as a
     violin plot uses it (AGG19).
 
@@ -208,9 +208,7 @@ def kde_density(df: DataFrame, columns: list[str], by: str, grid_points: int = 1
              .where(F.col("n") >= 2)
              .withColumn("h", scott_bandwidth(F.col("n"), F.col("sd")))
              .where(F.col("h") > 0))
-    stats = stats.withColumn(
-        "w", F.greatest(F.col("h") / F.lit(float(bins_per_bandwidth)),
-                        (F.col("xmax") - F.col("xmin")) / F.lit(float(max_bins))))
+    stats = stats.withColumn("w", F.col("h") / F.lit(float(bins_per_bandwidth)))
     stats_b = F.broadcast(small_frame(stats, MAX_GROUPS_BROADCAST))
     binned = (base.join(stats_b.select(*keys, "xmin", "w"), keys)
               .groupBy(*keys, F.floor((F.col("x") - F.col("xmin")) / F.col("w")).alias("bin"))

@@ -167,19 +167,6 @@ def feature_names(state: dict) -> list[tuple[str, str, str | None]]:
     return out
 
 
-def one_hot(df: DataFrame, state: dict, prefix: str = "oh") -> tuple[DataFrame, list[str]]:
-    """One 0/1 column per (column, category) in sorted order; NULL or unseen
-    values give all zeros (FE4)."""
-    names, exprs = [], []
-    for i, (name, c, v) in enumerate(feature_names(state)):
-        if v is None:
-            continue
-        col = f"{prefix}{i}"
-        names.append(col)
-        exprs.append(F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)).alias(col))
-    return df.select("*", *exprs), names
-
-
 def _num_expr(c: str, state: dict, present: bool, apply_clip: bool) -> F.Column:
     x = F.col(c).cast("double") if present else F.lit(None).cast("double")
     if c == "DAYS_EMPLOYED":

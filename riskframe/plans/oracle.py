@@ -21,7 +21,7 @@ def sig_sql(x: str, digits: int = 9) -> str:
     v = f"CAST(({x}) AS DOUBLE)"
     k = f"({digits - 1} - floor(log10(abs({v}))))"
     return (f"(CASE WHEN {v} IS NULL OR isnan({v}) THEN NULL WHEN {v} = 0 THEN 0.0 "
-            f"WHEN {k} > 22 THEN 0.0 "
+            f"WHEN {k} > 22 THEN CAST(printf('%.{digits - 1}e', {v}) AS DOUBLE) "
             f"WHEN {k} >= 0 THEN floor({v} * pow(10.0, {k}) + 0.5) / pow(10.0, {k}) "
             f"WHEN {k} >= -22 THEN floor({v} / pow(10.0, -{k}) + 0.5) * pow(10.0, -{k}) "
             f"ELSE {v} END)")
@@ -201,7 +201,7 @@ qs AS (SELECT TARGET, {npq('xs', 0.25)} AS q1, {npq('xs', 0.5)} AS median, {npq(
 
 register("gender_pivot", q("""
 SELECT CODE_GENDER, n_no_default, n_default, n_no_default + n_default AS total,
-       CAST(n_default AS DOUBLE) / (n_no_default + n_default) * 100 AS default_rate_pct
+       round_even(CAST(n_default AS DOUBLE) / (n_no_default + n_default) * 100 * 100.0, 0) / 100.0 AS default_rate_pct
 FROM (SELECT CODE_GENDER, count(*) FILTER (WHERE TARGET = 0) AS n_no_default,
              count(*) FILTER (WHERE TARGET = 1) AS n_default
       FROM train WHERE CODE_GENDER IS NOT NULL GROUP BY CODE_GENDER)
@@ -275,7 +275,7 @@ FROM (
 st AS (SELECT column_name, TARGET, count(*) AS n, min(v) AS xmin, max(v) AS xmax,
               {sig_sql('stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2)', 9)} AS h
        FROM ext GROUP BY column_name, TARGET HAVING count(*) >= 2),
-st2 AS (SELECT *, greatest(h / 64.0, (xmax - xmin) / {float(1 << 20)!r}) AS w FROM st WHERE h > 0),
+st2 AS (SELECT *, h / 64.0 AS w FROM st WHERE h > 0),
 bn AS (SELECT column_name, TARGET, floor((v - xmin) / w) AS bin, count(*) AS c, avg(v) AS m
        FROM ext JOIN st2 USING (column_name, TARGET) GROUP BY ALL),
 gr AS (SELECT column_name, TARGET, n, h, grid_index,
@@ -446,17 +446,13 @@ FROM (SELECT TARGET, count(*) AS n FROM sub_pick WHERE picked GROUP BY TARGET),
 ORDER BY TARGET""", SUB))
 
 register("aligned_applicants", q("""
-SELECT SK_ID_CURR, CAST(NULL AS VARCHAR) AS NAME_CONTRACT_TYPE, CODE_GENDER,
-       CAST(NULL AS INTEGER) AS CNT_CHILDREN, AMT_INCOME_TOTAL, CAST(NULL AS DOUBLE) AS AMT_CREDIT,
-       CAST(NULL AS DOUBLE) AS AMT_ANNUITY, CAST(NULL AS DOUBLE) AS AMT_GOODS_PRICE,
-       CAST(NULL AS VARCHAR) AS NAME_INCOME_TYPE, CAST(NULL AS VARCHAR) AS NAME_EDUCATION_TYPE,
-       CAST(NULL AS VARCHAR) AS NAME_FAMILY_STATUS, CAST(NULL AS VARCHAR) AS NAME_HOUSING_TYPE,
+SELECT SK_ID_CURR, NAME_CONTRACT_TYPE, CODE_GENDER, CNT_CHILDREN, AMT_INCOME_TOTAL, AMT_CREDIT, AMT_ANNUITY,
+       AMT_GOODS_PRICE, NAME_INCOME_TYPE, NAME_EDUCATION_TYPE, NAME_FAMILY_STATUS, NAME_HOUSING_TYPE,
        CAST(-(AGE_YEARS * 365) AS INTEGER) AS DAYS_BIRTH,
        CAST(nullif(-(YEARS_EMPLOYED * 365), 365243) AS INTEGER) AS DAYS_EMPLOYED,
-       CAST(NULL AS DOUBLE) AS CNT_FAM_MEMBERS, CAST(NULL AS INTEGER) AS REGION_RATING_CLIENT,
-       CAST(NULL AS VARCHAR) AS WEEKDAY_APPR_PROCESS_START, CAST(NULL AS DOUBLE) AS EXT_SOURCE_1,
-       CAST(NULL AS DOUBLE) AS EXT_SOURCE_2, CAST(NULL AS DOUBLE) AS EXT_SOURCE_3
-FROM (SELECT SK_ID_CURR, AMT_INCOME_TOTAL, CODE_GENDER,
+       CAST(NULL AS DOUBLE) AS CNT_FAM_MEMBERS, REGION_RATING_CLIENT, WEEKDAY_APPR_PROCESS_START,
+       EXT_SOURCE_1, EXT_SOURCE_2, EXT_SOURCE_3
+FROM (SELECT * REPLACE (CAST(NULL AS DOUBLE) AS CNT_FAM_MEMBERS),
              CAST(floor(-DAYS_BIRTH / 365) AS INTEGER) AS AGE_YEARS,
              CAST(CASE WHEN DAYS_EMPLOYED = 365243 THEN NULL ELSE floor(-DAYS_EMPLOYED / 365) END AS INTEGER) AS YEARS_EMPLOYED
       FROM test)"""))

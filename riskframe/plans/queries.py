@@ -334,11 +334,12 @@ def class_weights(spark, sf_dir):
 
 
 def _applicant_forms(spark, sf_dir):
-    """Partial applicant records derived from the test rows: four form fields
-    in form units plus one field the model does not know."""
+    """Applicant records derived from the test rows: the 11 numeric fields (two
+    in form units) and 7 categorical fields of the form, plus one field the
+    model does not know."""
     t = prepared(spark, sf_dir).test
     return t.select(
-        S.KEY, "AMT_INCOME_TOTAL", "CODE_GENDER",
+        S.KEY, *S.FORM_NUMERIC, *S.FORM_CATEGORICAL,
         F.floor(-F.col("DAYS_BIRTH") / 365).cast("int").alias("AGE_YEARS"),
         F.when(F.col("DAYS_EMPLOYED") == S.DAYS_EMPLOYED_SENTINEL, F.lit(None))
         .otherwise(F.floor(-F.col("DAYS_EMPLOYED") / 365)).cast("int").alias("YEARS_EMPLOYED"),
@@ -412,6 +413,15 @@ def svm_test_metrics(spark, sf_dir):
                                                 "f1 double, auc double")
 
 
+def _score_outputs():
+    """What the form shows for an applicant: class, label and risk texts,
+    confidence and both probabilities."""
+    return ["prediction", C.label_text("prediction").alias("prediction_label"),
+            C.code_text("prediction", S.RISK_TITLE).alias("risk_title"),
+            C.code_text("prediction", S.RISK_TEXT).alias("risk_text"),
+            "confidence", (F.lit(1.0) - F.col("p_default")).alias("p_no_default"), "p_default"]
+
+
 @query
 def applicant_scores(spark, sf_dir):
     """Save the fitted pipeline, load it back and score partial applicant
@@ -434,8 +444,7 @@ def applicant_scores(spark, sf_dir):
     template = prepared(spark, sf_dir).train.drop(S.LABEL)
     aligned = applicants.align_to_schema(forms, template, keep=[S.KEY])
     out = model.score(loaded, aligned, apply_clip=False)
-    return out.select(S.KEY, "prediction", C.label_text("prediction").alias("prediction_label"),
-                      "confidence", "p_default")
+    return out.select(S.KEY, *_score_outputs())
 
 
 @query
@@ -456,7 +465,7 @@ def streamed_applicant_scores(spark, sf_dir):
     q = start_scoring(stream, f"{base}/scores", f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/scores").select(
-        S.KEY, "prediction", C.label_text("prediction").alias("prediction_label"), "confidence", "p_default")
+        S.KEY, *_score_outputs())
 
 
 @query

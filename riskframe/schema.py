@@ -18,6 +18,15 @@ DAYS_EMPLOYED_SENTINEL = 365243
 GENDER_SENTINEL = "XNA"
 # Label text for the 0/1 outcome.
 LABEL_TEXT = {0: "No Default", 1: "Default"}
+# What the form shows for a predicted class.
+RISK_TITLE = {0: "LOW RISK — NO DEFAULT", 1: "HIGH RISK — DEFAULT LIKELY"}
+RISK_TEXT = {0: "This applicant is predicted to repay the loan successfully.",
+             1: "This applicant is predicted to default. Further review recommended."}
+# Fields of the applicant form in table units; age and employment come in years.
+FORM_NUMERIC = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "EXT_SOURCE_1",
+                "EXT_SOURCE_2", "EXT_SOURCE_3", "REGION_RATING_CLIENT", "CNT_CHILDREN"]
+FORM_CATEGORICAL = ["CODE_GENDER", "NAME_EDUCATION_TYPE", "NAME_INCOME_TYPE", "NAME_FAMILY_STATUS",
+                    "NAME_HOUSING_TYPE", "NAME_CONTRACT_TYPE", "WEEKDAY_APPR_PROCESS_START"]
 # Weekday order of the application-start chart.
 WEEKDAY_ORDER = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY"]
 # Columns of the correlation heat map, in display order.

@@ -66,8 +66,11 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_KEY_SHARE,
              min_rows: int = MIN_HOT_ROWS) -> list:
     """Keys holding at least ``share`` of the rows of ``df`` (and ``min_rows``):
     one map-side-combined count per key, of which at most ``1 / share`` rows
-    pass the filter and reach the driver."""
+    pass the filter and reach the driver. They only choose the join's plan, and
+    no key of a table of fewer than ``min_rows`` rows can be one."""
     total = df.count()
+    if total < min_rows:
+        return []
     cut = max(min_rows, int(total * share))
     bound = int(1 / share) + 1
     rows = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= cut)
