@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe import schema as S
-from riskframe.functions.columns import rate
+from riskframe.functions.columns import rate, round_even
 
 
 def dataset_summary(df: DataFrame, label: str) -> DataFrame:
@@ -76,7 +76,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return long.select(
         "column_name",
         F.coalesce("missing_count", F.lit(0)).cast("bigint").alias("missing_count"),
-        F.round(rate(F.col("missing_count"), F.col("_n")) * 100, 2).alias("missing_pct"))
+        round_even(rate(F.col("missing_count"), F.col("_n")) * 100, 2).alias("missing_pct"))
 
 
 def missing_profile(df: DataFrame, top: int = 20) -> DataFrame:

@@ -131,7 +131,7 @@ def _missing_sql() -> str:
     parts = [f"SELECT '{c}' AS column_name, count(*) - count({c}) AS missing_count, "
              f"count(*) AS n FROM applications" for c, _ in APPLICATION_COLUMNS]
     return ("SELECT column_name, CAST(missing_count AS BIGINT) AS missing_count, "
-            "round(CAST(missing_count AS DOUBLE)/n*100, 2) AS missing_pct FROM (\n"
+            "round_even(CAST(missing_count AS DOUBLE)/n*100 * 100.0, 0) / 100.0 AS missing_pct FROM (\n"
             + "\nUNION ALL\n".join(parts) +
             "\n) WHERE missing_count > 0 ORDER BY missing_pct DESC, missing_count DESC, column_name LIMIT 20")
 
@@ -424,7 +424,10 @@ FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED
      (SELECT sum(CASE WHEN TARGET = 1 THEN 1 ELSE 0 END) AS P, sum(CASE WHEN TARGET = 0 THEN 1 ELSE 0 END) AS N FROM fixed)"""))
 
 register("classification_report", eq(f"""
-SELECT * FROM (
+SELECT class_name, round_even(precision * 10000.0, 0) / 10000.0 AS precision,
+       round_even(recall * 10000.0, 0) / 10000.0 AS recall,
+       round_even(f1_score * 10000.0, 0) / 10000.0 AS f1_score,
+       round_even(support * 10000.0, 0) / 10000.0 AS support FROM (
   SELECT 'No Default' AS class_name, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM m
   UNION ALL SELECT 'Default', p1, r1, f1, s1 FROM m
   UNION ALL SELECT 'accuracy', acc, acc, acc, acc FROM m
