@@ -230,6 +230,40 @@ def test_personal_data_adds_other_mentions(spark):
         assert set(filter(None, pii.written(base).split(","))) <= set(got[i].spans.split(","))
 
 
+def test_personal_data_reaches_every_mention(spark):
+    """50 mentions after, or around, the only one in a form that the rules know."""
+    card = "4111111111111111"
+    known, other = (sign.join(card[i:i + 4] for i in (0, 4, 8, 12)) for sign in "-.")
+    after = [f"pay {known} now " + " ".join(f"{prose(50 * i + k, 7)} again {other}, ok" for k in range(50)) for i in range(12)]
+    around = " ".join(f"{prose(k, 7)} again {other}, ok" for k in range(25))
+    texts = after + [f"{around} pay {known} now {around}", f"no mention {prose(3, 9)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    weights = pii.learn(docs)
+    got = {r.doc_id: r for r in pii.find(docs, weights).collect()}
+    for i, text in enumerate(texts):
+        assert sum(f.value == other for f in got[i].found) == text.count(other), i
+    for w in (weights, pii.fit([])):
+        alone = [pii.find_spans(w, [t])[0] for t in texts]
+        assert pii.find_spans(w, texts) == alone
+        assert [sum(t[a:b] == other for _, a, b in s) for t, (_, s) in zip(texts, alone)] == [50] * 13 + [0]
+
+
+def test_personal_data_messages_settle():
+    """On a chain without loops the marginals are exact at any distance."""
+    text = "a1@b.org " + " ".join(f"{i}x" for i in range(40))
+    tokens = pii.Tokens(text, pii.base_spans(text))
+    w = pii.fit([])
+    w["chain"] = np.random.default_rng(3).standard_normal(w["chain"].shape) + 3 * np.eye(len(w["chain"]))
+    step = np.exp(w["chain"])
+    ahead = np.eye(len(step))[1]
+    behind = [np.ones(len(step))]
+    for _ in range(40):
+        behind.append(step @ behind[-1] / (step @ behind[-1]).sum())
+    for i, got in enumerate(pii.marginals(w, [tokens])):
+        assert np.allclose(got, ahead * behind[40 - i] / (ahead @ behind[40 - i]), atol=1e-4), i
+        ahead = ahead @ step / (ahead @ step).sum()
+
+
 def brute_lines(rows):
     order = sorted({(d is not None, d or 0, n) for d, t in rows if t is not None for n in range(len(t.split("\n")))})
     lines = {(d is not None, d or 0): t.split("\n") for d, t in rows if t is not None}
