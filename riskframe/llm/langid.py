@@ -8,8 +8,11 @@ smallest total wins. The prediction is rejected (``rejected``) when the margin
 between the two best, in compressed bytes per input byte, is narrow.
 
 The dictionaries come from a bounded sample: per language at most
-``SAMPLE_DOCS`` documents, the lowest by a hash of the key and the text, and at most ``DICT_BYTES`` bytes,
-an equal share of each; all languages get dictionaries of one size.
+``SAMPLE_DOCS`` documents, the lowest by a hash of the key and the text, each
+read whole. Every language's dictionary is filled on its own, up to
+``DICT_BYTES`` bytes, with an equal share of each document and all of those
+that are shorter; one with few labelled texts has a smaller dictionary and
+changes no other.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and rejected; rows with a null label or no letter teach nothing; without any
@@ -25,9 +28,10 @@ import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StringType, StructType
 
 from riskframe.llm.common import map_slices
+from riskframe.session import materialize
 
 SAMPLE_DOCS = 160
 DICT_BYTES = 160_000
@@ -47,36 +51,47 @@ def letters_of(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
+SAMPLE = StructType().add("lang", StringType()).add("h", LongType()).add("letters", BinaryType())
+
+
 def learn_dictionaries(docs: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text",
                        lang: str = "lang") -> dict[str, bytes]:
     """Language -> dictionary bytes, from a bounded sample of the labelled rows."""
     rows = docs.filter(learn_from & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     order = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    ranked = rows.select(F.col(lang).alias("lang"), order.alias("h")).withColumn(
+    ranked = rows.select(F.col(lang).cast("string").alias("lang"), order.alias("h")).distinct().withColumn(
         "r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    picked = ranked.filter(F.col("r") <= SAMPLE_DOCS).select("lang", "h").distinct()
+    picked = ranked.filter(F.col("r") <= SAMPLE_DOCS).select("lang", "h")
     picked = picked.collect()  # SAMPLE_DOCS rows for each language
     if not picked:
         return {}
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(r.lang, r.h) for r in picked], "_l string, _h long"))
-    share = DICT_BYTES // SAMPLE_DOCS
-    got = (rows.withColumn("_h0", order)
-           .join(wanted, (F.col(lang) == F.col("_l")) & (F.col("_h0") == F.col("_h")), "left_semi")
-           .select(F.col(lang).alias("lang"), F.col("_h0").alias("h"),
-                   F.substring(F.col(text), 1, 8 * share).alias("text")).distinct()
-           .orderBy("lang", "h").collect())
+    got = (rows.select(F.col(lang).cast("string").alias("lang"), order.alias("h"), F.col(text).cast("string").alias("text"))
+           .join(wanted, (F.col("lang") == F.col("_l")) & (F.col("h") == F.col("_h")), "left_semi"))
+    letters = map_slices(got, lambda batch: {
+        "lang": batch.column("lang"), "h": batch.column("h"),
+        "letters": [letters_of(t)[:DICT_BYTES] for t in batch.column("text").to_pylist()]}, SAMPLE, chars_of="text")
+    sample = materialize(letters.dropDuplicates(["lang", "h"]), "op5-sample")
+    lengths: dict[str, list[int]] = {}
+    for r in sample.select("lang", F.octet_length("letters").alias("n")).collect():
+        lengths.setdefault(r.lang, []).append(r.n)
+    shares = spark.createDataFrame([(name, equal_share(n, DICT_BYTES)) for name, n in lengths.items()], "lang string, share int")
+    cut = (sample.join(F.broadcast(shares), "lang")
+           .select("lang", "h", F.col("letters").substr(F.lit(1), F.col("share")).alias("letters")))
     texts: dict[str, list[bytes]] = {}
-    for r in got:
-        texts.setdefault(r.lang, []).append(letters_of(r.text))
-    size = min(DICT_BYTES, *(sum(map(len, t)) for t in texts.values()), DICT_BYTES)
-    out = {}
-    for name, parts in sorted(texts.items()):
-        each = max(share, -(-size // len(parts)))
-        while sum(min(len(p), each) for p in parts) < size:
-            each *= 2
-        out[name] = b"".join(p[:each] for p in parts)[-size:]
-    return out
+    for r in cut.orderBy("lang", "h").collect():  # about DICT_BYTES for each language
+        texts.setdefault(r.lang, []).append(bytes(r.letters))
+    return {name: b"".join(parts)[-DICT_BYTES:] for name, parts in sorted(texts.items())}
+
+
+def equal_share(lengths: list[int], size: int) -> int:
+    """The least number of bytes of each text that gives ``size`` bytes together, or the longest text's length."""
+    for i, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - i) >= size:
+            return -(-size // (len(lengths) - i))
+        size -= n
+    return max(lengths)
 
 
 class Classifier:

@@ -196,6 +196,35 @@ def test_language_held_out(spark):
     assert {x.lang_pred for x in langid.identify(docs, {}, held).collect()} == {"und"}
 
 
+def test_language_dictionaries_fill_on_their_own(spark, monkeypatch):
+    """A rare language, a language of few long documents and one repeated row shrink no dictionary."""
+    r = random.Random(5)
+    word = lambda k: k + "".join(r.choice("aeioulnrst") for _ in range(r.randrange(2, 7)))
+    words = {k: [word(k) for _ in range(400)] for k in "bdg"}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    rows = [(i, text(k, 300), k) for i in range(60) for k in "bd"]
+    rows += [(200 + i, "1 " * 9000 + text("g", 8000), "g") for i in range(3)] + [(300, "rare words of a small tongue", "z")]
+    rows += [(400, "the same row", "b")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "DICT_BYTES", 30_000)
+    model = langid.learn_dictionaries(docs, F.lit(True))
+    assert {k: len(v) for k, v in model.items()} == {"b": 30_000, "d": 30_000, "g": 30_000, "z": 28}
+    alone = langid.learn_dictionaries(docs.filter("lang <> 'z'"), F.lit(True))
+    assert alone == {k: v for k, v in model.items() if k != "z"}
+    new = [(i, text(k, 12), k) for i, k in enumerate("bdg" * 30)] + [(90, "rare words of a small tongue", "z")]
+    found = langid.identify(spark.createDataFrame(new, docs.schema), model, F.lit(True)).collect()
+    assert [x.lang_pred for x in sorted(found, key=lambda x: x.key)] == [k for *_, k in new]
+
+
+def test_language_equal_share():
+    r = random.Random(3)
+    for _ in range(300):
+        lengths = [r.randrange(1, 30) for _ in range(r.randrange(1, 9))]
+        size = r.randrange(1, 200)
+        want = next((e for e in range(1, max(lengths)) if sum(min(n, e) for n in lengths) >= size), max(lengths))
+        assert langid.equal_share(lengths, size) == want
+
+
 def test_personal_data_base_rules_match_the_patterns():
     import re
 
