@@ -10,7 +10,7 @@ the highest counts.
 
 The network is trained here in numpy (backpropagation through time, Adam) on a
 bounded sample: the ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents
-lowest by hash. A document's label belongs to its highest-scoring window, which
+lowest by hash, with at most ``TEXTS_OF_ID`` different texts of an id. A document's label belongs to its highest-scoring window, which
 is chosen anew as training goes on; at first, and later for some of the clean
 documents, every step takes a random window. At last the highest logits of the
 sample are mapped to probabilities by Platt scaling.
@@ -29,7 +29,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructType
@@ -45,6 +45,7 @@ WORD_BUCKETS = 1 << 13
 GRAM_BUCKETS = 1 << 14
 SAMPLE_TOXIC = 500
 SAMPLE_CLEAN = 1500
+TEXTS_OF_ID = 4
 STEPS = 380
 FIRST_STEPS = 170  # with random windows
 BATCH = 96
@@ -318,10 +319,12 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "do
     sample = []
     for value, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         ids = (known.filter(F.col("y") == value).join(mine.select("k").distinct(), "k", "left_semi")
-               .orderBy(F.xxhash64("k"), "k").limit(most).distinct())
+               .select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(most))
         bounded = docs.sparkSession.createDataFrame([(r.k,) for r in ids.collect()], "k long")  # at most ``most``
-        sample += [(bytes(r.t.encode()) if r.t else b"", value) for r in
-                   mine.join(F.broadcast(bounded), "k", "left_semi").orderBy(F.xxhash64("k"), "k", "t").collect()]
+        texts = mine.join(F.broadcast(bounded), "k", "left_semi").distinct().withColumn(
+            "r", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("t"), "t")))
+        sample += [(bytes(r.t.encode()) if r.t else b"", value) for r in  # at most ``most`` x TEXTS_OF_ID rows
+                   texts.filter(F.col("r") <= TEXTS_OF_ID).orderBy(F.xxhash64("k"), "k", "t").collect()]
     return train([t for t, _ in sample], [y for _, y in sample])
 
 

@@ -160,6 +160,20 @@ def test_toxicity_learns_planted_words(spark):
     assert {x.score for x in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_sample_counts_ids(spark, monkeypatch):
+    """Repeated label rows take no place in the sample; an id brings a fixed number of different texts."""
+    rows = [(i, f"text {i}") for i in range(20)] * 3 + [(i, f"other {i} {n}") for i in range(20) for n in range(30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 9, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 7)
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: list(zip(texts, labels)))
+    got = toxicity.learn(docs, labels, F.lit(True))
+    ids = collections.Counter((int(t.split()[1]), y) for t, y in set(got))
+    assert len(got) == len(set(got)) == 12 * 4 and set(ids.values()) == {4}
+    assert collections.Counter(y for _, y in ids) == {1: 5, 0: 7} and all(i % 2 == y for i, y in ids)
+
+
 def test_toxicity_gradients_are_right():
     data = toxicity.Texts([b"one two three two", b"four", b""])
     p = {k: v.astype(np.float64) for k, v in toxicity.new_parameters(1).items()}
