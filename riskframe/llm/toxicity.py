@@ -4,9 +4,10 @@ The input at each word is a learned word vector plus the scaled sum of learned
 vectors of its character n-grams (3 to 5, with word ends), both in hashed
 tables; only buckets that at least ``LEAST_DOCS`` sampled documents use have
 vectors, so rare words say no more than their n-grams. Two gated recurrent passes, one in each direction, read a window of
-``WINDOW`` words; attention pools their states to one logit. All overlapping
-windows (each starts ``STRIDE`` words after the last) of a text are scored and
-the highest counts.
+``WINDOW`` words; attention pools their states to one logit. One window in
+``STRIDE`` of a text is scored (each starts ``STRIDE`` words after the last, so
+all words are read and neighbours share 8) and the highest counts; a passage
+longer than the words they share may lie whole in no window.
 
 The network is trained here in numpy (backpropagation through time, Adam) on a
 bounded sample: the ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled documents
