@@ -30,8 +30,8 @@ TIME_BUCKETS = 256
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, www./m. prefix, fragment, tracking parameters, index page and
-    trailing slash removed; host lower-cased."""
+    """Scheme, www./m. prefix, fragment, tracking parameters and trailing slash
+    removed; host lower-cased. An index page stays: it is a URL of its own."""
     u = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     u = F.regexp_replace(u, r"#.*$", "")
     host = F.lower(F.regexp_extract(u, r"^[^/?]*", 0))

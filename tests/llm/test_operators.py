@@ -368,6 +368,15 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(rows.limit(0)).collect() == []
 
 
+def test_revisits_keep_the_index_page(spark):
+    """As in the SQL, an index page is a URL of its own."""
+    rows = [(1, "http://x.org/a/index.html", 10, 200, "e"), (2, "http://x.org/a/", 20, 304, "e"), (3, "www.x.org/a/index.html#f", 30, 304, "e")]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, etag string").select(
+        "*", F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("map<string,string>").alias("headers"))
+    got = {r.record_id: (r.canonical, r.response_id, r.resolution) for r in revisits.resolve_revisits(df).collect()}
+    assert got == {2: ("x.org/a", None, "no_response"), 3: ("x.org/a/index.html", 1, "resolved")}
+
+
 def test_revisits_across_time_buckets(spark):
     """One URL with most records: the carried response equals a plain as-of search."""
     r = random.Random(4)
