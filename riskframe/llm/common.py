@@ -9,11 +9,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructField,
+                               StructType)
 
 #: Rows handled at a time inside a task, whatever Spark's Arrow batch size is.
 SLICE_ROWS = 512
 
+_KINDS = {"int": IntegerType(), "long": LongType(), "string": StringType(), "binary": BinaryType()}
+
+
+def fields(**kinds: str | DataType) -> StructType:
+    """A schema from names and types; ``long[]`` is an array of longs."""
+    def kind(k):
+        if isinstance(k, DataType):
+            return k
+        return ArrayType(_KINDS[k[:-2]]) if k.endswith("[]") else _KINDS[k]
+    return StructType([StructField(name, kind(k)) for name, k in kinds.items()])
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, LongType, StringType, StructType
 
-from riskframe.llm import (decontaminate, langid, linededup, neardup, pieces, pii, revisits, sharding,
-                           topk, toxicity)
+from riskframe.llm import (alignment, decontaminate, langid, linededup, neardup, pieces, pii, prefixtrie, revisits,
+                           sharding, tokencounts, topk, toxicity)
 from riskframe.llm.common import held_out, read_table
 
 #: Place of the SentencePiece model; a file outside the repository.
 MODEL_FILE = os.environ.get("RISKFRAME_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
+#: Folder of the tokenizer files; where it is unset, the installed ``public_tokenizers`` names it.
+TOKENIZER_DIR = os.environ.get("RISKFRAME_TOKENIZERS")
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZER_DIR:
+        return os.path.join(TOKENIZER_DIR, name)
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
 
 def piece_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_pieces, ids and whether they decode to the text."""
@@ -113,8 +123,36 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokencounts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                  tokenizer_path("piece_bpe_32k.model"))
+
+
+def rebuilt_conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns): conversation c gets the first h = crc32(c) % 4 original
+    turns of conversation c - c % 20 in the place of its own first h."""
+    own = prefixtrie.conversation_turns(turns)
+    heads = own.filter("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    joined = own.withColumns({"h": h, "base": F.col("conv_id") - F.col("conv_id") % 20}).join(heads, "base", "left")
+    nothing = F.slice("turns", 1, 0)
+    first = F.coalesce(F.slice("head", F.lit(1), F.col("h")), nothing)
+    rest = F.when(F.size("turns") > F.col("h"), F.slice("turns", F.col("h") + 1, F.size("turns"))).otherwise(nothing)
+    return joined.select("conv_id", F.concat(first, rest).alias("turns"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(rebuilt_conversations(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_exact_topk, op3_decontamination, op4_toxicity, op5_language,
-                                   op6_pii, op7_line_dedup, op8_revisits, op9_sharding, op10_minhash)}
+                                   op6_pii, op7_line_dedup, op8_revisits, op9_sharding, op10_minhash,
+                                   op11_token_counts, op12_token_alignment, op13_prefix_trie)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -183,4 +221,32 @@ ORACLE = {
                CASE WHEN tag = rtag THEN 'cache-control=max-age=60; content-length=' || size
                     || '; content-type=text/html; date=t' || ts END AS headers
         FROM j""",
+    "op13_prefix_trie": r"""
+        WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        c AS (SELECT conv_id, xor(list_reduce(
+                     list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                     lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+              FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc),
+        s AS (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+                     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+              FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS pos FROM s),
+        b AS (SELECT c.conv_id, 0 AS part, pos, m, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h
+              UNION ALL SELECT conv_id, 1, pos, m, words FROM c JOIN o USING (conv_id) WHERE pos > h),
+        r AS (SELECT conv_id, m, words, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM b),
+        p AS (SELECT conv_id, d, words, md5(string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS node FROM r
+              UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+        n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY node, d),
+        up AS (SELECT n.node, n.d, q.node AS above FROM n JOIN p q ON q.conv_id = n.conv_id AND q.d = n.d - 1),
+        kids AS (SELECT above AS node, count(*) AS n_children FROM up GROUP BY above),
+        x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (node)),
+        sub AS (SELECT p.node, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved
+                FROM x JOIN p ON p.conv_id = x.conv_id AND p.d <= x.d GROUP BY p.node),
+        ends AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+                 FROM (SELECT conv_id, arg_max(node, d) AS node FROM p GROUP BY conv_id) GROUP BY node)
+        SELECT x.conv_id, CAST(x.d AS BIGINT) AS depth, a.conv_id AS parent_conv_id, x.n_convs, x.n_children,
+               CAST(sub.n_leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens,
+               sha256(coalesce(ids, '')) AS ends_sha256
+        FROM x JOIN sub USING (node) LEFT JOIN up USING (node) LEFT JOIN x a ON a.node = up.above LEFT JOIN ends ON ends.node = x.node""",
 }
