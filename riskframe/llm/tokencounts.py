@@ -1,7 +1,8 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A text of up to ``CHUNK`` + ``OVERLAP`` characters is encoded as it is. A
-longer one is cut into chunks that overlap, the chunks are spread over the
+A text of up to ``CHUNK`` + ``OVERLAP`` characters is cut at the white space
+among its stable positions (below), and each distinct segment is encoded once in
+a task (a memo of at most ``MEMO`` segments). A longer one is cut into chunks that overlap, the chunks are spread over the
 cluster and encoded with offsets, and neighbours are spliced at a boundary
 that both encodings have in the overlap:
 
@@ -17,8 +18,9 @@ long as the text is the text encoded whole, so this ends.
 Why the positions of ``STABLE`` are stable for a tokenizer of ``PROVEN``
 (composition, white space to one blank, lower case; then the split pattern):
 
-* the character after the position is ASCII, a starter that never composes
-  with what is before it, so normalisation works on each side alone;
+* the character after the position is ASCII (after white space also a Latin
+  letter up to U+024F), a starter that never composes with what is before it, so
+  normalisation works on each side alone;
 * no match of the split pattern, and no added token (``<|...|>``, letters
   between bars), holds white space or a digit beside another character, so none
   spans a position after one of them; a letter followed by punctuation other
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +57,12 @@ OVERLAP = 1_024
 WIDEN = 4
 CANDIDATES = 16  # stable positions compared in the middle of an overlap
 
-#: Zero-width: after white space, after a digit, or between a letter and punctuation but a bar; ASCII follows.
-STABLE = r"(?<=[ \t\n\r])(?=[!-~])|(?<=[0-9])(?=[\t\n\r -~])|(?<=[A-Za-z])(?=[!-/:-@\[-`{}~])"
+MEMO = 400_000
+
+#: White space before a stable position; it has no tokens itself.
+SEPARATOR = "[ \t\n\r]+(?=[!-~À-ɏ])"
+#: Zero-width: after white space, after a digit, or between a letter and punctuation but a bar.
+STABLE = "(?<=[ \t\n\r])(?=[!-~À-ɏ])" r"|(?<=[0-9])(?=[\t\n\r -~])|(?<=[A-Za-z])(?=[!-/:-@\[-`{}~])"
 
 #: Normaliser and pre-tokenizer for which STABLE is proven: fixed values of the tokenizer file.
 PROVEN = {
@@ -176,7 +183,8 @@ def _spliced(long: DataFrame, path: str, chunk: int, overlap: int, stable: str)
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK,
                  overlap: int = OVERLAP, stable: str | None = None) -> DataFrame:
     """(key, n_bytes, n_tokens) of every row, as the tokenizer of ``path`` encodes the whole text."""
-    if stable is None:
+    proven = stable is None
+    if proven:
         check_proven(path)
         stable = STABLE
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -186,10 +194,17 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     def whole(batches):
         arrow, tokenizer = to_arrow_schema(counted), tokenizer_of(path)
+        separator, memo = re.compile(SEPARATOR) if proven else None, {}
         for batch in slices(batches, chars_of="text", max_bytes=2 << 20):
-            found = tokenizer.encode_batch_fast(batch.column("text").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"),
-                                              pa.array(list(map(len, found)), pa.int64())], schema=arrow)
+            texts = batch.column("text").to_pylist()
+            segments = [separator.split(t) for t in texts] if proven else [[t] for t in texts]
+            distinct = set(chain.from_iterable(segments))
+            if len(memo) > MEMO or not proven:
+                memo.clear()
+            new = [x for x in distinct if x not in memo]
+            memo.update(zip(new, map(len, tokenizer.encode_batch_fast(new, add_special_tokens=False))))
+            totals = [sum(map(memo.__getitem__, found)) for found in segments]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), pa.array(totals, pa.int64())], schema=arrow)
 
     out = rows.filter(~is_long).mapInArrow(whole, counted)
     long = rows.filter(is_long).withColumn("digest", F.md5("text"))

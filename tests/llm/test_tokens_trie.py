@@ -42,6 +42,7 @@ def test_token_counts_match_the_library(spark):
     want = collections.Counter((i, len((t or "").encode()), n) for (i, t), n in zip(rows, library_counts([t for _, t in rows])))
     for kw in ({}, {"chunk": 200, "overlap": 60}, {"chunk": 64, "overlap": 8}):
         assert counted(df, **kw) == want
+    assert counted(df, chunk=200, overlap=60, stable=tokencounts.STABLE) == want
     assert tokencounts.count_tokens(df.limit(0), WORD).collect() == []
 
 
@@ -61,10 +62,13 @@ def test_stable_positions_split_the_encoding():
     """Encoding the two sides of any stable position apart gives the tokens of the whole."""
     import re
     from tokenizers import Tokenizer
-    t, stable = Tokenizer.from_file(WORD), re.compile(tokencounts.STABLE)
+    t, stable, separator = Tokenizer.from_file(WORD), re.compile(tokencounts.STABLE), re.compile(tokencounts.SEPARATOR)
+    for code in range(0xC0, 0x250):
+        assert [x for s in ("ab", chr(code) + "b") for x in t.encode(s, add_special_tokens=False).ids] == t.encode(f"ab {chr(code)}b", add_special_tokens=False).ids
     for seed in range(30):
         text = text_of(seed, 300)
         whole = t.encode(text, add_special_tokens=False).ids
+        assert [x for s in separator.split(text) for x in t.encode(s, add_special_tokens=False).ids] == whole
         for m in stable.finditer(text):
             p = m.start()
             assert t.encode(text[:p], add_special_tokens=False).ids + t.encode(text[p:], add_special_tokens=False).ids == whole
