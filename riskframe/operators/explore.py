@@ -17,6 +17,7 @@ from pyspark.sql import Window
 
 from riskframe.functions.columns import label_text, rate, round_even, sig, unpivot
 from riskframe.functions.joins import small_frame
+from riskframe.operators.comoments import co_moments, named_pairs
 from riskframe.operators.quantiles import exact_quantiles
 
 MAX_GROUPS_BROADCAST = 10_000
@@ -157,24 +158,11 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair (i > j, lower triangle), pairwise
     complete; NULL for a constant column (AGG18, PRJ15).
 
-    Each row is unpivoted (``stack``) into one (pair, a, b) row per complete pair and
-    aggregated per pair with Spark's numerically stable ``covar_pop`` /
-    ``var_pop`` merges; the aggregate is combined map-side, so the shuffle
-    carries pairs x partitions rows. ``corr`` itself would raise on a
-    constant column under ANSI mode, hence ``try_divide``.
+    One pass of mergeable co-moments (``comoments``); ``corr`` itself would
+    raise on a constant column under ANSI mode, hence ``try_divide``.
     """
-    pairs = [(i, j) for i in range(len(columns)) for j in range(len(columns)) if i > j]
-    items = [(columns[i], columns[j], F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double"))
-             for i, j in pairs]
-    long = (unpivot(df, [], items, ["col_a", "col_b", "a", "b"])
-            .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
-    agg = long.groupBy("col_a", "col_b").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.covar_pop("a", "b").alias("cov"),
-        F.var_pop("a").alias("var_a"),
-        F.var_pop("b").alias("var_b"))
-    return agg.select("col_a", "col_b", "n",
-                      F.try_divide(F.col("cov"), F.sqrt(F.col("var_a") * F.col("var_b"))).alias("corr"))
+    m = named_pairs(co_moments(df, columns), columns).where("i > j")
+    return m.select("col_a", "col_b", "n", F.try_divide(F.col("c"), F.sqrt(F.col("m2_a") * F.col("m2_b"))).alias("corr"))
 
 
 def p_quantile_filter(df: DataFrame, column: str, p: float) -> tuple[DataFrame, float | None]:

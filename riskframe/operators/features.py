@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions.columns import clip, unpivot
+from riskframe.operators.comoments import co_moments, named_pairs
 from riskframe.operators.cleaning import clean_sentinels, drop_id_and_label
 from riskframe.operators.quantiles import _interp, order_statistics, quantile_ranks
 
@@ -45,13 +46,6 @@ def fit_state(train_raw: DataFrame, factor: float = S.IQR_FACTOR) -> dict:
     cat_cols = S.categorical_columns(clean)
     probs = (0.25, 0.5, 0.75)
 
-    def ranks_for(n):
-        out = []
-        for p in probs:
-            lo, hi, _ = quantile_ranks(n, p)
-            out += [lo, hi]
-        return out
-
     def category_counts():
         if not cat_cols:
             return []
@@ -67,11 +61,15 @@ def fit_state(train_raw: DataFrame, factor: float = S.IQR_FACTOR) -> dict:
     # as concurrent Spark jobs
     with ThreadPoolExecutor(max_workers=1) as pool:
         cat_future = pool.submit(category_counts)
-        sizes, stats = order_statistics(clean, num_cols, ranks_for)
+        sizes, stats = order_statistics(clean, num_cols, list(probs))
         cat_rows = cat_future.result()
+    # a column without any value has no median or mode: it is no feature, as the imputer drops it
+    num_cols_all, num_cols = num_cols, [c for i, c in enumerate(num_cols) if (i,) in sizes]
+    valued = {r["column_name"] for r in cat_rows if r["value"] is not None}
+    cat_cols = [c for c in cat_cols if c in valued]
     fences, medians = {}, {}
     for (cid,), n in sizes.items():
-        c = num_cols[cid]
+        c = num_cols_all[cid]
         o = stats[(cid,)]
         q = {}
         for p in probs:
@@ -94,15 +92,15 @@ def fit_state(train_raw: DataFrame, factor: float = S.IQR_FACTOR) -> dict:
             else:
                 per[r["column_name"]].append((r["value"], r["n"]))
         for c in cat_cols:
-            vals = per.get(c, [])
-            modes[c] = min(vals, key=lambda t: (-t[1], t[0]))[0] if vals else None
+            vals = per[c]
+            modes[c] = min(vals, key=lambda t: (-t[1], t[0]))[0]
             categories[c] = sorted(v for v, _ in vals)
             # one-hot column means after imputation (the mode takes the NULLs):
             # the centring vector of the encoded matrix, known without a pass
             n_c = sum(n for _, n in vals) + nulls.get(c, 0)
             cnt = dict(vals)
             onehot_means[c] = [(cnt[v] + (nulls.get(c, 0) if v == modes[c] else 0)) / n_c
-                               for v in categories[c]] if n_c else []
+                               for v in categories[c]]
     state = dict(num_cols=num_cols, cat_cols=cat_cols, factor=factor, fences=fences,
                  medians=medians, modes=modes, categories=categories, means={}, stds={},
                  onehot_means=onehot_means)
@@ -219,12 +217,7 @@ def prepared_features(df: DataFrame, state: dict, apply_clip: bool = True,
 
 
 def covariance_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Population covariance of every pair i >= j (diagonal = variance), as
-    long rows aggregated per pair with map-side combine (FE9)."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
-    items = [(columns[i], columns[j], F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double"))
-             for i, j in pairs]
-    long = (unpivot(df, [], items, ["col_a", "col_b", "a", "b"])
-            .where(F.col("a").isNotNull() & F.col("b").isNotNull()))
-    return long.groupBy("col_a", "col_b").agg(F.count(F.lit(1)).alias("n"),
-                                              F.covar_pop("a", "b").alias("cov"))
+    """Population covariance of every pair i >= j (diagonal = variance) in one
+    pass of mergeable co-moments (FE9)."""
+    m = named_pairs(co_moments(df, columns), columns)
+    return m.select("col_a", "col_b", "n", (F.col("c") / F.col("n")).alias("cov"))

@@ -1,5 +1,6 @@
 """Exact quantile search and exact-quota hash sampling against brute force."""
 
+import math
 import random
 from collections import Counter
 
@@ -26,20 +27,17 @@ def _data(kind, n, rng):
 
 
 @pytest.mark.parametrize("kind", ["normal", "heavy", "spread", "ints"])
-@pytest.mark.parametrize("fetch_limit", [10_000, 7])
-def test_exact_quantiles_match_numpy(spark, kind, fetch_limit):
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_exact_quantiles_match_numpy(spark, kind, accuracy, monkeypatch):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
     rng = random.Random(hash(kind) % 1000)
     xs = _data(kind, 3000, rng)
-    df = spark.createDataFrame([(0 if i % 4 else 1, x) for i, x in enumerate(xs)] + [(1, None)], "g int, x double")
+    df = spark.createDataFrame([(0 if i % 4 else 1, x) for i, x in enumerate(xs)] + [(1, None), (1, math.nan)], "g int, x double")
 
     def ranks_for(n):
-        out = []
-        for p in PROBS:
-            lo, hi, _ = quantiles.quantile_ranks(n, p)
-            out += [lo, hi]
-        return out
+        return {r for p in PROBS for r in quantiles.quantile_ranks(n, p)[:2]}
 
-    sizes, stats = quantiles.order_statistics(df, ["x"], ranks_for, by=["g"], fetch_limit=fetch_limit)
+    sizes, stats = quantiles.order_statistics(df, ["x"], PROBS, by=["g"])
     for g in (0, 1):
         vals = np.array(sorted(x for i, x in enumerate(xs) if (0 if i % 4 else 1) == g))
         assert sizes[(g, 0)] == len(vals)
@@ -53,6 +51,43 @@ def test_exact_quantiles_match_numpy(spark, kind, fetch_limit):
             assert q[(g, "x")][p] == pytest.approx(e, rel=1e-12, abs=0)
 
 
+def test_quantiles_of_infinities_and_null_groups(spark):
+    inf = math.inf
+    xs = {None: [-inf] * 3 + [1.0, 2.0, 3.0], "a": [-inf, 5.0, 6.0, inf], "b": [-inf] * 4, "c": [7.0]}
+    df = spark.createDataFrame([(g, x) for g, v in xs.items() for x in [*v, None]], "g string, x double")
+    q = quantiles.exact_quantiles(df, ["x"], [0.0, 0.5, 1.0], by=["g"])
+    assert q == {(None, "x"): {0.0: -inf, 0.5: -inf, 1.0: 3.0}, ("a", "x"): {0.0: -inf, 0.5: 5.5, 1.0: inf},
+                 ("b", "x"): {0.0: -inf, 0.5: -inf, 1.0: -inf}, ("c", "x"): {0.0: 7.0, 0.5: 7.0, 1.0: 7.0}}
+
+
+def test_rank_outside_its_bracket_is_searched_again(spark, monkeypatch):
+    """Brackets on the wrong side of their probability: the counts show it."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 10)
+    monkeypatch.setattr(quantiles, "MARGIN", -0.4)
+    calls = []
+    real = quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda *a: calls.append(1) or real(*a))
+    df = spark.range(1000).select((F.col("id") * 3 % 1000).cast("double").alias("x"))
+    q = quantiles.exact_quantiles(df, ["x"], [0.25, 0.5])
+    assert q[("x",)] == {0.25: 249.75, 0.5: 499.5}
+    assert len(calls) == 2
+
+
+def test_only_wanted_order_statistics_reach_the_driver(spark, monkeypatch):
+    """Two passes, and as many collected rows as ranks."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 50)
+    got = []
+    real = quantiles._selected
+    monkeypatch.setattr(quantiles, "_selected", lambda *a: (got.append(real(*a)), got[-1])[1])
+    counts = []
+    real_counted = quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda *a: (counts.append(real_counted(*a)), counts[-1])[1])
+    df = spark.range(50_000).select((F.col("id") % 2).alias("g"), F.xxhash64("id").cast("double").alias("x"))
+    quantiles.exact_quantiles(df, ["x"], [0.25, 0.5, 0.75], by=["g"])
+    assert len(counts) == 1 and got[0].count() <= 2 * 3 * 2
+    assert counts[0].count() < 50_000 * 0.5  # all other values are counted by gap
+
+
 def _brute_pick(rows, label_quota, salt):
     import hashlib
     by = {}
