@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,6 +29,33 @@ def fields(**kinds: str | DataType) -> StructType:
     return StructType([StructField(name, kind(k)) for name, k in kinds.items()])
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column has it (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def releasing(run: Callable) -> Callable:
+    """A task function that gives freed memory back to the system at its end: a
+    Python worker lives on for later stages, its largest heap should not."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+    return wrapped
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,7 +97,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: Stru
                 [c if isinstance(c, pa.Array) and c.type == f.type
                  else (c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type))
                  for f in arrow for c in (out[f.name],)], schema=arrow)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def binary_text(df: DataFrame, text: str = "text", to: str = "_utf8") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from riskframe.llm.common import slices
+from riskframe.llm.common import fresh, releasing, slices
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -237,7 +237,7 @@ def _search_block(docs: DataFrame, items: list[tuple[int, bytes]], window: int,
         if waiting:
             yield from done()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def _union(matches: list[dict]) -> int:
@@ -265,8 +265,9 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no test window occurs, with their own columns."""
-    found = find_matches(docs, items, window, out="_contamination")
-    return found.filter(F.col("_contamination.n_hit") == 0).select(*docs.columns)
+    out, = fresh(docs.columns, "_contamination")
+    found = find_matches(docs, items, window, out=out)
+    return found.filter(F.col(out)["n_hit"] == 0).select(*docs.columns)
 
 
 def items_digest(ids) -> str:

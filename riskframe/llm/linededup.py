@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructType
 
 from riskframe.functions.joins import bounded_broadcast
-from riskframe.llm.common import slices
+from riskframe.llm.common import fresh, releasing, slices
 from riskframe.session import materialize
 
 MIN_CHARS = 10
@@ -104,7 +104,7 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Da
     small = bounded_broadcast(materialize(by_doc, "op7-wanted"), BROADCAST_ROWS)
     same = rows["doc"].eqNullSafe(small["doc"]) & (rows["digest"] == small["digest"])
     joined = rows.join(small, same).select(rows["doc"], rows["digest"], "text", "wanted")
-    return joined.mapInArrow(run, schema).dropDuplicates(["h1", "h2"])
+    return joined.mapInArrow(releasing(run), schema).dropDuplicates(["h1", "h2"])
 
 
 def _keys_of(lines: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _keys_of(lines: DataFrame) -> DataFrame:
                              + [np.append(without, whole), np.append(np.arange(size - 1), -1)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=arrow)
 
-    return lines.mapInArrow(run, schema)
+    return lines.mapInArrow(releasing(run), schema)
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
@@ -186,11 +186,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts
 
 
 def _keep_lines(docs: DataFrame, kept: DataFrame, key: str, text: str, counts: bool) -> DataFrame:
-    rows = docs.withColumn("_doc", F.col(key).cast("long")).withColumn("_digest", F.xxhash64(F.col(text)))
-    kept = kept.select(F.col("doc").alias("_d"), F.col("digest").alias("_g"), "_keep")
-    same = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_digest") == F.col("_g"))
-    joined = rows.join(kept, same, "left").select(*docs.columns, "_keep")
+    doc_, digest_, d_, g_, keep_ = fresh(docs.columns, "_doc", "_digest", "_d", "_g", "_keep")
+    if counts:  # the counts replace columns of their names
+        docs = docs.drop("_n_lines", "_n_kept")
+    rows = docs.withColumn(doc_, F.col(key).cast("long")).withColumn(digest_, F.xxhash64(F.col(text)))
+    kept = kept.select(F.col("doc").alias(d_), F.col("digest").alias(g_), F.col("_keep").alias(keep_))
+    same = F.col(doc_).eqNullSafe(F.col(d_)) & (F.col(digest_) == F.col(g_))
+    joined = rows.join(kept, same, "left").select(*docs.columns, keep_)
     schema = StructType(list(docs.schema))
+    own = set(docs.columns)
     if counts:
         schema = schema.add("_n_lines", LongType()).add("_n_kept", LongType())
 
@@ -198,15 +202,15 @@ def _keep_lines(docs: DataFrame, kept: DataFrame, key: str, text: str, counts: b
         arrow = to_arrow_schema(schema)
         for batch in slices(batches, chars_of=text):
             texts, total, stay = [], [], []
-            for value, keep in zip(batch.column(text).to_pylist(), batch.column("_keep").to_pylist()):
+            for value, keep in zip(batch.column(text).to_pylist(), batch.column(keep_).to_pylist()):
                 lines = [] if value is None else value.split("\n")
                 keep = set(keep or ())
                 out = [x for i, x in enumerate(lines) if i in keep or not x.strip(_BLANK)]
                 texts.append(None if value is None else "\n".join(out))
                 total.append(len(lines))
                 stay.append(len(out))
-            columns = [pa.array(texts, f.type) if f.name == text else pa.array(total, f.type) if f.name == "_n_lines"
-                       else pa.array(stay, f.type) if f.name == "_n_kept" else batch.column(f.name) for f in arrow]
+            columns = [pa.array(texts, f.type) if f.name == text else batch.column(f.name) if f.name in own
+                       else pa.array(total if f.name == "_n_lines" else stay, f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(releasing(run), schema)

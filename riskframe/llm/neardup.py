@@ -27,7 +27,8 @@ Defined results: without words or text a set is empty and linked with nothing
 (n_shingles 0, its own component); a null key has component null and is kept;
 rows that share a key are judged each by its own text; an empty table gives an
 empty result. Extra columns are ignored by ``near_duplicates`` and pass through
-``drop_near_duplicates``.
+``drop_near_duplicates``, which keeps one row of each group also where keys are
+null or repeated.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from riskframe.functions.joins import bounded_broadcast
-from riskframe.llm.common import binary_text, slices
+from riskframe.llm.common import binary_text, fresh, releasing, slices
 from riskframe.session import materialize
 
 WORDS = 5
@@ -52,6 +52,8 @@ SIDE = 16  # hashes in each of the two collections
 ROWS = 2  # minhashes combined to one of them
 PARITY_BITS = 2048
 BLOCK = 256
+COMPARE_ROWS = 16_384  # rows of buckets compared together in a task
+COMPARE_PAIRS = 1 << 18
 BROADCAST_ROWS = 200_000
 
 _RANDOM = np.random.default_rng(20240607)
@@ -98,8 +100,9 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.empty((len(sets), len(_SEEDS)), np.uint32)
+    low = (flat >> np.uint64(17)).astype(np.uint32)
     for k, seed in enumerate(_SEEDS):
-        mixed = ((flat * seed) >> np.uint64(32)).astype(np.uint32) ^ (flat >> np.uint64(17)).astype(np.uint32)
+        mixed = ((flat * seed) >> np.uint64(32)).astype(np.uint32) ^ low
         out[:, k] = np.minimum.reduceat(mixed * np.uint32(2654435761), starts)
     return out
 
@@ -109,8 +112,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n, node (64-bit digest of the set; null if empty), mins."""
-    schema = (StructType().add("key", LongType()).add("n", LongType()).add("node", LongType())
+    """key, digest of the text, n, node (64-bit digest of the set; null if empty), mins."""
+    schema = (StructType().add("key", LongType()).add("digest", BinaryType()).add("n", LongType()).add("node", LongType())
               .add("mins", BinaryType()))
 
     def run(batches):
@@ -124,11 +127,11 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for i, row in zip(full, minhashes([sets[i] for i in full])):
                     mins[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([
-                batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column("key"), batch.column("digest").cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) for s in sets], pa.int64()), pa.array(mins, pa.binary())], schema=arrow)
 
     rows = binary_text(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
-    return rows.select("key", "_utf8").mapInArrow(run, schema)
+    return rows.select("key", F.unhex(F.md5("_utf8")).alias("digest"), "_utf8").mapInArrow(releasing(run), schema)
 
 
 def node_of(shingle_set: np.ndarray) -> int | None:
@@ -155,11 +158,11 @@ def _tables(classes: DataFrame) -> DataFrame:
                 batch.column("node"), batch.column("n"), pa.array(list(total[:, :SIDE]), arrow.field("a").type),
                 pa.array(list(total[:, SIDE:]), arrow.field("b").type)], schema=arrow)
 
-    return classes.select("node", "n", "mins").mapInArrow(run, schema)
+    return classes.select("node", "n", "mins").mapInArrow(releasing(run), schema)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes as bytes), parity of the wanted (key, node)."""
+    """node, shingles (sorted 64-bit hashes as bytes), parity of the wanted (key, digest of the text, node)."""
     schema = StructType().add("node", LongType()).add("shingles", BinaryType()).add("parity", BinaryType())
 
     def run(batches):
@@ -172,8 +175,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFra
                 pa.array([k[i] for k in keep], pa.binary()) for i in (1, 2)], schema=arrow)
 
     rows = binary_text(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
-    joined = rows.join(bounded_broadcast(wanted, BROADCAST_ROWS), "key").select("node", "_utf8")
-    return joined.mapInArrow(run, schema).dropDuplicates(["node"])
+    rows = rows.withColumn("digest", F.unhex(F.md5("_utf8")))
+    wanted = bounded_broadcast(wanted.withColumnsRenamed({"key": "k", "digest": "d"}), BROADCAST_ROWS)
+    joined = rows.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d"))).select("node", "_utf8")
+    return joined.mapInArrow(releasing(run), schema).dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,7 +197,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(releasing(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,6 +232,36 @@ def _first_table(equal: np.ndarray) -> np.ndarray:
     return np.where(sides.any(axis=2).all(axis=1), sides[:, 0].argmax(axis=1) * SIDE + sides[:, 1].argmax(axis=1), -1)
 
 
+def _pairs_of(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a left and a right row of the same group that may be a link
+    and whose first shared table is this group's. Both are sorted by group."""
+    start = np.searchsorted(right["group"], left["group"], "left")
+    many = np.searchsorted(right["group"], left["group"], "right") - start
+    upto = np.cumsum(many)
+    out = [], []
+    at = 0
+    while at < len(upto):
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] - many[at] + COMPARE_PAIRS, "right")))
+        l = np.repeat(np.arange(at, stop), many[at:stop])
+        r = np.arange(len(l)) - np.repeat(upto[at:stop] - many[at:stop] - (upto[at] - many[at]), many[at:stop]) + start[l]
+        at = stop
+        n, m = left["n"][l], right["n"][r]
+        # two outer members are compared once
+        ok = (left["root"][l] != right["root"][r]) & (right["inner"][r] | (right["node"][r] > left["node"][l]))
+        ok &= 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+        l, r = l[ok], r[ok]
+        for lo in range(0, len(l), COMPARE_PAIRS // 16):
+            x, y = l[lo:lo + COMPARE_PAIRS // 16], r[lo:lo + COMPARE_PAIRS // 16]
+            # a link differs in at most a seventh of the summed sizes
+            apart = np.bitwise_count(left["parity"][x] ^ right["parity"][y]).sum(axis=1, dtype=np.int64)
+            near = 7 * apart <= left["n"][x] + right["n"][y]
+            x, y = x[near], y[near]
+            first = _first_table(left["mins"][x] == right["mins"][y]) == left["table"][x]
+            out[0].append(left["node"][x[first]])
+            out[1].append(right["node"][y[first]])
+    return tuple(np.concatenate([np.empty(0, np.int64), *o]) for o in out)
+
+
 def _open_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and may be
     similar enough by their parity bitmaps; each bucket's members outside its largest component
@@ -251,33 +286,50 @@ def _open_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> Da
         "k", "table", "node", "n", "root", "mins", "parity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.lit(1).alias("asks"), F.lit(False).alias("inner"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["asks"] == 1], pdf[pdf["asks"] == 0]
-        a, b = [], []
-        if len(left) and len(right):
-            right_mins = np.frombuffer(b"".join(right["mins"]), np.uint32).reshape(len(right), -1)
-            bits = np.frombuffer(b"".join(right["parity"]), np.uint64).reshape(len(right), -1)
-            nodes, roots_, sizes = right["node"].to_numpy(), right["root"].to_numpy(), right["n"].to_numpy()
-            inner = right["inner"].to_numpy()  # two outer members are compared once
-            for node, own, n, m, p in zip(left["node"], left["root"], left["n"], left["mins"], left["parity"]):
-                ok = np.flatnonzero((roots_ != own) & (inner | (nodes > node)) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)))
-                # a link differs in at most a seventh of the summed sizes
-                apart = np.bitwise_count(bits[ok] ^ np.frombuffer(p, np.uint64)).sum(axis=1, dtype=np.int64)
-                ok = ok[7 * apart <= sizes[ok] + n]
-                ok = ok[_first_table(right_mins[ok] == np.frombuffer(m, np.uint32)) == pdf["table"].iloc[0]]
-                b += nodes[ok].tolist()
-                a += [node] * len(ok)
-        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
-
-    found = held.unionByName(asks).groupBy("k", "block").applyInPandas(compare, "a long, b long")
+    columns = ("node", "n", "root", "table", "inner")
+    sketch = {"mins": np.uint32, "parity": np.uint64}
+
+    def compare(batches):
+        """Rows sorted by (k, block, asks): a block's held members stand before
+        those that ask, so only the held members of the last block are carried
+        from one slice to the next. All blocks of a slice are compared together."""
+        carried, last = None, None
+        for batch in slices(batches, rows=COMPARE_ROWS):
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "block")], axis=1)
+            group = np.cumsum((np.diff(keys, axis=0) != 0).any(axis=1))
+            group = np.append(0, group) + (0 if last is None or (keys[0] == last).all() else 1)
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
+            rows |= {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), t).reshape(batch.num_rows, -1) for c, t in sketch.items()}
+            rows["group"] = group  # the carried rows are of group 0
+            asks = batch.column("asks").to_numpy(zero_copy_only=False) == 1
+            held = {c: v[~asks] for c, v in rows.items()}
+            if carried is not None:
+                held = {c: np.concatenate([carried[c], v]) for c, v in held.items()}
+            found = _pairs_of({c: v[asks] for c, v in rows.items()}, held)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+            own = held["group"] == group[-1]
+            carried, last = {c: v[own] for c, v in held.items()} | {"group": np.zeros(int(own.sum()), np.int64)}, keys[-1]
+
+    rows = held.unionByName(asks).repartition("k", "block").sortWithinPartitions("k", "block", "asks")
+    found = rows.mapInArrow(releasing(compare), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sketch = materialize(_sketch(docs, key, text), "op10-sketch")
-    classes = materialize(sketch.filter("node IS NOT NULL AND key IS NOT NULL").groupBy("node")
-                          .agg(F.min(F.struct("key", "n", "mins")).alias("s")).select("node", "s.*"), "op10-classes")
+    of_node = _components_of(docs, sketch.filter("key IS NOT NULL"), key, text)
+    found = sketch.select("key", "n", "node").join(of_node.drop("root"), "node", "left")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
+    return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
+                        F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def _components_of(docs: DataFrame, sketch: DataFrame, key: str, text: str) -> DataFrame:
+    """node, root (of its component), component_id (smallest key in it) of every set."""
+    classes = materialize(sketch.filter("node IS NOT NULL").groupBy("node")
+                          .agg(F.min(F.struct(F.col("key").isNull().alias("last"), "key", "digest", "n", "mins")).alias("s"))
+                          .select("node", "s.*"), "op10-classes")
     tables = materialize(_tables(classes), "op10-tables")
     single = tables.select("node", F.explode(F.concat("a", "b")).alias("h"))
     shared = materialize(single.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "op10-shared")
@@ -295,7 +347,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                .select("first.k", "rep"))
     buckets = materialize(buckets, "op10-buckets")
     members = materialize(keyed.join(bounded_broadcast(buckets, BROADCAST_ROWS), "k"), "op10-bucketed")
-    wanted = members.select("node").distinct().join(classes.select("node", "key"), "node")
+    wanted = members.select("node").distinct().join(classes.select("node", "key", "digest"), "node")
     sets = materialize(_sets_of(docs, materialize(wanted, "op10-wanted"), key, text), "op10-sets")
 
     sizes = classes.select(F.col("node").alias("rep"), F.col("n").alias("rep_n"))
@@ -312,14 +364,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = (classes.select("node", "key").join(roots, "node", "left")
              .select("node", "key", F.coalesce("root", "node").alias("root")))
     smallest = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    of_node = materialize(named.join(smallest, "root").select("node", "component_id"), "op10-named")
-    found = sketch.select("key", "n", "node").join(of_node, "node", "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
-    return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.col("key").eqNullSafe(component).alias("kept"))
+    return materialize(named.join(smallest, "root").select("node", "root", "component_id"), "op10-named")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group (the one with the smallest key), all others gone."""
-    kept = near_duplicates(docs, key, text).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each group: of the rows with the smallest key (null last) that
+    with the smallest digest of its text, repeated rows once. Rows without a word are linked with nothing and stay."""
+    sketch = materialize(_sketch(docs, key, text), "op10-sketch")
+    of_node = _components_of(docs, sketch, key, text)
+    placed = sketch.join(of_node, "node").groupBy("root", "key", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    best = F.struct(F.col("key").isNull().alias("last"), "key", "digest", "copies")
+    key_, digest_, copies_ = fresh(docs.columns, "_key", "_digest", "_copies")
+    kept = (placed.groupBy("root").agg(F.min(best).alias("b"))
+            .select(F.col("b.key").alias(key_), F.col("b.digest").alias(digest_), F.col("b.copies").alias(copies_)))
+    value = docs[text].cast("string")
+    own = docs.join(materialize(kept, "op10-kept"), docs[key].cast("long").eqNullSafe(F.col(key_))
+                    & (F.unhex(F.md5(value.cast("binary"))) == F.col(digest_)))
+    once = own.filter(F.col(copies_) == 1).select(*docs.columns)
+    repeated = own.filter(F.col(copies_) > 1).dropDuplicates([key_, digest_]).select(*docs.columns)
+    wordless = docs.filter(~F.coalesce(value.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return once.unionByName(repeated).unionByName(wordless)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from riskframe.llm.common import slices
+from riskframe.llm.common import fresh, releasing, slices
 
 ALPHA = 1.0
 RANK_OFFSET = 10
@@ -302,12 +302,13 @@ def encode(docs: DataFrame, model_file: str, alpha: float = ALPHA, key: str = "d
     schema = StructType(list(keep)).add(out, ArrayType(IntegerType()))
     if lossless:
         schema = schema.add(lossless, BooleanType())
+    seed_, text_ = fresh(docs.columns, "_seed", "_text")
 
     def run(batches):
         arrow = to_arrow_schema(schema)
-        for batch in slices(batches, rows=4096, chars_of="_text", max_bytes=BATCH_BYTES):
-            seeds = batch.column("_seed").to_numpy(zero_copy_only=False).view(np.uint64)
-            texts = batch.column("_text").to_pylist()
+        for batch in slices(batches, rows=4096, chars_of=text_, max_bytes=BATCH_BYTES):
+            seeds = batch.column(seed_).to_numpy(zero_copy_only=False).view(np.uint64)
+            texts = batch.column(text_).to_pylist()
             ids = encode_batch(shared.value, texts, _mix(seeds.copy()), alpha)
             offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])]).astype(np.int32)
             values = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int32)])
@@ -318,9 +319,9 @@ def encode(docs: DataFrame, model_file: str, alpha: float = ALPHA, key: str = "d
             yield pa.RecordBatch.from_arrays(
                 [batch.column(f.name) for f in keep] + [column.cast(arrow.field(out).type), *same], schema=arrow)
 
-    rows = docs.select(*[f.name for f in keep], F.xxhash64(F.lit("pieces"), F.col(key)).alias("_seed"),
-                       F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(*[f.name for f in keep], F.xxhash64(F.lit("pieces"), F.col(key)).alias(seed_),
+                       F.col(text).cast("string").alias(text_))
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def decoded(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -341,4 +342,4 @@ def decoded(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "t
                      for a, b, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(texts, pa.string())], schema=arrow)
 
-    return encoded.select(*[f.name for f in keep]).mapInArrow(run, schema)
+    return encoded.select(*[f.name for f in keep]).mapInArrow(releasing(run), schema)

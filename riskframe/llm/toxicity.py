@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from riskframe.llm.common import slices
+from riskframe.llm.common import fresh, releasing, slices
 
 WINDOW = 32
 STRIDE = 24
@@ -336,7 +336,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
     schema = StructType(list(keep)).add(out, DoubleType())
 
     # the text travels once: a string column that is kept is also what is scored
-    source = text if text != out and isinstance(docs.schema[text].dataType, StringType) else "_scored"
+    source = text if text != out and isinstance(docs.schema[text].dataType, StringType) else fresh(docs.columns, "_scored")[0]
     rows = docs if source == text else docs.withColumn(source, F.col(text).cast("string"))
 
     def run(batches):
@@ -345,9 +345,10 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
             got = score_texts(shared.value, batch.column(source).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(got, pa.float64())], schema=arrow)
 
-    return rows.select(*dict.fromkeys([*[f.name for f in keep], source])).mapInArrow(run, schema)
+    return rows.select(*dict.fromkeys([*[f.name for f in keep], source])).mapInArrow(releasing(run), schema)
 
 
 def keep_clean(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """The documents with a score below 0.5, with their own columns."""
-    return score(docs, model, text, "_toxicity").filter(F.col("_toxicity") < 0.5).select(*docs.columns)
+    out, = fresh(docs.columns, "_toxicity")
+    return score(docs, model, text, out).filter(F.col(out) < 0.5).select(*docs.columns)
