@@ -11,11 +11,11 @@ is missed once in 270,000.
    of copies are one row for each task).
 2. Two sets share a table exactly when they share some A_i and some B_j: only
    hashes that at least two classes share are combined to table keys.
-3. Buckets of the same members count once. Each is first resolved as a star:
-   every member against the bucket's representative. Links are confirmed on
-   the full sets; connected components are found by alternating large and
-   small stars.
-4. In a bucket that still holds several components, the members outside its
+3. The buckets of the ``DIAGONALS`` * m tables (A_i, B_i), (A_i, B_i+1), ... are
+   first resolved as stars: every member against the bucket's representative. Links are confirmed on the full
+   sets; connected components are found by alternating large and small stars.
+4. Buckets of the same members count once. In a bucket of any table that still
+   holds several components, the members outside its
    largest component are compared with all others, in blocks of at most
    ``BLOCK`` members, first on parity bitmaps of the sets (their differing
    bits are never more than the differing shingles, so no link is lost) and
@@ -51,6 +51,7 @@ WORDS = 5
 SIDE = 16  # hashes in each of the two collections
 ROWS = 2  # minhashes combined to one of them
 PARITY_BITS = 2048
+DIAGONALS = 3
 BLOCK = 256
 COMPARE_ROWS = 16_384  # rows of buckets compared together in a task
 COMPARE_PAIRS = 1 << 18
@@ -262,17 +263,21 @@ def _pairs_of(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.empty(0, np.int64), *o]) for o in out)
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+def _open_pairs(keyed: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and may be
     similar enough by their parity bitmaps; each bucket's members outside its largest component
-    against all of its members, in blocks."""
-    root = F.coalesce("root", "node")
-    rows = members.join(roots, "node", "left").select("k", "table", "node", "n", root.alias("root"))
-    by_root = rows.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"))
+    against all of its members, in blocks. Buckets of the same members count
+    once: the one of the first table stands for them."""
+    rooted = materialize(keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "op10-rooted")
+    rows = rooted.select("node", "n", "root", F.inline("places"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"m{salt}") for salt in (1, 2)]
+    by_root = rows.groupBy("k", "root").agg(F.count(F.lit(1)).alias("c"), F.min("table").alias("table"), *marks)
     open_ = (by_root.groupBy("k").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots"),
-                                      F.sum("c").alias("size"))
-             .filter("roots > 1").select("k", F.col("top.root").alias("top"),
-                                         F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+                                      F.sum("c").alias("size"), F.min("table").alias("table"), F.bit_xor("m1").alias("m1"),
+                                      F.bit_xor("m2").alias("m2"))
+             .filter("roots > 1").groupBy("size", "m1", "m2")
+             .agg(F.min(F.struct("table", "k", F.col("top.root").alias("top"))).alias("first"))
+             .select("first.k", "first.top", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     rows = rows.join(bounded_broadcast(materialize(open_, "op10-open"), BROADCAST_ROWS), "k")
     # a node meets its sketch once and not in each bucket: its list of buckets has SIDE * SIDE entries at most
     by_node = rows.groupBy("node").agg(F.min("n").alias("n"), F.min("root").alias("root"),
@@ -335,29 +340,26 @@ def _components_of(docs: DataFrame, sketch: DataFrame, key: str, text: str) -> D
     shared = materialize(single.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "op10-shared")
     sides = (single.join(bounded_broadcast(shared, BROADCAST_ROWS), "h", "left_semi")
              .groupBy("node").agg(F.collect_set("h").alias("h")))
-    both = tables.join(sides, "node").select(
-        "node", "n", F.posexplode("a").alias("i", "x"), "b", "h").filter(F.array_contains("h", F.col("x")))
-    both = both.select("node", "n", "i", "x", "h", F.posexplode("b").alias("j", "y")).filter(F.array_contains("h", F.col("y")))
-    keyed = materialize(both.select("node", "n", (F.col("i") * SIDE + F.col("j")).alias("table"),
-                                    F.xxhash64("x", "y").alias("k")), "op10-keyed")
-    # buckets with the same members are one: the one of the first table stands for them
-    marks = [F.bit_xor(F.xxhash64(F.lit(salt), "node")).alias(f"m{salt}") for salt in (1, 2)]
-    buckets = (keyed.groupBy("k", "table").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("rep"), *marks)
-               .filter("c > 1").groupBy("c", "rep", "m1", "m2").agg(F.min(F.struct("table", "k")).alias("first"))
-               .select("first.k", "rep"))
-    buckets = materialize(buckets, "op10-buckets")
-    members = materialize(keyed.join(bounded_broadcast(buckets, BROADCAST_ROWS), "k"), "op10-bucketed")
-    wanted = members.select("node").distinct().join(classes.select("node", "key", "digest"), "node")
+    numbered = {c: F.filter(F.transform(c, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: F.array_contains("h", e["x"]))
+                for c in ("a", "b")}
+    places = F.flatten(F.transform(numbered["a"], lambda p: F.transform(numbered["b"], lambda q: F.struct(
+        (p["i"] * SIDE + q["i"]).alias("table"), F.xxhash64(p["x"], q["x"]).alias("k")))))
+    keyed = materialize(tables.join(sides, "node").select("node", "n", places.alias("places")).filter(F.size("places") > 0), "op10-keyed")
+    wanted = keyed.select("node").join(classes.select("node", "key", "digest"), "node")
     sets = materialize(_sets_of(docs, materialize(wanted, "op10-wanted"), key, text), "op10-sets")
 
-    sizes = classes.select(F.col("node").alias("rep"), F.col("n").alias("rep_n"))
-    star = (members.filter("node <> rep").select("rep", "node", "n").distinct().join(sizes, "rep")
+    # first round: stars in the buckets of the first diagonals of the tables
+    diagonal = keyed.select("node", "n", F.inline("places")).filter(
+        F.pmod(F.col("table") - F.floor(F.col("table") / SIDE), F.lit(SIDE)) < DIAGONALS)
+    buckets = diagonal.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("rep")).filter("c > 1")
+    buckets = materialize(buckets.select("k", F.col("rep.node").alias("rep"), F.col("rep.n").alias("rep_n")), "op10-buckets")
+    star = (diagonal.join(bounded_broadcast(buckets, BROADCAST_ROWS), "k").filter("node <> rep")
             .filter(4 * F.least("n", "rep_n") >= 3 * F.greatest("n", "rep_n"))
-            .select(F.col("rep").alias("a"), F.col("node").alias("b")))
+            .select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
     links = materialize(_verified(star, sets), "op10-links")
     roots = materialize(components(links), "op10-roots")
     sketches = sets.select("node", "parity").join(classes.select("node", "mins"), "node")
-    rest = materialize(_verified(_open_pairs(members, roots, sketches), sets), "op10-rest")
+    rest = materialize(_verified(_open_pairs(keyed, roots, sketches), sets), "op10-rest")
     # the second round links components: whole stars of the first round and the new links
     all_links = rest.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
     roots = materialize(components(all_links), "op10-final")
