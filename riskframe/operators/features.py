@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -189,31 +190,46 @@ def _cat_expr(c: str, state: dict, present: bool) -> F.Column:
     return x
 
 
-def feature_vector(df: DataFrame, state: dict, apply_clip: bool = True,
-                   center: bool = False) -> F.Column:
-    """One dense vector expression for raw rows: sentinels -> NULL, clip,
-    impute, scale, one-hot (unseen / NULL -> zeros); training columns missing
-    from ``df`` count as NULL (FE5, FE6, PRJ9). No intermediate columns, no
-    shuffle: the whole preparation is one projection.
-
-    ``center`` subtracts the training mean of every encoded column, as PCA
-    does before projecting: 0 for the scaled numeric block, the category
-    frequency (after imputation) for each one-hot column."""
-    have = set(df.columns)
-    parts = [_num_expr(c, state, c in have, apply_clip) for c in state["num_cols"]]
+def encoded_means(state: dict) -> list[float]:
+    """Training mean of every encoded column: 0 for the scaled numeric block,
+    the category frequency (after imputation) for each one-hot column."""
+    out = [0.0] * len(state["num_cols"])
     for c in state["cat_cols"]:
-        x = _cat_expr(c, state, c in have)
-        means = state.get("onehot_means", {}).get(c) or [0.0] * len(state["categories"][c])
-        for v, m in zip(state["categories"][c], means):
-            hot = F.coalesce((x == F.lit(v)).cast("double"), F.lit(0.0))
-            parts.append(hot - F.lit(m) if center else hot)
-    return array_to_vector(F.array(*parts))
+        out += state.get("onehot_means", {}).get(c) or [0.0] * len(state["categories"][c])
+    return out
 
 
 def prepared_features(df: DataFrame, state: dict, apply_clip: bool = True,
                       output_col: str = "features") -> DataFrame:
-    """``df`` with the ``features`` vector appended."""
-    return df.withColumn(output_col, feature_vector(df, state, apply_clip))
+    """``df`` with the ``features`` vector of raw rows appended: sentinels ->
+    NULL, clip, impute, scale, one-hot (unseen / NULL -> zeros); training
+    columns missing from ``df`` count as NULL (FE4-FE6, PRJ9). No shuffle.
+
+    Categories become indices by a hash lookup held in the indexer and the
+    one-hot block stays sparse, so neither the plan nor a row grows with the
+    number of categories."""
+    have, cats = set(df.columns), state["cat_cols"]
+    taken = {c.lower() for c in df.columns}
+
+    def own(name):
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        return name
+
+    number = own("_numeric")
+    text, index, hot = ([own(f"_{kind}{i}") for i in range(len(cats))] for kind in ("category", "index", "hot"))
+    parts = [_num_expr(c, state, c in have, apply_clip) for c in state["num_cols"]]
+    out = df.withColumns({number: array_to_vector(F.array(*parts) if parts else F.array().cast("array<double>"))}
+                         | {t: _cat_expr(c, state, c in have) for t, c in zip(text, cats)})
+    if cats:
+        for c, t, i in zip(cats, text, index):
+            out = StringIndexerModel.from_labels(state["categories"][c], inputCol=t, outputCol=i, handleInvalid="keep").transform(out)
+        # the sizes come from the indexers' metadata: fitted on no row, so a stream is encoded the same way
+        sizes = df.sparkSession.createDataFrame([], out.select(*index).schema)
+        out = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True, handleInvalid="error").fit(sizes).transform(out)
+    assembled = VectorAssembler(inputCols=[number, *hot], outputCol=output_col).transform(out.drop(output_col))
+    return assembled.drop(number, *text, *index, *hot)
 
 
 def covariance_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -17,10 +17,11 @@ import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Model, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import PCA, VectorSlicer
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -30,7 +31,7 @@ from pyspark.sql import Window
 
 from riskframe import schema as S
 from riskframe.functions.columns import hash_order, unpivot
-from riskframe.operators.features import feature_names, feature_vector, fit_state
+from riskframe.operators.features import encoded_means, feature_names, fit_state, prepared_features
 from riskframe.operators.sampling import stratified_subsample
 
 
@@ -55,14 +56,11 @@ class RiskPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable)
                       typeConverter=TypeConverters.toBoolean)
     outputCol = Param(Params._dummy(), "outputCol", "output vector column",
                       typeConverter=TypeConverters.toString)
-    center = Param(Params._dummy(), "center", "subtract the training column means",
-                   typeConverter=TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, stateJson: str = "{}", applyClip: bool = True, outputCol: str = "features",
-                 center: bool = False):
+    def __init__(self, stateJson: str = "{}", applyClip: bool = True, outputCol: str = "features"):
         super().__init__()
-        self._setDefault(stateJson="{}", applyClip=True, outputCol="features", center=False)
+        self._setDefault(stateJson="{}", applyClip=True, outputCol="features")
         self._set(**self._input_kwargs)
 
     def state(self) -> dict:
@@ -72,9 +70,29 @@ class RiskPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable)
         return self._set(applyClip=value)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.getOrDefault(self.outputCol),
-                             feature_vector(df, self.state(), self.getOrDefault(self.applyClip),
-                                            self.getOrDefault(self.center)))
+        return prepared_features(df, self.state(), self.getOrDefault(self.applyClip), self.getOrDefault(self.outputCol))
+
+
+class LeadingComponents(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """The first components of a projection of uncentred rows, less the
+    projection of the training means: the centring of PCA, done after the
+    projection so that the encoded rows stay sparse."""
+
+    offset = Param(Params._dummy(), "offset", "projected training means", typeConverter=TypeConverters.toListFloat)
+    inputCol = Param(Params._dummy(), "inputCol", "projection", typeConverter=TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "leading centred components", typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, offset: list | None = None, inputCol: str = "pca_all", outputCol: str = "pca_features"):
+        super().__init__()
+        self._setDefault(offset=[], inputCol="pca_all", outputCol="pca_features")
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        offset = self.getOrDefault(self.offset)
+        lead = F.slice(vector_to_array(self.getOrDefault(self.inputCol)), 1, len(offset))
+        return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(
+            F.zip_with(lead, F.lit(offset), lambda x, m: x - m)))
 
 
 class PlattCalibrationModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -158,16 +176,16 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
 
     state = state or fit_state(train_raw)
     lap("state")
-    # centred features: the means come from the fitted statistics, no pass
-    prep = RiskPreprocessorModel(stateJson=json.dumps(state), applyClip=True, outputCol="features",
-                                 center=True)
+    prep = RiskPreprocessorModel(stateJson=json.dumps(state), applyClip=True, outputCol="features")
     xc = prep.transform(train_raw.select(S.KEY, S.LABEL, *state["num_cols"], *state["cat_cols"]))
     d = len(feature_names(state))
     pca_full = PCA(k=d, inputCol="features", outputCol="pca_all").fit(xc)
     ratios = [float(v) for v in pca_full.explainedVariance]
     k = choose_k(ratios, variance)
     lap("pca")
-    slicer = VectorSlicer(inputCol="pca_all", outputCol="pca_features", indices=list(range(k)))
+    # the means come from the fitted statistics, no pass
+    offset = (np.array(encoded_means(state)) @ pca_full.pc.toArray())[:k]
+    slicer = LeadingComponents(offset=[float(v) for v in offset], inputCol="pca_all", outputCol="pca_features")
     base = slicer.transform(pca_full.transform(xc)).select(S.KEY, S.LABEL, "pca_features")
     if subsample_fraction:
         base = stratified_subsample(base, S.LABEL, S.KEY, subsample_fraction, S.SUBSAMPLE_SALT)

@@ -100,9 +100,13 @@ def test_pca_matches_numpy_eigenvalues(spark):
 
     m = Q._model(spark, SMALL)
     st = m.state
-    prep = RiskPreprocessorModel(stateJson=json.dumps(st), applyClip=True, center=True)
+    prep = RiskPreprocessorModel(stateJson=json.dumps(st), applyClip=True)
     x = np.array([r.features.toArray() for r in prep.transform(prepared(spark, SMALL).train).collect()])
-    assert np.allclose(x.mean(axis=0), 0.0, atol=1e-9)  # centring from the fitted counts
+    from riskframe.operators.features import encoded_means
+    assert np.allclose(x.mean(axis=0), encoded_means(st), atol=1e-9)  # centring from the fitted counts
+    own = m.pipeline.stages[2].transform(m.pipeline.stages[1].transform(prep.transform(prepared(spark, SMALL).train)))
+    z = np.array([r.pca_features.toArray() for r in own.select("pca_features").collect()])
+    assert np.allclose(z.mean(axis=0), 0.0, atol=1e-9) and z.shape[1] == m.k
     eig = np.sort(np.linalg.eigvalsh(np.cov(x, rowvar=False)))[::-1]
     assert np.allclose(m.explained, eig / eig.sum(), atol=1e-9)
     pca = m.pipeline.stages[1]
