@@ -23,7 +23,6 @@ from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,10 +216,9 @@ def prepared_features(df: DataFrame, state: dict, apply_clip: bool = True,
         taken.add(name.lower())
         return name
 
-    number = own("_numeric")
+    number = [own(f"_numeric{i}") for i in range(len(state["num_cols"]))]
     text, index, hot = ([own(f"_{kind}{i}") for i in range(len(cats))] for kind in ("category", "index", "hot"))
-    parts = [_num_expr(c, state, c in have, apply_clip) for c in state["num_cols"]]
-    out = df.withColumns({number: array_to_vector(F.array(*parts) if parts else F.array().cast("array<double>"))}
+    out = df.withColumns({n: _num_expr(c, state, c in have, apply_clip) for c, n in zip(state["num_cols"], number)}
                          | {t: _cat_expr(c, state, c in have) for t, c in zip(text, cats)})
     if cats:
         for c, t, i in zip(cats, text, index):
@@ -228,8 +226,9 @@ def prepared_features(df: DataFrame, state: dict, apply_clip: bool = True,
         # the sizes come from the indexers' metadata: fitted on no row, so a stream is encoded the same way
         sizes = df.sparkSession.createDataFrame([], out.select(*index).schema)
         out = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True, handleInvalid="error").fit(sizes).transform(out)
-    assembled = VectorAssembler(inputCols=[number, *hot], outputCol=output_col).transform(out.drop(output_col))
-    return assembled.drop(number, *text, *index, *hot)
+    # single numbers and vectors of known size: assembling reads no row either
+    assembled = VectorAssembler(inputCols=[*number, *hot], outputCol=output_col, handleInvalid="keep").transform(out.drop(output_col))
+    return assembled.drop(*number, *text, *index, *hot)
 
 
 def covariance_pairs(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -21,12 +21,12 @@ def _state(num, cats):
 def test_encoding_by_lookup(spark):
     st = _state(["x"], {"c": ["a", "b", "z"], "d": ["q"]})
     rows = [(1.5, "b", "q", "own"), (None, None, "other", "own"), (2.0, "new", None, "own")]
-    df = spark.createDataFrame(rows, "x double, c string, d string, _numeric string")
+    df = spark.createDataFrame(rows, "x double, c string, d string, _numeric0 string")
     out = features.prepared_features(df, st)
     assert out.columns == [*df.columns, "features"]
     # a null takes the mode, an unseen category is all zeros
     assert [r.features.toArray().tolist() for r in out.collect()] == [[1.5, 0, 1, 0, 1], [0, 1, 0, 0, 0], [2, 0, 0, 0, 1]]
-    assert {r._numeric for r in out.collect()} == {"own"}
+    assert {r._numeric0 for r in out.collect()} == {"own"}
 
 
 def test_plan_does_not_grow_with_the_categories(spark):
