@@ -21,6 +21,7 @@ from riskframe.operators.comoments import co_moments, named_pairs
 from riskframe.operators.quantiles import exact_quantiles
 
 MAX_GROUPS_BROADCAST = 10_000
+MAX_PREDICATES = 64
 
 
 def target_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -154,6 +155,26 @@ def box_summary(df: DataFrame, value: str, by: str, factor: float = 1.5) -> Data
                                    "whisker_hi", "n_outliers")
 
 
+def box_outliers(df: DataFrame, value: str, by: str, factor: float = 1.5) -> DataFrame:
+    """The rows outside their group's box-plot fences, with ``side`` below or
+    above (AGG10). The fences become one range predicate for each group, which
+    reaches the scan; with more than ``MAX_PREDICATES`` groups they are joined."""
+    q = exact_quantiles(df.where(F.col(by).isNotNull()), [value], [0.25, 0.75], by=[by])
+    fences = [(k[0], v[0.25] - factor * (v[0.75] - v[0.25]), v[0.75] + factor * (v[0.75] - v[0.25])) for k, v in q.items()]
+    x = F.col(value)
+    if len(fences) > MAX_PREDICATES:
+        table = df.sparkSession.createDataFrame(fences, T.StructType([
+            T.StructField("_by", df.schema[by].dataType), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())]))
+        joined = df.join(table, F.col(by) == F.col("_by")).where((x < F.col("_lo")) | (x > F.col("_hi")))
+        return joined.withColumn("side", F.when(x < F.col("_lo"), "below").otherwise("above")).drop("_by", "_lo", "_hi")
+    outside, below = F.lit(False), F.lit(False)
+    for group, lo, hi in fences:
+        mine = F.col(by) == F.lit(group)
+        outside = outside | (mine & ((x < F.lit(lo)) | (x > F.lit(hi))))
+        below = below | (mine & (x < F.lit(lo)))
+    return df.where(outside).withColumn("side", F.when(below, "below").otherwise("above"))
+
+
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair (i > j, lower triangle), pairwise
     complete; NULL for a constant column (AGG18, PRJ15).

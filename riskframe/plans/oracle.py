@@ -199,6 +199,15 @@ b AS (SELECT TARGET, AMT_INCOME_TOTAL AS x FROM train, p99 WHERE AMT_INCOME_TOTA
 qs AS (SELECT TARGET, {npq('xs', 0.25)} AS q1, {npq('xs', 0.5)} AS median, {npq('xs', 0.75)} AS q3
        FROM (SELECT TARGET, {sorted_list('x')} AS xs FROM b GROUP BY TARGET))"""))
 
+register("income_outliers", q("""
+SELECT SK_ID_CURR, b.TARGET, CASE b.TARGET WHEN 0 THEN 'No Default' WHEN 1 THEN 'Default' END AS label, x AS AMT_INCOME_TOTAL,
+       CASE WHEN x < q1 - 1.5*(q3-q1) THEN 'below' ELSE 'above' END AS side
+FROM b JOIN qs USING (TARGET) WHERE x < q1 - 1.5*(q3-q1) OR x > q3 + 1.5*(q3-q1)""", f"""
+p99 AS (SELECT {npq('xs', 0.99)} AS v FROM (SELECT {sorted_list('AMT_INCOME_TOTAL')} AS xs FROM train)),
+b AS (SELECT SK_ID_CURR, TARGET, AMT_INCOME_TOTAL AS x FROM train, p99 WHERE AMT_INCOME_TOTAL < p99.v),
+qs AS (SELECT TARGET, {npq('xs', 0.25)} AS q1, {npq('xs', 0.75)} AS q3
+       FROM (SELECT TARGET, {sorted_list('x')} AS xs FROM b GROUP BY TARGET))"""))
+
 register("gender_pivot", q("""
 SELECT CODE_GENDER, n_no_default, n_default, n_no_default + n_default AS total,
        round_even(CAST(n_default AS DOUBLE) / (n_no_default + n_default) * 100 * 100.0, 0) / 100.0 AS default_rate_pct

@@ -107,6 +107,14 @@ def income_boxplot(spark, sf_dir):
                       "n_outliers")
 
 
+@query
+def income_outliers(spark, sf_dir):
+    """The rows that the income box plot draws as single points."""
+    below, _ = explore.p_quantile_filter(prepared(spark, sf_dir).train, "AMT_INCOME_TOTAL", S.INCOME_QUANTILE)
+    out = explore.box_outliers(below, "AMT_INCOME_TOTAL", S.LABEL, S.IQR_FACTOR)
+    return out.select(S.KEY, S.LABEL, C.label_text(S.LABEL).alias("label"), "AMT_INCOME_TOTAL", "side")
+
+
 @query
 def gender_pivot(spark, sf_dir):
     return explore.pivot_counts(prepared(spark, sf_dir).train, "CODE_GENDER", S.LABEL)
