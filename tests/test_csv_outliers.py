@@ -44,8 +44,9 @@ def test_outlier_rows_are_the_counted_ones(spark):
     rows = Q.income_outliers(spark, SMALL)
     got = {r.TARGET: r["count"] for r in rows.groupBy("TARGET").count().collect()}
     assert got == {k: v for k, v in box.items() if v}
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "GreaterThan(AMT_INCOME_TOTAL" in plan
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "GreaterThan(AMT_INCOME_TOTAL" in pushed and "EqualTo(TARGET" in pushed
 
 
 def test_outliers_of_many_groups(spark, monkeypatch):
