@@ -10,13 +10,15 @@ of each query's most promising cell, and its kth score bounds the second
 round, in which a query visits only the cells whose own bound reaches it.
 
 Queries (a stated set of rows) are sent to cells; vectors never meet each
-other in pairs outside a shard.
+other in pairs outside a shard. A shard is copied once for each ``QUERY_BLOCK``
+queries that its cell was really asked (counted before), so the first round moves
+each vector once and the second leaves out every cell that no bound reaches.
 
 Defined results: vectors that are null or hold null, NaN or infinite
 components take no part; a shorter vector counts as padded with zeros (an empty
 one scores 0); rows with a null id take no part; of rows that share an id the
-one with the smallest vector counts; components are clamped to +-2^40 after
-scaling, scores to the range of a long. With fewer candidates than k, all are
+one with the smallest vector counts; scaled components and scores
+are held to the range of a long. With fewer candidates than k, all are
 returned. Extra columns are ignored.
 """
 
@@ -33,9 +35,9 @@ from riskframe.session import materialize
 
 MAX_PIVOTS = 64
 SHARD_ROWS = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
 LEAF = 64
-CLAMP = 1 << 40
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def quantised(vector: str, scale: int = 256) -> Column:
@@ -43,8 +45,16 @@ def quantised(vector: str, scale: int = 256) -> Column:
     v = F.col(vector)
     ok = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
                                   & (F.abs(x.cast("double")) != F.lit(float("inf"))))
-    clamp = lambda x: F.greatest(F.lit(float(-CLAMP)), F.least(F.lit(float(CLAMP)), x))
-    return F.when(ok, F.transform(v, lambda x: F.floor(clamp(x.cast("double") * scale)).cast("long")))
+    scaled = lambda x: x.cast("double") * scale
+    # both ends of the range of a long, as Spark's cast raises beyond them
+    return F.when(ok, F.transform(v, lambda x: F.when(scaled(x) >= 2.0 ** 63, F.lit((1 << 63) - 1))
+                                  .when(scaled(x) < -2.0 ** 63, F.lit(-1 << 63)).otherwise(F.floor(scaled(x)))))
+
+
+def _spread(ids, parts: int) -> np.ndarray:
+    """A part of 0 .. parts - 1 for each id, whatever the ids have in common."""
+    mixed = np.asarray(ids, np.int64).view(np.uint64) * _ODD
+    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
@@ -180,41 +190,58 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     radius_of = np.array([sizes[c][1] for c in order])
     shards_of = [shards[c] for c in order]
 
-    def send(first: bool):
+    def goes(pdf: pd.DataFrame, first: bool) -> np.ndarray:
+        """Which query goes to which cell."""
+        points = _matrix(pdf["q"].tolist(), width)
+        norm = np.sqrt((points ** 2).sum(1))[:, None]
+        bound = points @ centre_of.T + norm * radius_of[None, :]
+        bound += 1e-9 * (np.abs(bound) + norm * (radius_of + np.abs(centre_of).sum(axis=1))[None, :]) + 1e-6
+        if first:
+            return bound.argmax(axis=1)[:, None] == np.arange(len(order))[None, :]
+        return bound >= pdf["kth"].astype("float64").fillna(float("-inf")).to_numpy()[:, None]
+
+    def count(first: bool):
+        def run(batches):
+            asked = sum((goes(pdf, first).sum(axis=0) for pdf in batches), np.zeros(len(order), np.int64))
+            yield pd.DataFrame({"cell": np.array(order, "int32"), "n": asked.astype("int64")})
+        return run
+
+    def send(first: bool, blocks: list[int]):
         def run(batches):
             for pdf in batches:
-                points = _matrix(pdf["q"].tolist(), width)
-                norm = np.sqrt((points ** 2).sum(1))[:, None]
-                bound = points @ centre_of.T + norm * radius_of[None, :]
-                bound += 1e-9 * (np.abs(bound) + norm * (radius_of + np.abs(centre_of).sum(axis=1))[None, :]) + 1e-6
                 out = []
-                for i, query_id in enumerate(pdf["query_id"]):
-                    kth = None if first or pd.isna(pdf["kth"].iloc[i]) else int(pdf["kth"].iloc[i])
-                    go = [int(bound[i].argmax())] if first else [
-                        c for c in range(len(order)) if kth is None or bound[i, c] >= kth]
-                    for c in go:
-                        for s in [int(query_id) % shards_of[c]] if first else range(shards_of[c]):
-                            out.append((int(query_id), pdf["q"].iloc[i], kth, order[c], s))
-                yield pd.DataFrame(out, columns=["query_id", "q", "kth", "cell", "shard"]).astype({"kth": "Int64"})
+                ids, go = pdf["query_id"].to_numpy(), goes(pdf, first)
+                for j, c in enumerate(order):
+                    at = np.flatnonzero(go[:, j])
+                    block = _spread(ids[at], max(1, blocks[j]))
+                    shard = _spread(ids[at] ^ 0x5555, shards_of[j]) if first else None
+                    for m, i in enumerate(at):
+                        kth = None if first or pd.isna(pdf["kth"].iloc[i]) else int(pdf["kth"].iloc[i])
+                        for s in [int(shard[m])] if first else range(shards_of[j]):
+                            out.append((int(ids[i]), pdf["q"].iloc[i], kth, c, s, int(block[m])))
+                yield pd.DataFrame(out, columns=["query_id", "q", "kth", "cell", "shard", "block"]).astype({"kth": "Int64"})
         return run
 
-    sent = "query_id long, q array<long>, kth long, cell int, shard int"
     found = "query_id long, vec_id long, score long"
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
-    def search(asked: DataFrame) -> DataFrame:
+    def search(queries: DataFrame, first: bool) -> DataFrame:
         where = ["cell", "shard", "block"]
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        wide = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        counted = dict(queries.mapInPandas(count(first), "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())
+        # in the first round a query asks one shard of its cell
+        blocks = [-(-(counted.get(c) or 0) // (QUERY_BLOCK * (shards_of[j] if first else 1))) for j, c in enumerate(order)]
+        asked = queries.mapInPandas(send(first, blocks), "query_id long, q array<long>, kth long, cell int, shard int, block int")
+        copies = spark.createDataFrame([(c, n) for c, n in zip(order, blocks) if n] or [(-1, 1)], "cell int, blocks int")
+        wide = (held.join(F.broadcast(copies), "cell")  # at most MAX_PIVOTS rows
+                .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
         return asked.groupBy(*where).cogroup(wide.groupBy(*where)).applyInPandas(_search_shard(k, width), found)
 
     if not order:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    first = search(queries.mapInPandas(send(True), sent))
+    first = search(queries, True)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = (first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k)
            .select("query_id", F.col("score").alias("kth")))
     bounded = materialize(queries.join(kth, "query_id", "left"), "op2-kth")
-    second = search(bounded.mapInPandas(send(False), sent))
+    second = search(bounded, False)
     return (second.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -81,6 +81,35 @@ def test_topk_matches_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_topk_of_large_components(spark):
+    """Scores beyond 2^53 are exact, beyond a long they are held to its range."""
+    v = {50: [1.0], 1: [2.0 ** 33], 2: [2.0 ** 34], 3: [2.0 ** 35], 4: [2.0 ** 46 + 2.0 ** -6], 5: [-2.0 ** 80], 6: [2.0 ** 80]}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 50, k=9).orderBy("rank").collect()]
+    assert got == [(6, 2 ** 63 - 1), (4, 256 * (2 ** 54 + 4)), (3, 2 ** 51), (2, 2 ** 50), (1, 2 ** 49), (5, -2 ** 63)]
+
+
+def test_topk_copies_a_shard_only_for_those_who_ask(spark, monkeypatch):
+    """Far clusters: the second round leaves the cells out that no query reaches."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    seen, plain = spark.sparkContext.accumulator(0), topk._search_shard
+
+    def counting(k, width):
+        run = plain(k, width)
+
+        def wrapped(key, asked, held):
+            seen.add(len(held))
+            return run(key, asked, held)
+        return wrapped
+    monkeypatch.setattr(topk, "_search_shard", counting)
+    r = np.random.default_rng(6)
+    away = np.repeat(np.eye(8) * 1000, 100, axis=0) + r.normal(size=(800, 8))
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(away)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id").isin(10, 20)).collect()
+    assert len(got) == 10 and all(x.vec_id < 100 for x in got)
+    assert seen.value < 2 * 800  # no shard of another cluster was copied in the second round
+
+
 def test_topk_many_shards(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
