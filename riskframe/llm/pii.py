@@ -3,22 +3,28 @@
 Base spans come from fixed rules (email, ip, card, phone). The field labels the
 tokens (runs without white space) that hold a digit or an ``@``; all others are
 not part of personal data by definition. Its potentials: token features (shape,
-neighbouring words, number of digits), transitions between neighbouring tokens,
-and skip edges that link each token to the next one of the document with the
-same form (equal digits, or equal lower-cased text), and each token that the
-rules miss also to the nearest one of its form that they know, however far.
+neighbouring words, number and check digit of the digits), transitions between
+neighbouring tokens, and skip edges that link each token to the next one of the
+document with the same form (equal digits, or equal lower-cased text) or a
+similar one (equal last ``TAIL`` digits, as of a number without its country
+code), and each token that the rules miss also to the nearest one of either kind
+that they know, however far.
 Base spans are observed; loopy sum-product message passing carries them to the
 other mentions, so an entity written once in a form that the rules know is found
 in the forms that they do not. A document's messages are passed until none
 changes by more than ``SETTLED``; where loops keep them from settling, for
 ``SPARE_ROUNDS`` and two rounds for each of its tokens, more than its longest
 path. A document's result does not depend on the others of its batch. The
-method only adds spans; base spans stay.
+method only adds spans; base spans stay. A span is added only where a skip edge
+ties one of its tokens, by a form of at least ``MIN_DIGITS`` digits or with an
+``@``, to a mention that the rules found, and with that mention's kind: what the
+token looks like never makes a span by itself. A document without a rule-found
+mention has nothing to carry, and its field is not computed.
 
 Weights are fitted by pseudo-likelihood on a bounded sample of documents (the
 ``SAMPLE_DOCS`` lowest by hash that hold a digit or ``@``) with the base rules
-as labels. A token that the rules miss but whose form they know in the same
-document has no label there; it and its edges are left out. All skip edges
+as labels. A token that the rules miss but whose form, or a similar one, they know in
+the same document has no label there; it and its edges are left out. All skip edges
 share one agreement weight, with a prior at ``AGREEMENT``.
 
 Positions are code points, ends exclusive. Defined results: a null or empty
@@ -51,6 +57,7 @@ DAMPING = 0.3
 AGREEMENT = 4.0
 ADD_AT = 0.5
 MIN_DIGITS = 6
+TAIL = 9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -109,6 +116,11 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+def _valid(digits: str) -> str:
+    """The card rule's verdict on a token's digits."""
+    return ("y" if _luhn(digits) else "n") if 16 <= len(digits) <= 19 else ""
+
+
 def _shape(token: str) -> str:
     s = re.sub(r"[0-9]", "9", token[:32])
     return re.sub(r"[^\W\d_]+", "a", s)
@@ -118,7 +130,7 @@ class Tokens:
     """The active tokens of one text, their features and edges."""
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]) -> None:
-        self.spans, self.features, forms = [], [], []
+        self.spans, self.features, forms, tails, named = [], [], [], [], []
         free = 0
         for m in _TOKEN.finditer(text):
             start = m.start()
@@ -129,20 +141,24 @@ class Tokens:
             token = text[start:free]
             digits = "".join(_DIGIT.findall(token))
             forms.append(digits if len(digits) >= MIN_DIGITS else token.strip(_EDGE).lower())
+            tails.append("~" + digits[-TAIL:] if len(digits) >= TAIL else "")
+            named.append(len(digits) >= MIN_DIGITS or "@" in token)
             before = text[max(0, start - 40):start].split()[-1:]
             after = text[free:free + 40].split()[:1]
             names = (f"s{_shape(token)}", f"d{min(len(digits), 20)}", f"b{_shape(before[0].lower()) if before else ''}",
-                     f"a{_shape(after[0].lower()) if after else ''}", "bias")
+                     f"a{_shape(after[0].lower()) if after else ''}", f"v{_valid(digits)}", "bias")
             self.features.append([xxhash.xxh32_intdigest(n) % BUCKETS for n in names])
         n = len(self.spans)
         self.chain = [(i, i + 1) for i in range(n - 1) if text[self.spans[i][1]:self.spans[i + 1][0]].isspace()]
         self.forms = forms
-        last: dict[str, int] = {}
-        self.skip = []
-        for i, form in enumerate(forms):
-            if form in last:
-                self.skip.append((last[form], i))
-            last[form] = i
+        linked = set()
+        for keys in (forms, tails):
+            last: dict[str, int] = {}
+            for i, key in enumerate(keys):
+                if key:
+                    if key in last:
+                        linked.add((last[key], i))
+                    last[key] = i
         self.observed = [0] * n
         i = 0
         for kind, start, end in sorted(base, key=lambda b: b[1]):
@@ -154,19 +170,22 @@ class Tokens:
             while j < n and self.spans[j][0] < end:
                 self.observed[j] = kind + 1
                 j += 1
-        named = {f for f, y in zip(forms, self.observed) if y}
-        self.unknown = [not y and f in named for f, y in zip(forms, self.observed)]
         known: dict[str, list[int]] = {}
-        for i, form in enumerate(forms):
+        for i in range(n):
             if self.observed[i]:
-                known.setdefault(form, []).append(i)
-        linked = set(self.skip)
-        for i, form in enumerate(forms):
-            if self.unknown[i]:
-                place = bisect(known[form], i)
-                near = min(known[form][max(0, place - 1):place + 1], key=lambda j: abs(j - i))
-                if (min(i, near), max(i, near)) not in linked:
-                    self.skip.append((min(i, near), max(i, near)))
+                for key in filter(None, (forms[i], tails[i])):
+                    known.setdefault(key, []).append(i)
+        self.unknown = [not y and (f in known or t in known) for f, t, y in zip(forms, tails, self.observed)]
+        self.tied = [set() for _ in range(n)]  # kinds of the mentions that skip edges tie a token to
+        for i in range(n):
+            for key in (forms[i], tails[i]) if self.unknown[i] else ():
+                if key in known:
+                    place = bisect(known[key], i)
+                    near = min(known[key][max(0, place - 1):place + 1], key=lambda j: abs(j - i))
+                    linked.add((min(i, near), max(i, near)))
+                    if named[i]:
+                        self.tied[i] |= {self.observed[j] for j in known[key]}
+        self.skip = sorted(linked)
 
 
 def _edges(tokens: list[Tokens], name: str) -> np.ndarray:
@@ -291,11 +310,12 @@ def find_spans(w: dict, texts: list[str | None]) -> list[tuple[list, list]]:
             end = spans[j][1] - (len(token) - len(token.rstrip(_EDGE)))
             if start >= end:
                 continue
+            tied = kind + 1 in t.tied[j]
             if added and added[-1][0] == kind and added[-1][3] == j - 1 and j - 1 in touching:
-                added[-1][2:] = [end, j]
+                added[-1][2:] = [end, j, tied or added[-1][4]]
             else:
-                added.append([kind, start, end, j])
-        out[i] = (base[i], sorted(base[i] + [(k, a, b) for k, a, b, _ in added]))
+                added.append([kind, start, end, j, tied])
+        out[i] = (base[i], sorted(base[i] + [(k, a, b) for k, a, b, _, tied in added if tied]))
     return out
 
 

@@ -320,6 +320,52 @@ def test_personal_data_reaches_every_mention(spark):
         assert [sum(t[a:b] == other for _, a, b in s) for t, (_, s) in zip(texts, alone)] == [50] * 13 + [0]
 
 
+def test_personal_data_adds_only_what_an_edge_carries(spark):
+    """Numbers that only look like a card stay out; other forms, and a phone
+    number without its country code, are found in documents that name them."""
+    r = random.Random(4)
+
+    def number(valid):
+        while True:
+            digits = "".join(r.choice("123456789") for _ in range(16))
+            if pii._luhn(digits) == valid:
+                return digits
+
+    texts = [f"host 97.51.17.{i} {prose(i, 9)} order {number(False)} {prose(i, 5)} card {number(True)} end" for i in range(80)]
+    plain = len(texts)
+    texts += [f"call +49 30 {i + 100}4567890 {prose(i, 6)} or (0)30/{i + 100}4567890, {prose(i, 6)} host 10.0.0.{i}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {x.doc_id: x for x in pii.find(docs, pii.learn(docs)).collect()}
+    for i, t in enumerate(texts):
+        base = {(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)}
+        more = [f.value for f in got[i].found if (f.kind, f.start, f.end) not in base]
+        assert more == ([] if i < plain else [f"0)30/{i - plain + 100}4567890"]), (t, more)
+    assert [f.kind for f in got[plain].found].count("phone") == 2
+
+
+def test_personal_data_marginals_against_all_labellings():
+    """On a small graph with loops the field picks the labels that the sum over all labellings does."""
+    import itertools
+
+    text = "pay 4111-1111-1111-1111 or 77a 4111.1111.1111.1111 88b then 99c 4111/1111/1111/1111 77a"
+    tokens = pii.Tokens(text, pii.base_spans(text))
+    n, kinds = len(tokens.spans), len(pii.KINDS) + 1
+    r = np.random.default_rng(11)
+    w = pii.fit([])
+    w["f"] = 0.5 * r.standard_normal(w["f"].shape)
+    w["chain"] = 0.3 * r.standard_normal(w["chain"].shape)
+    unary = np.array([w["f"][f].sum(axis=0) for f in tokens.features])
+    assert len(tokens.skip) + len(tokens.chain) > n - 1 and n == 7  # loops
+    total = np.zeros((n, kinds))
+    for ways in itertools.product(*[[y] if y else range(kinds) for y in tokens.observed]):
+        score = sum(unary[i, y] for i, y in enumerate(ways))
+        score += sum(w["chain"][ways[a], ways[b]] for a, b in tokens.chain)
+        score += sum(w["skip"][ways[a], ways[b]] for a, b in tokens.skip)
+        total[np.arange(n), ways] += np.exp(score)
+    exact, got = total / total.sum(axis=1, keepdims=True), pii.marginals(w, [tokens])
+    assert (exact.argmax(axis=1) == got.argmax(axis=1)).all() and np.abs(exact - got).max() < 0.05
+
+
 def test_personal_data_messages_settle():
     """On a chain without loops the marginals are exact at any distance."""
     text = "a1@b.org " + " ".join(f"{i}x" for i in range(40))
