@@ -18,7 +18,7 @@ path. A document's result does not depend on the others of its batch. The
 method only adds spans; base spans stay. A span is added only where a skip edge
 ties one of its tokens, by a form of at least ``MIN_DIGITS`` digits or with an
 ``@``, to a mention that the rules found, and with that mention's kind: what the
-token looks like never makes a span by itself. A document without a rule-found
+token looks like never makes a span by itself. Shorter tokens beside it join it. A document without a rule-found
 mention has nothing to carry, and its field is not computed.
 
 Weights are fitted by pseudo-likelihood on a bounded sample of documents (the
@@ -185,7 +185,7 @@ class Tokens:
                     linked.add((min(i, near), max(i, near)))
                     if named[i]:
                         self.tied[i] |= {self.observed[j] for j in known[key]}
-        self.skip = sorted(linked)
+        self.named, self.skip = named, sorted(linked)
 
 
 def _edges(tokens: list[Tokens], name: str) -> np.ndarray:
@@ -311,6 +311,8 @@ def find_spans(w: dict, texts: list[str | None]) -> list[tuple[list, list]]:
             if start >= end:
                 continue
             tied = kind + 1 in t.tied[j]
+            if t.named[j] and not tied:  # a number of its own, not a part of a tied one
+                continue
             if added and added[-1][0] == kind and added[-1][3] == j - 1 and j - 1 in touching:
                 added[-1][2:] = [end, j, tied or added[-1][4]]
             else:
