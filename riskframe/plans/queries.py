@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from riskframe import schema as S
 from riskframe.functions import columns as C
-from riskframe.operators import cleaning, evaluate, explore, features, model, profile
+from riskframe.operators import certify, cleaning, evaluate, explore, features, model, profile
 from riskframe.sources import applicants
 from riskframe.plans.context import prepared
+from riskframe.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -402,6 +403,54 @@ def svm_model_config(spark, sf_dir):
     return spark.createDataFrame(rows, "setting string, value string")
 
 
+def _checks(spark, rows):
+    df = spark.createDataFrame(rows, "check string, value double, holds boolean")
+    return df.withColumn("value", C.sig("value", 6))
+
+
+@query
+def pca_certificate(spark, sf_dir):
+    """The fitted components are all eigenvectors of the encoded rows' covariance, and
+    the kept number follows from the eigenvalues (one pass over the training rows)."""
+    m = _model(spark, sf_dir)
+    c = certify.component_certificate(m.pipeline, m.explained, m.k, prepared(spark, sf_dir).train, S.PCA_VARIANCE)
+    return _checks(spark, [
+        ("trace", c["trace"], True), ("squared_ratios", c["squared_ratios"], True),
+        ("orthonormal", None, bool(c["orthonormal"] <= certify.EIGEN_BOUND)),
+        ("diagonal", None, bool(c["diagonal"] <= certify.EIGEN_BOUND)),
+        ("components_kept", None, c["k"] == c["fitted_k"])])
+
+
+@query
+def svm_certificate(spark, sf_dir):
+    """The fitted SVM is within a stated share of its optimum, by a dual-feasible point."""
+    m = _model(spark, sf_dir)
+    # written once: the search for a dual point reads the rows several times
+    points = materialize(model.training_points(m, prepared(spark, sf_dir).train), "svm-points")
+    svm = m.pipeline.stages[3]
+    g = certify.duality_gap(points, svm.coefficients.toArray(), svm.intercept, S.SVM_C)
+    return _checks(spark, [
+        ("training_rows", float(m.n_train_rows), True),
+        *[(f"rows_of_class_{c}", float(n), True) for c, n in sorted(m.class_counts.items())],
+        ("reg_param", m.reg_param, True),
+        ("dual_below_primal", None, bool(0.0 < g["dual"] <= g["primal"])),
+        ("gap_within_bound", None, bool(g["gap"] <= certify.GAP_BOUND))])
+
+
+@query
+def platt_certificate(spark, sf_dir):
+    """The calibration is at its optimum: probabilities and targets of the
+    out-of-fold margins agree in sum and first moment."""
+    m = _model(spark, sf_dir)
+    p = m.info["platt_sums"]
+    df = _checks(spark, [
+        ("rows", float(p["rows"]), True), ("target_sum", p["target_sum"], True),
+        ("probability_sum", p["probability_sum"],
+         abs(p["probability_sum"] - p["target_sum"]) <= certify.PLATT_BOUND * p["rows"]),
+        ("first_moment", None, abs(p["moment"]) <= certify.PLATT_BOUND * p["size"])])
+    return df.withColumn("value", C.sig("value", 5))
+
+
 def _test_scores(spark, sf_dir):
     ctx = prepared(spark, sf_dir)
     m = _model(spark, sf_dir)
