@@ -15,7 +15,7 @@ import json
 import time
 import warnings
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 from pyspark import keyword_only
@@ -132,6 +132,16 @@ class FittedModel:
     subsample: str | None
     info: dict = field(default_factory=dict)
 
+    def facts(self) -> dict:
+        """All but the pipeline, as JSON values."""
+        own = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "pipeline"}
+        return json.loads(json.dumps(own | {"class_counts": list(self.class_counts.items())}, default=float))
+
+    @staticmethod
+    def from_facts(pipeline: PipelineModel, facts: dict) -> FittedModel:
+        own = {"class_counts": {c: n for c, n in facts["class_counts"]}, "platt": tuple(facts["platt"])}
+        return FittedModel(pipeline=pipeline, **facts | own)
+
 
 def choose_k(ratios: list[float], target: float) -> int:
     """Smallest k whose cumulative ratio exceeds ``target`` (WIN2)."""

@@ -1,31 +1,39 @@
 """Per-input prepared tables, reused by every query on the same input (SNK2).
 
 The dashboard caches its loaded data and fitted objects per CSV path; here
-the joined application table is written once under the shared checkpoint
-folder, keyed by the input folder, and every query reads it back (column
-pruning and filter pushdown apply; a lost executor re-reads files instead of
-recomputing the join).
+the joined application table and the fitted model are written once under the
+shared checkpoint folder (``plans/store.py``), keyed by the input's files, and
+every query, also of later applications, reads them back (column pruning and
+filter pushdown apply; a lost executor re-reads files instead of recomputing
+the join).
 """
 
 from __future__ import annotations
 
 import threading
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe import schema as S
 from riskframe.functions.columns import hash_order
+from riskframe.operators.model import FittedModel
 from riskframe.operators.sampling import hash_sample, split_predicates, stratified_subsample
-from riskframe.session import materialize
+from riskframe.plans import store
 from riskframe.sources import csv
-from riskframe.sources.applications import applications
+from riskframe.sources.applications import APPLICATION_COLUMNS, applications
 
 _CONTEXTS: dict[tuple, "Prepared"] = {}
-_LOCK = threading.RLock()
+_BUILDS: dict[tuple, threading.RLock] = {}
+_LOCK = threading.Lock()
+
+# What the application table of a folder of test tables is made from.
+SOURCE_TABLES = ("orders", "customer", "nation", "lineitem")
 
 # The split's hash order, written with the table so that no query pays an
 # md5 per row to tell train from test.
@@ -50,7 +58,9 @@ class Prepared:
     base: DataFrame  # the written table: application rows + the split's hash order
     test_pred: F.Column
     train_pred: F.Column
+    key: str  # of the table's entry in the store
     memo: dict = field(default_factory=dict)
+    lock: threading.RLock = field(default_factory=threading.RLock)
 
     @property
     def table(self) -> DataFrame:
@@ -83,7 +93,7 @@ class Prepared:
     def cached(self, name: str, build):
         """Fitted objects (stats, models) computed once per input, also when
         queries run from several threads."""
-        with _LOCK:
+        with self.lock:
             if name not in self.memo:
                 self.memo[name] = build()
             return self.memo[name]
@@ -104,15 +114,34 @@ def load_applications(spark: SparkSession, source: str) -> DataFrame:
 
     The choice is by name only, so it works for any Hadoop file system.
     """
-    src = source.rstrip("/")
+    return _existing(source, lambda src: _load(spark, src))
+
+
+def _existing(source: str, read):
     try:
-        return _load(spark, src)
+        return read(source.rstrip("/"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"File not found: {source}") from e
         raise
 
 
+def table_key(spark: SparkSession, source: str) -> str:
+    """Key of the prepared table: it changes with the source's files, their
+    schema, and the rules by which the table is made."""
+    def key(src: str) -> str:
+        if src.lower().endswith((".csv", ".parquet")):
+            paths = [src]
+        else:
+            paths = [f"{src}/{t}.parquet" for t in SOURCE_TABLES]
+        schemas = [] if src.lower().endswith(".csv") else [spark.read.parquet(p).schema.json() for p in paths]
+        rules = {"schemas": schemas, "columns": APPLICATION_COLUMNS, "label": S.LABEL, "key": S.KEY,
+                 "salts": [S.SPLIT_SALT, S.SUBSAMPLE_SALT, S.SCATTER_SALT], "hashes": HASH_COLUMNS}
+        return store.entry_key("applications", src, store.listing(spark, paths), rules)
+
+    return _existing(source, key)
+
+
 def _load(spark: SparkSession, src: str) -> DataFrame:
     if src.lower().endswith(".csv"):
         return csv.read_csv(spark, src)
@@ -125,16 +154,19 @@ def _load(spark: SparkSession, src: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
     with _LOCK:
-        return _prepared(spark, sf_dir)
+        build = _BUILDS.setdefault(key, threading.RLock())
+    # one build of an input at a time; other inputs do not wait for it
+    with build:
+        ctx = _CONTEXTS.get(key)
+        if ctx is None or ctx.spark is not spark:
+            ctx = _CONTEXTS[key] = _prepared(spark, sf_dir)
+        return ctx
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
-    ctx = _CONTEXTS.get(key)
-    if ctx is not None and ctx.spark is not spark:
-        ctx = None
-    if ctx is None:
+    def build() -> DataFrame:
         # One write of the joined table, with the split's hash order as an
         # extra column; the split thresholds are then found from it and the
         # label, and membership is an integer comparison with literal
@@ -149,14 +181,37 @@ def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
                 .withColumn(SPLIT_HASH, hash_order(S.KEY, S.SPLIT_SALT))
                 .withColumn(SUBSAMPLE_HASH, hash_order(S.KEY, S.SUBSAMPLE_SALT))
                 .withColumn(SCATTER_HASH, hash_order(S.KEY, S.SCATTER_SALT)))
-        apps = apps.repartition(write_partitions(spark), S.KEY).sortWithinPartitions(SPLIT_HASH)
-        base = materialize(apps, "applications")
-        test_pred, train_pred = split_predicates(base, S.LABEL, S.KEY, S.TEST_FRACTION, S.SPLIT_SALT,
-                                                 hash_col=SPLIT_HASH)
-        ctx = Prepared(spark, sf_dir, base, test_pred, train_pred)
-        _CONTEXTS[key] = ctx
-    return ctx
+        return apps.repartition(write_partitions(spark), S.KEY).sortWithinPartitions(SPLIT_HASH)
+
+    key = table_key(spark, sf_dir)
+    base = store.keep_table(spark, key, build)
+    test_pred, train_pred = split_predicates(base, S.LABEL, S.KEY, S.TEST_FRACTION, S.SPLIT_SALT,
+                                             hash_col=SPLIT_HASH)
+    return Prepared(spark, sf_dir, base, test_pred, train_pred, key)
+
+
+def kept_model(ctx: Prepared, fit, parameters: dict):
+    """The model that an earlier application fitted to the same table with the
+    same parameters, or else ``fit()``, kept for later ones. A loaded model
+    scores and reports like the fitted one; it has no training summary."""
+    fitted = []
+
+    def write(path: str) -> dict:
+        fitted.append(fit())
+        fitted[0].pipeline.write().save(path)
+        return {"model": fitted[0].facts()}
+
+    key = store.entry_key("model", ctx.sf_dir.rstrip("/"), [ctx.key], parameters)
+    manifest = store.keep(ctx.spark, key, write)
+    if fitted:
+        return fitted[0]
+    loaded = FittedModel.from_facts(PipelineModel.load(manifest["data"]), manifest["model"])
+    if loaded.info.get("not_converged"):
+        warnings.warn(f"linear SVM of the kept model stopped unconverged: {loaded.info['not_converged']}", stacklevel=2)
+    return loaded
 
 
 def reset() -> None:
-    _CONTEXTS.clear()
+    """Forget what this process holds; the store keeps its entries (``store.clean_up`` removes them)."""
+    with _LOCK:
+        _CONTEXTS.clear()

@@ -13,7 +13,7 @@ from riskframe import schema as S
 from riskframe.functions import columns as C
 from riskframe.operators import certify, cleaning, evaluate, explore, features, model, profile
 from riskframe.sources import applicants
-from riskframe.plans.context import prepared
+from riskframe.plans.context import kept_model, prepared
 from riskframe.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,7 +380,10 @@ def pipeline_stage_counts(spark, sf_dir):
 # ------------------------------------------------------------- fitted model
 def _model(spark, sf_dir):
     ctx = prepared(spark, sf_dir)
-    return ctx.cached("model", lambda: model.fit_pipeline(ctx.train, state=_state(spark, sf_dir)))
+    made_by = {"C": S.SVM_C, "variance": S.PCA_VARIANCE, "fences": S.IQR_FACTOR, "folds": S.FOLD_SALT,
+               "test": S.TEST_FRACTION, "subsample": None}
+    return ctx.cached("model", lambda: kept_model(
+        ctx, lambda: model.fit_pipeline(ctx.train, state=_state(spark, sf_dir)), made_by))
 
 
 @query
