@@ -22,6 +22,8 @@ from riskframe.operators.quantiles import exact_quantiles
 
 MAX_GROUPS_BROADCAST = 10_000
 MAX_PREDICATES = 64
+# Order of a bin's expansion in kde_density.
+KDE_ORDER = 6
 
 
 def target_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -202,10 +204,17 @@ def kde_density(df: DataFrame, columns: list[str], by: str, grid_points: int = 1
 
     Bandwidth ``h = std_samp * n^(-1/5)``; grid: ``grid_points`` points from
     ``min - cut*h`` to ``max + cut*h``. Rows are first reduced to bins of width
-    ``h / bins_per_bandwidth`` (count and mean per bin; relative error of
-    order ``(1/bins_per_bandwidth)^2 / 24``), so the grid evaluation costs
-    bins x grid, not rows x grid; the bin count grows like ``n^(1/5)``. All
-    columns go through one statistics job and one binning pass.
+    ``h / bins_per_bandwidth``, each with its count, mean and central moments of
+    orders 2 to 6, and a bin's kernel sum is expanded about its mean to order 6.
+    So the grid evaluation costs bins x grid, not rows x grid; the bin count
+    grows like ``n^(1/5)``.
+
+    Error: no deviation from a bin's mean exceeds ``d = 1 / bins_per_bandwidth``
+    bandwidths, and no 7th derivative of ``exp(-z*z/2)`` exceeds 36, so the
+    kernel of a row is off by at most ``36 * d^7 / 5040``: with 64 bins a
+    bandwidth, 1.7e-15 of a kernel's peak, whatever the data and their number.
+    All columns go through one statistics job and one binning pass, in which a
+    bin's moments come from power sums about its lower edge, in bandwidths.
     Output: (column_name, by, grid_index, x, density).
     """
     items = [(c, F.col(c).cast("double")) for c in columns]
@@ -219,9 +228,22 @@ def kde_density(df: DataFrame, columns: list[str], by: str, grid_points: int = 1
              .where(F.col("h") > 0))
     stats = stats.withColumn("w", F.col("h") / F.lit(float(bins_per_bandwidth)))
     stats_b = F.broadcast(small_frame(stats, MAX_GROUPS_BROADCAST))
-    binned = (base.join(stats_b.select(*keys, "xmin", "w"), keys)
-              .groupBy(*keys, F.floor((F.col("x") - F.col("xmin")) / F.col("w")).alias("bin"))
-              .agg(F.count(F.lit(1)).alias("c"), F.avg("x").alias("m")))
+    # position in bins: whole part and rest; the rest, in (0, 1), is exact
+    at = (F.col("x") - F.col("xmin")) / F.col("w")
+    rows = (base.join(stats_b.select(*keys, "xmin", "w", "h"), keys)
+            .withColumn("at", at).withColumn("bin", F.floor("at"))
+            .withColumn("r", F.col("at") - F.col("bin")))
+    binned = rows.groupBy(*keys, "bin").agg(
+        F.count(F.lit(1)).alias("c"), F.first("xmin").alias("xmin"), F.first("w").alias("w"),
+        *[F.avg(_power(F.col("r"), k)).alias(f"r{k}") for k in range(1, KDE_ORDER + 1)])
+    # central moments by the binomial theorem, in bandwidths
+    step = 1.0 / bins_per_bandwidth
+    mean = F.col("r1")
+    raw = [F.lit(1.0)] + [F.col(f"r{k}") for k in range(1, KDE_ORDER + 1)]
+    central = {j: sum((math.comb(j, k) * (-1.0) ** (j - k) * raw[k] * _power(mean, j - k) for k in range(j + 1)), F.lit(0.0))
+               * step ** j for j in range(2, KDE_ORDER + 1)}
+    binned = binned.select(*keys, "c", (F.col("xmin") + F.col("w") * (F.col("bin") + mean)).alias("m"),
+                           *[m.alias(f"m{j}") for j, m in central.items()])
     lo = F.col("xmin") - F.lit(cut) * F.col("h")
     hi = F.col("xmax") + F.lit(cut) * F.col("h")
     grid = stats_b.select(
@@ -233,11 +255,31 @@ def kde_density(df: DataFrame, columns: list[str], by: str, grid_points: int = 1
     # grid is groups x grid_points rows: bounded, broadcast as the build side.
     dens = (binned.join(F.broadcast(grid.select(*keys, "grid_index", "gx", "n", "h")), keys)
             .groupBy(*keys, "grid_index", "gx", "n", "h")
-            .agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s")))
+            .agg(F.sum(F.col("c") * F.exp(-0.5 * z * z) * _kernel_factor(z)).alias("s")))
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
     return dens.select(*keys, "grid_index", F.col("gx").alias("x"), (F.col("s") / norm).alias("density"))
 
 
+def _power(x: F.Column, k: int) -> F.Column:
+    """``x`` to a small whole power, by products."""
+    out = F.lit(1.0)
+    for _ in range(k):
+        out = out * x
+    return out
+
+
+def _kernel_factor(z: F.Column) -> F.Column:
+    """Mean of ``exp(-(z - t)^2 / 2) / exp(-z^2 / 2)`` over a bin with central
+    moments ``m2``, ``m3``, ... of ``t``: the sum of ``He_j(z) m_j / j!`` over the
+    Hermite polynomials (``He_{j+1} = z He_j - j He_{j-1}``)."""
+    before, now = F.lit(1.0), z
+    total = F.lit(1.0)  # the first moment about the mean is 0
+    for j in range(2, KDE_ORDER + 1):
+        before, now = now, z * now - (j - 1) * before
+        total = total + now * F.col(f"m{j}") / math.factorial(j)
+    return total
+
+
 def scott_bandwidth(n: F.Column, sd: F.Column) -> F.Column:
     """Scott's rule for one dimension, ``std_samp * n^(-1/5)``, kept to 9
     significant digits so every engine bins with the same width."""

@@ -47,13 +47,18 @@ def column_kinds(df: DataFrame, exclude=(S.KEY, S.LABEL)) -> list[tuple[int, str
 
 
 def feature_type_counts(df: DataFrame, exclude=(S.KEY, S.LABEL)) -> DataFrame:
-    """Number of numeric and categorical feature columns (AGG5)."""
-    spark = df.sparkSession
-    kinds = spark.createDataFrame(
-        [(c, k) for _, c, _, k in column_kinds(df, exclude)],
-        T.StructType([T.StructField("column_name", T.StringType()),
-                      T.StructField("kind", T.StringType())]))
-    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n_features")).orderBy("kind")
+    """Numeric and categorical feature columns, and how many of them hold any
+    value, by one pass over the rows (AGG5). An empty table has columns without
+    values; a table without feature columns gives an empty result."""
+    kinds = column_kinds(df, exclude)
+    if not kinds:
+        return df.sparkSession.createDataFrame([], "kind string, n_features bigint, n_with_values bigint")
+    valued = df.agg(*[F.coalesce(F.max((~_is_missing(c, df.schema[c].dataType)).cast("int")), F.lit(0)).alias(f"v{i}")
+                      for i, c, _, _ in kinds])
+    rows = valued.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"v{i}").alias("valued"))
+                                            for i, _, _, k in kinds])))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n_features"),
+                                    F.sum("valued").alias("n_with_values")).orderBy("kind")
 
 
 def _is_missing(c: str, dtype) -> F.Column:

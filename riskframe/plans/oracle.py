@@ -9,7 +9,7 @@ list and interpolate like NumPy (``npq``), correlations use
 from __future__ import annotations
 
 from riskframe import schema as S
-from riskframe.sources.applications import applications_sql
+from riskframe.sources.applications import APPLICATION_COLUMNS, applications_sql
 
 
 def hash_sql(key: str, salt: str) -> str:
@@ -120,10 +120,11 @@ FROM applications"""))
 
 register("feature_type_counts", q("""
 SELECT CASE WHEN column_type IN ('VARCHAR') THEN 'categorical' ELSE 'numeric' END AS kind,
-       count(*) AS n_features
-FROM (DESCRIBE SELECT * FROM train)
-WHERE column_name NOT IN ('SK_ID_CURR', 'TARGET')
-GROUP BY 1 ORDER BY 1"""))
+       count(*) AS n_features, CAST(sum(valued) AS BIGINT) AS n_with_values
+FROM (DESCRIBE SELECT * FROM train) JOIN valued USING (column_name)
+GROUP BY 1 ORDER BY 1""", "valued AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, CASE WHEN count({c}) > 0 THEN 1 ELSE 0 END AS valued FROM train"
+    for c, _ in APPLICATION_COLUMNS if c not in (S.KEY, S.LABEL)) + ")"))
 
 
 def _missing_sql() -> str:
@@ -278,15 +279,14 @@ SELECT column_name, TARGET, grid_index, {sig_sql('gx', 10)} AS x,
        {sig_sql(f's / (n * h * {__import__("math").sqrt(2 * __import__("math").pi)!r})', 8)} AS density
 FROM (
   SELECT g.column_name, g.TARGET, g.grid_index, g.gx, g.n, g.h,
-         sum(bn.c * exp(-0.5 * ((g.gx - bn.m) / g.h) * ((g.gx - bn.m) / g.h))) AS s
-  FROM gr g JOIN bn USING (column_name, TARGET)
+         sum(e.c * exp(-0.5 * ((g.gx - e.v) / g.h) * ((g.gx - e.v) / g.h))) AS s
+  FROM gr g JOIN values_ e USING (column_name, TARGET)
   GROUP BY ALL)""", _ext_long() + f""",
 st AS (SELECT column_name, TARGET, count(*) AS n, min(v) AS xmin, max(v) AS xmax,
               {sig_sql('stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2)', 9)} AS h
        FROM ext GROUP BY column_name, TARGET HAVING count(*) >= 2),
-st2 AS (SELECT *, h / 64.0 AS w FROM st WHERE h > 0),
-bn AS (SELECT column_name, TARGET, floor((v - xmin) / w) AS bin, count(*) AS c, avg(v) AS m
-       FROM ext JOIN st2 USING (column_name, TARGET) GROUP BY ALL),
+st2 AS (SELECT * FROM st WHERE h > 0),
+values_ AS (SELECT column_name, TARGET, v, count(*) AS c FROM ext GROUP BY ALL),
 gr AS (SELECT column_name, TARGET, n, h, grid_index,
               grid_index * ((xmax + {S.KDE_CUT} * h - (xmin - {S.KDE_CUT} * h)) / {S.KDE_GRID_POINTS - 1})
                 + (xmin - {S.KDE_CUT} * h) AS gx

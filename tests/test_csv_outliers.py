@@ -55,3 +55,13 @@ def test_outliers_of_many_groups(spark, monkeypatch):
     assert sorted(map(tuple, explore.box_outliers(df, "x", "g").collect())) == want
     monkeypatch.setattr(explore, "MAX_PREDICATES", 2)
     assert sorted(map(tuple, explore.box_outliers(df, "x", "g").collect())) == want
+
+
+def test_feature_counts_tell_columns_without_values(spark):
+    from riskframe.operators import profile
+
+    df = spark.createDataFrame([(1, None, float("nan"), "a", None), (2, 3, float("nan"), None, None)],
+                               "SK_ID_CURR long, a int, b double, c string, d string")
+    assert [tuple(r) for r in profile.feature_type_counts(df).collect()] == [("categorical", 2, 1), ("numeric", 2, 1)]
+    assert [tuple(r) for r in profile.feature_type_counts(df.limit(0)).collect()] == [("categorical", 2, 0), ("numeric", 2, 0)]
+    assert profile.feature_type_counts(df.select("SK_ID_CURR")).collect() == []
