@@ -8,8 +8,8 @@ smallest total wins. The prediction is rejected (``rejected``) when the margin
 between the two best, in compressed bytes per input byte, is narrow.
 
 The dictionaries come from a bounded sample: per language at most
-``SAMPLE_DOCS`` documents, the lowest by a hash of the key and the text, each
-read whole. Every language's dictionary is filled on its own, up to
+``SAMPLE_DOCS`` documents, the lowest by a hash of the key and the text; of a
+long one, a bounded first part teaches. Every language's dictionary is filled on its own, up to
 ``DICT_BYTES`` bytes, with an equal share of each document and all of those
 that are shorter; one with few labelled texts has a smaller dictionary and
 changes no other.

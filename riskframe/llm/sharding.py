@@ -7,8 +7,8 @@ smallest remaining capacity that still holds it, found in a balanced tree):
 1. in Spark, each cell (a hash range of groups) packs its groups into bundles
    of at most ``total / (n_shards * BUNDLES_PER_SHARD)`` bytes; a larger group
    is a bundle of its own;
-2. on the driver, the bundles (their number is bounded by the shard count and
-   the cell count, not by the documents) are packed into shards. The capacity
+2. on the driver, the bundles (some for each shard and at least one for each
+   cell, of which there are more where documents are more) are packed into shards. The capacity
    is the smallest one, by binary search, at which best fit decreasing needs
    no more than ``n_shards`` bins, so sizes come out near equal.
 
