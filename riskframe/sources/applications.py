@@ -109,13 +109,14 @@ def applications(spark: SparkSession, sf_dir: str, hot_share: float = HOT_KEY_SH
         "l_orderkey", "l_returnflag", "l_extendedprice", "l_discount"))
     cust = customer.join(bounded_broadcast(nation, NATION_BROADCAST_ROWS),
                          F.col("c_nationkey") == F.col("n_nationkey"))
-    # orders first meet their line statistics: the aggregate's output is
-    # already hash-partitioned by order key, so only orders is shuffled; the
-    # result then meets customers on the customer key, with customers that
-    # hold a large share of all orders split off to a broadcast join.
+    # orders first meet customers, as narrow rows on the customer key, with
+    # customers that hold a large share of all orders split off to a broadcast
+    # join. The order key comes last: the line statistics already lie by it, and
+    # so does the result, which a table partitioned by that key is written from
+    # without another shuffle of the whole rows.
     hot = hot_keys(orders.select("o_custkey"), "o_custkey", hot_share, min_hot_rows)
-    ol = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    joined = join_splitting_hot_keys(ol, cust, "o_custkey", "c_custkey", hot)
+    owned = join_splitting_hot_keys(orders, cust, "o_custkey", "c_custkey", hot)
+    joined = owned.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return joined.select(*[F.expr(expr).alias(name) for name, expr in APPLICATION_COLUMNS])
 
 

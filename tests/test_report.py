@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from riskframe import schema as S
 from riskframe.plans import context, report
 from riskframe.plans.queries import QUERIES
 from riskframe.session import ensure_checkpoint_dir
@@ -81,6 +82,24 @@ def test_hot_customer_split_join(spark, tmp_path):
     assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
 
 
+def test_whole_application_rows_are_not_shuffled(spark):
+    """With customers too many to broadcast, only the join's narrow rows are
+    shuffled: the result already lies by the key that the table is written by."""
+    from riskframe.sources import applications as A
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = A.applications(spark, SMALL).repartition(parts, S.KEY)
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        moves = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+        assert moves and not [x for x in moves if S.KEY in x]
+        assert sum("o_orderkey" in x for x in moves) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_split_predicates_reach_the_scan(spark):
     """At every scale, train and test read the written table with
     the split's hash bound among the Parquet pushed filters."""
