@@ -23,6 +23,7 @@ from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ from riskframe.operators.cleaning import clean_sentinels, drop_id_and_label
 from riskframe.operators.quantiles import _interp, order_statistics, quantile_ranks
 
 MAX_CATEGORIES = 100_000
+#: Fitted encodings of up to this many columns are packed into dense vectors.
+DENSE_WIDTH = 200
 
 
 def _clip_value(v: float, lo: float, hi: float) -> float:
@@ -199,14 +202,16 @@ def encoded_means(state: dict) -> list[float]:
 
 
 def prepared_features(df: DataFrame, state: dict, apply_clip: bool = True,
-                      output_col: str = "features") -> DataFrame:
+                      output_col: str = "features", packed: bool = False) -> DataFrame:
     """``df`` with the ``features`` vector of raw rows appended: sentinels ->
     NULL, clip, impute, scale, one-hot (unseen / NULL -> zeros); training
     columns missing from ``df`` count as NULL (FE4-FE6, PRJ9). No shuffle.
 
     Categories become indices by a hash lookup held in the indexer and the
     one-hot block stays sparse, so neither the plan nor a row grows with the
-    number of categories."""
+    number of categories; that costs one vector for each categorical column and
+    row. ``packed`` builds the same numbers as one dense vector of compiled
+    expressions instead, for encodings of few columns (``DENSE_WIDTH``)."""
     have, cats = set(df.columns), state["cat_cols"]
     taken = {c.lower() for c in df.columns}
 
@@ -218,6 +223,12 @@ def prepared_features(df: DataFrame, state: dict, apply_clip: bool = True,
 
     number = [own(f"_numeric{i}") for i in range(len(state["num_cols"]))]
     text, index, hot = ([own(f"_{kind}{i}") for i in range(len(cats))] for kind in ("category", "index", "hot"))
+    if packed:
+        out = df.withColumns({t: _cat_expr(c, state, c in have) for t, c in zip(text, cats)})
+        cells = [_num_expr(c, state, c in have, apply_clip) for c in state["num_cols"]]
+        cells += [F.when(F.col(t) == v, F.lit(1.0)).otherwise(F.lit(0.0)) for t, c in zip(text, cats) for v in state["categories"][c]]
+        vector = own("_vector")
+        return out.withColumn(vector, array_to_vector(F.array(*cells))).drop(output_col, *text).withColumnRenamed(vector, output_col)
     out = df.withColumns({n: _num_expr(c, state, c in have, apply_clip) for c, n in zip(state["num_cols"], number)}
                          | {t: _cat_expr(c, state, c in have) for t, c in zip(text, cats)})
     if cats:

@@ -28,11 +28,12 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.storagelevel import StorageLevel
 
 from riskframe import schema as S
 from riskframe.functions.columns import hash_order, unpivot
 from riskframe.operators.certify import platt_sums
-from riskframe.operators.features import encoded_means, feature_names, fit_state, prepared_features
+from riskframe.operators.features import DENSE_WIDTH, encoded_means, feature_names, fit_state, prepared_features
 from riskframe.operators.sampling import stratified_subsample
 
 
@@ -71,7 +72,9 @@ class RiskPreprocessorModel(Model, DefaultParamsReadable, DefaultParamsWritable)
         return self._set(applyClip=value)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return prepared_features(df, self.state(), self.getOrDefault(self.applyClip), self.getOrDefault(self.outputCol))
+        state = self.state()
+        return prepared_features(df, state, self.getOrDefault(self.applyClip), self.getOrDefault(self.outputCol),
+                                 packed=0 < len(feature_names(state)) <= DENSE_WIDTH)
 
 
 class LeadingComponents(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -159,6 +162,18 @@ def _fit_svm(train: DataFrame, features: str, label: str, weight: str, reg: floa
     return svm.fit(train)
 
 
+def fits_at_once(df: DataFrame, block_bytes: int, most: int) -> int:
+    """How many fits that hold ``block_bytes`` each go into half of the executors'
+    storage memory together; at least one, which Spark puts on disk where it must.
+    Fits share the cores anyway: more at once only hide the start of small jobs."""
+    memory = df.sparkSession.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    status = memory.values().toList()
+    sizes = [status.apply(i)._1() for i in range(status.size())]
+    # on a cluster one of the entries is the driver, which holds no blocks
+    total = sum(sizes) - (max(sizes) if len(sizes) > 1 else 0)
+    return max(1, min(most, int(total // 2 // max(1, block_bytes))))
+
+
 def fold_reg(weight_in_fold: dict, fold: int, C: float) -> float:
     """Regularisation of a fold's model: its own training rows (all other
     folds) at the same C."""
@@ -190,6 +205,18 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
     prep = RiskPreprocessorModel(stateJson=json.dumps(state), applyClip=True, outputCol="features")
     xc = prep.transform(train_raw.select(S.KEY, S.LABEL, *state["num_cols"], *state["cat_cols"]))
     d = len(feature_names(state))
+    # encoded once: the components read the rows twice, the projection once more
+    xc = xc.select(S.KEY, S.LABEL, "features").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _fit_encoded(xc, prep, train_raw, state, d, variance, C, subsample_fraction, folds, max_iter, parallel_fits, info, lap)
+    finally:
+        xc.unpersist()
+
+
+def _fit_encoded(xc: DataFrame, prep: RiskPreprocessorModel, train_raw: DataFrame, state: dict, d: int, variance: float,
+                 C: float, subsample_fraction: str | None, folds: int, max_iter: int, parallel_fits: int,
+                 info: dict, lap) -> FittedModel:
+    """``fit_pipeline`` from the encoded training rows on."""
     pca_full = PCA(k=d, inputCol="features", outputCol="pca_all").fit(xc)
     ratios = [float(v) for v in pca_full.explainedVariance]
     k = choose_k(ratios, variance)
@@ -214,15 +241,19 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
     train = (base.withColumn("weight", wexpr)
              .withColumn("label_d", F.col(S.LABEL).cast("double"))
              .withColumn("fold", F.pmod(hash_order(S.KEY, S.FOLD_SALT), F.lit(folds))))
-    # the solver keeps the partitions of the scan: one task for each
-    train = train.persist()
+    # the solver keeps the partitions of the scan: one task for each. Each fit reads
+    # these rows twice and holds blocks of its own, which need the memory
+    train = train.persist(StorageLevel.DISK_ONLY)
+    oof = None
     try:
         jobs = {"final": train}
         for f in range(folds):
             jobs[f] = train.where(F.col("fold") != f)
         in_fold = {r["fold"]: r["w"] for r in train.groupBy("fold").agg(F.sum("weight").alias("w")).collect()}
         regs = {"final": reg} | {f: fold_reg(in_fold, f, C) for f in range(folds)}
-        with ThreadPoolExecutor(max_workers=parallel_fits) as pool:
+        at_once = fits_at_once(train, n_train * (k + 2) * 8, parallel_fits)
+        info["fits_at_once"] = at_once
+        with ThreadPoolExecutor(max_workers=at_once) as pool:
             futures = {name: pool.submit(_fit_svm, df, "pca_features", "label_d", "weight", regs[name], max_iter)
                        for name, df in jobs.items()}
             models = {name: fut.result() for name, fut in futures.items()}
@@ -235,11 +266,12 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
         info["solver_partitions"] = train.rdd.getNumPartitions()
         lap("svm_fits")
         # out-of-fold margins -> Platt targets (P+1)/(P+2), 1/(N+2)
-        oof = None
         for f in range(folds):
             part = models[f].transform(train.where(F.col("fold") == f)).select(
                 "label_d", vector_to_array("rawPrediction")[1].alias("m"))
             oof = part if oof is None else oof.unionByName(part)
+        # two numbers a row, read by the calibration and its sums
+        oof = oof.persist()
         n_pos = wrows.get(1, (0, 0))[0]
         n_neg = wrows.get(0, (0, 0))[0]
         t_pos = (n_pos + 1.0) / (n_pos + 2.0)
@@ -255,6 +287,8 @@ def fit_pipeline(train_raw: DataFrame, variance: float = S.PCA_VARIANCE, C: floa
         info["platt_sums"] = platt_sums(oof.select("m", t.alias("t")), a, b)
         lap("platt")
     finally:
+        if oof is not None:
+            oof.unpersist()
         train.unpersist()
     platt = PlattCalibrationModel(a=a, b=b, rawCol="rawPrediction")
     pipeline = PipelineModel(stages=[prep, pca_full, slicer, svm.setFeaturesCol("pca_features"), platt])
