@@ -17,6 +17,10 @@ from pyspark.sql.types import (ArrayType, BinaryType, DataType, IntegerType, Lon
 #: Rows handled at a time inside a task, whatever Spark's Arrow batch size is.
 SLICE_ROWS = 512
 
+#: Bytes of an Arrow batch between Spark and a Python worker, unless the session says otherwise.
+ARROW_BYTES = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _KINDS = {"int": IntegerType(), "long": LongType(), "string": StringType(), "binary": BinaryType()}
 
 
@@ -56,6 +60,17 @@ def releasing(run: Callable) -> Callable:
     return wrapped
 
 
+def map_batches(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` of a function that gives freed memory back, in batches of
+    about ``ARROW_BYTES``. Spark's own 64 MB are held four times for each task (a
+    growing vector and its message in the JVM, the batch and its reader in Python);
+    a session that sets the size itself keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, "1b") == "1b":  # the default given here: not set
+        conf.set(_BATCH_BYTES, str(ARROW_BYTES))
+    return df.mapInArrow(releasing(run), schema)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -97,7 +112,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: Stru
                 [c if isinstance(c, pa.Array) and c.type == f.type
                  else (c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type))
                  for f in arrow for c in (out[f.name],)], schema=arrow)
-    return df.mapInArrow(releasing(run), schema)
+    return map_batches(df, run, schema)
 
 
 def binary_text(df: DataFrame, text: str = "text", to: str = "_utf8") -> DataFrame:

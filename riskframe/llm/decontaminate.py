@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from riskframe.llm.common import fresh, releasing, slices
+from riskframe.llm.common import fresh, map_batches, slices
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -237,7 +237,7 @@ def _search_block(docs: DataFrame, items: list[tuple[int, bytes]], window: int,
         if waiting:
             yield from done()
 
-    return docs.mapInArrow(releasing(run), schema)
+    return map_batches(docs, run, schema)
 
 
 def _union(matches: list[dict]) -> int:

@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructType
 
 from riskframe.functions.joins import bounded_broadcast
-from riskframe.llm.common import fresh, releasing, slices
+from riskframe.llm.common import fresh, map_batches, slices
 from riskframe.session import materialize
 
 MIN_CHARS = 10
@@ -104,7 +104,7 @@ def _wanted_lines(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> Da
     small = bounded_broadcast(materialize(by_doc, "op7-wanted"), BROADCAST_ROWS)
     same = rows["doc"].eqNullSafe(small["doc"]) & (rows["digest"] == small["digest"])
     joined = rows.join(small, same).select(rows["doc"], rows["digest"], "text", "wanted")
-    return joined.mapInArrow(releasing(run), schema).dropDuplicates(["h1", "h2"])
+    return map_batches(joined, run, schema).dropDuplicates(["h1", "h2"])
 
 
 def _keys_of(lines: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _keys_of(lines: DataFrame) -> DataFrame:
                              + [np.append(without, whole), np.append(np.arange(size - 1), -1)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=arrow)
 
-    return lines.mapInArrow(releasing(run), schema)
+    return map_batches(lines, run, schema)
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
 
     other = lines.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("other"))
     pairs = partner.join(lines.select("h1", "h2", "line"), ["h1", "h2"]).join(other, ["p1", "p2"])
-    return pairs.select("h1", "h2", "line", "other").mapInArrow(verify, "h1 long, h2 long").distinct()
+    return map_batches(pairs.select("h1", "h2", "line", "other"), verify, "h1 long, h2 long").distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
@@ -213,4 +213,4 @@ def _keep_lines(docs: DataFrame, kept: DataFrame, key: str, text: str, counts: b
                        else pa.array(total if f.name == "_n_lines" else stay, f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return joined.mapInArrow(releasing(run), schema)
+    return map_batches(joined, run, schema)

@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from riskframe.functions.joins import bounded_broadcast
-from riskframe.llm.common import binary_text, fresh, releasing, slices
+from riskframe.llm.common import binary_text, fresh, map_batches, slices
 from riskframe.session import materialize
 
 WORDS = 5
@@ -132,7 +132,7 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 pa.array([node_of(s) for s in sets], pa.int64()), pa.array(mins, pa.binary())], schema=arrow)
 
     rows = binary_text(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")))
-    return rows.select("key", F.unhex(F.md5("_utf8")).alias("digest"), "_utf8").mapInArrow(releasing(run), schema)
+    return map_batches(rows.select("key", F.unhex(F.md5("_utf8")).alias("digest"), "_utf8"), run, schema)
 
 
 def node_of(shingle_set: np.ndarray) -> int | None:
@@ -159,7 +159,7 @@ def _tables(classes: DataFrame) -> DataFrame:
                 batch.column("node"), batch.column("n"), pa.array(list(total[:, :SIDE]), arrow.field("a").type),
                 pa.array(list(total[:, SIDE:]), arrow.field("b").type)], schema=arrow)
 
-    return classes.select("node", "n", "mins").mapInArrow(releasing(run), schema)
+    return map_batches(classes.select("node", "n", "mins"), run, schema)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -179,7 +179,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFra
     rows = rows.withColumn("digest", F.unhex(F.md5("_utf8")))
     wanted = bounded_broadcast(wanted.withColumnsRenamed({"key": "k", "digest": "d"}), BROADCAST_ROWS)
     joined = rows.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d"))).select("node", "_utf8")
-    return joined.mapInArrow(releasing(run), schema).dropDuplicates(["node"])
+    return map_batches(joined, run, schema).dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(releasing(run), "a long, b long")
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def _open_pairs(keyed: DataFrame, roots: DataFrame, sketches: DataFrame) -> Data
             carried, last = {c: v[own] for c, v in held.items()} | {"group": np.zeros(int(own.sum()), np.int64)}, keys[-1]
 
     rows = held.unionByName(asks).repartition("k", "block").sortWithinPartitions("k", "block", "asks")
-    found = rows.mapInArrow(releasing(compare), "a long, b long")
+    found = map_batches(rows, compare, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
-from riskframe.llm.common import fresh, releasing, slices
+from riskframe.llm.common import fresh, map_batches, slices
 
 ALPHA = 1.0
 RANK_OFFSET = 10
@@ -321,7 +321,7 @@ def encode(docs: DataFrame, model_file: str, alpha: float = ALPHA, key: str = "d
 
     rows = docs.select(*[f.name for f in keep], F.xxhash64(F.lit("pieces"), F.col(key)).alias(seed_),
                        F.col(text).cast("string").alias(text_))
-    return rows.mapInArrow(releasing(run), schema)
+    return map_batches(rows, run, schema)
 
 
 def decoded(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -342,4 +342,4 @@ def decoded(encoded: DataFrame, model_file: str, ids: str = "ids", out: str = "t
                      for a, b, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(texts, pa.string())], schema=arrow)
 
-    return encoded.select(*[f.name for f in keep]).mapInArrow(releasing(run), schema)
+    return map_batches(encoded.select(*[f.name for f in keep]), run, schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from riskframe.llm.common import fresh, releasing, slices
+from riskframe.llm.common import fresh, map_batches, slices
 
 WINDOW = 32
 STRIDE = 24
@@ -321,7 +321,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "do
     for value, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         ids = (known.filter(F.col("y") == value).join(mine.select("k").distinct(), "k", "left_semi")
                .select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(most))
-        bounded = docs.sparkSession.createDataFrame([(r.k,) for r in ids.collect()], "k long")  # at most ``most``
+        # at most ``most``; an Arrow table becomes a local one, rows of Python objects start workers that stay
+        bounded = docs.sparkSession.createDataFrame(pa.table({"k": pa.array([r.k for r in ids.collect()], pa.int64())}))
         texts = mine.join(F.broadcast(bounded), "k", "left_semi").distinct().withColumn(
             "r", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("t"), "t")))
         sample += [(bytes(r.t.encode()) if r.t else b"", value) for r in  # at most ``most`` x TEXTS_OF_ID rows
@@ -345,7 +346,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
             got = score_texts(shared.value, batch.column(source).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [pa.array(got, pa.float64())], schema=arrow)
 
-    return rows.select(*dict.fromkeys([*[f.name for f in keep], source])).mapInArrow(releasing(run), schema)
+    return map_batches(rows.select(*dict.fromkeys([*[f.name for f in keep], source])), run, schema)
 
 
 def keep_clean(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:

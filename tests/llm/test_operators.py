@@ -601,3 +601,47 @@ def test_parity_never_exceeds_the_difference():
         b = np.unique(np.concatenate([a[n // 8:], r.integers(0, 1 << 62, n // 9, dtype=np.uint64)]))
         x, y = (np.frombuffer(neardup.parity(s), np.uint64) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    """A task's rows go to Python a few MB at a time, unless the session names a size."""
+    import pyarrow as pa
+    from riskframe.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "b"])
+
+    docs = spark.range(0, 3000, 1, 1).withColumn("text", F.repeat(F.lit("words "), 1000))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        found = common.map_batches(docs, sizes, "n long, b long").collect()
+        assert sum(r.n for r in found) == 3000
+        assert max(r.b for r in found) <= common.ARROW_BYTES + 20_000
+        spark.conf.set(key, str(1 << 20))
+        found = common.map_batches(docs, sizes, "n long, b long").collect()
+        assert spark.conf.get(key).rstrip("b") == str(1 << 20)
+        assert max(r.b for r in found) <= (1 << 20) + 20_000
+    finally:
+        spark.conf.unset(key)
+
+
+def test_toxicity_sample_starts_no_python_worker(spark, monkeypatch):
+    """The sampled ids become a local table: rows of Python objects would be an RDD of Python workers."""
+    from pyspark.sql import SparkSession
+
+    given = []
+    made = SparkSession.createDataFrame
+    docs = made(spark, [(i, f"some words {i % 7} here") for i in range(40)], DOCS)
+    labels = made(spark, [(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+
+    def watched(self, data, *a, **b):
+        given.append(made(self, data, *a, **b))
+        return given[-1]
+
+    monkeypatch.setattr(SparkSession, "createDataFrame", watched)
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: (len(texts), sum(labels)))
+    assert toxicity.learn(docs, labels, F.lit(True)) == (40, 20)
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in given]
+    assert len(plans) == 2 and all("LocalTableScan" in p for p in plans)
