@@ -26,7 +26,7 @@ from riskframe.operators.model import FittedModel
 from riskframe.operators.sampling import hash_sample, split_predicates, stratified_subsample
 from riskframe.plans import store
 from riskframe.sources import csv
-from riskframe.sources.applications import APPLICATION_COLUMNS, applications
+from riskframe.sources.applications import APPLICATION_COLUMNS, applications, read_table, write_partitions
 
 _CONTEXTS: dict[tuple, "Prepared"] = {}
 _BUILDS: dict[tuple, threading.RLock] = {}
@@ -45,12 +45,6 @@ SCATTER_HASH = "_scatter_h"
 HASH_COLUMNS = (SPLIT_HASH, SUBSAMPLE_HASH, SCATTER_HASH)
 
 
-def write_partitions(spark: SparkSession) -> int:
-    """Files of the prepared table: at least one for each core, and as many as
-    the session's shuffles have."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 @dataclass
 class Prepared:
     spark: SparkSession
@@ -99,7 +93,7 @@ class Prepared:
             return self.memo[name]
 
 
-def load_applications(spark: SparkSession, source: str) -> DataFrame:
+def load_applications(spark: SparkSession, source: str, partitions: int | None = None) -> DataFrame:
     """The application table named by ``source``:
 
     * ``*.csv`` -- a headed CSV file, or a folder of them (the dashboard's
@@ -114,7 +108,7 @@ def load_applications(spark: SparkSession, source: str) -> DataFrame:
 
     The choice is by name only, so it works for any Hadoop file system.
     """
-    return _existing(source, lambda src: _load(spark, src))
+    return _existing(source, lambda src: _load(spark, src, partitions))
 
 
 def _existing(source: str, read):
@@ -142,7 +136,7 @@ def table_key(spark: SparkSession, source: str) -> str:
     return _existing(source, key)
 
 
-def _load(spark: SparkSession, src: str) -> DataFrame:
+def _load(spark: SparkSession, src: str, partitions: int | None = None) -> DataFrame:
     if src.lower().endswith(".csv"):
         return csv.read_csv(spark, src)
     if src.lower().endswith(".parquet"):
@@ -150,7 +144,17 @@ def _load(spark: SparkSession, src: str) -> DataFrame:
         return df.select(*[F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
                            if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                            for f in df.schema.fields])
-    return applications(spark, src)
+    return applications(spark, src, partitions=partitions)
+
+
+def _source_rows(spark: SparkSession, src: str) -> int:
+    """Rows that the application table has at most or about, from Parquet footers;
+    0 for CSV, whose rows only a scan of the text would count."""
+    if src.lower().endswith(".csv"):
+        return 0
+    if src.lower().endswith(".parquet"):
+        return _existing(src, lambda path: spark.read.parquet(path).count())
+    return _existing(src, lambda path: read_table(spark, path, "orders").count())
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
@@ -167,6 +171,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> Prepared:
 
 def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
     def build() -> DataFrame:
+        parts = write_partitions(spark, _source_rows(spark, sf_dir.rstrip("/")))
         # One write of the joined table, with the split's hash order as an
         # extra column; the split thresholds are then found from it and the
         # label, and membership is an integer comparison with literal
@@ -177,11 +182,11 @@ def _prepared(spark: SparkSession, sf_dir: str) -> Prepared:
         # which carry a plain bound on the hash, let the Parquet scan skip
         # the other side's row groups (test queries read about a fifth of
         # the table).
-        apps = (load_applications(spark, sf_dir)
+        apps = (load_applications(spark, sf_dir, parts)
                 .withColumn(SPLIT_HASH, hash_order(S.KEY, S.SPLIT_SALT))
                 .withColumn(SUBSAMPLE_HASH, hash_order(S.KEY, S.SUBSAMPLE_SALT))
                 .withColumn(SCATTER_HASH, hash_order(S.KEY, S.SCATTER_SALT)))
-        return apps.repartition(write_partitions(spark), S.KEY).sortWithinPartitions(SPLIT_HASH)
+        return apps.repartition(parts, S.KEY).sortWithinPartitions(SPLIT_HASH)
 
     key = table_key(spark, sf_dir)
     base = store.keep_table(spark, key, build)

@@ -44,12 +44,28 @@ NATION_BROADCAST_ROWS = 10_000
 # least MIN_HOT_ROWS of them); there are at most 1 / HOT_KEY_SHARE such keys.
 HOT_KEY_SHARE = 0.001
 MIN_HOT_ROWS = 1_000_000
+# Rows of one partition of the application table: some 100 MB while they are
+# joined and sorted, whatever the number of orders.
+PARTITION_ROWS = 250_000
+# A side of fewer rows may be one that Spark broadcasts by itself.
+LARGE_SIDE_ROWS = 500_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def write_partitions(spark: SparkSession, rows: int = 0) -> int:
+    """Partitions of the application table: at least one for each core, as many
+    as the session's shuffles have, and enough that none has many more than
+    ``PARTITION_ROWS`` of ``rows``."""
+    return max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark), -(-rows // PARTITION_ROWS))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def order_lines(lineitem: DataFrame) -> DataFrame:
     """Per-order line statistics. Decimal sums make the result independent of
     summation order. Partial aggregation runs map-side; the output stays
@@ -81,25 +97,32 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_KEY_SHARE,
 
 
 def join_splitting_hot_keys(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                            hot: list) -> DataFrame:
+                            hot: list, parts: int | None = None) -> DataFrame:
     """Inner equi-join where the ``hot`` keys of ``left`` (a bounded list)
     meet a broadcast of their few ``right`` rows, and all other keys take
     the ordinary shuffle join. A key holding a third of ``left`` is then
-    spread over all of ``left``'s partitions instead of one reducer."""
+    spread over all of ``left``'s partitions instead of one reducer. With
+    ``parts`` the shuffle join has that many partitions."""
+    def shuffled(a: DataFrame, b: DataFrame) -> DataFrame:
+        if parts is not None:
+            a, b = a.repartition(parts, left_key), b.repartition(parts, right_key)
+        return a.join(b, F.col(left_key) == F.col(right_key))
+
     if not hot:
-        return left.join(right, F.col(left_key) == F.col(right_key))
+        return shuffled(left, right)
     is_hot_l = F.col(left_key).isin(hot)
     is_hot_r = F.col(right_key).isin(hot)
     # at most len(hot) rows when the right key is unique; checked, not assumed
     hot_right = bounded_broadcast(right.where(is_hot_r), 10 * len(hot) + 1000)
     return (left.where(is_hot_l).join(hot_right, F.col(left_key) == F.col(right_key))
-            .unionByName(left.where(~is_hot_l)
-                         .join(right.where(~is_hot_r), F.col(left_key) == F.col(right_key))))
+            .unionByName(shuffled(left.where(~is_hot_l), right.where(~is_hot_r))))
 
 
 def applications(spark: SparkSession, sf_dir: str, hot_share: float = HOT_KEY_SHARE,
-                 min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Build the 21-column application table from the test tables."""
+                 min_hot_rows: int = MIN_HOT_ROWS, partitions: int | None = None) -> DataFrame:
+    """Build the 21-column application table from the test tables. Where
+    ``partitions`` exceeds the session's shuffles, the joins have that many."""
+    more = partitions if partitions is not None and partitions > shuffle_partitions(spark) else None
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     customer = read_table(spark, sf_dir, "customer").select(
@@ -115,7 +138,10 @@ def applications(spark: SparkSession, sf_dir: str, hot_share: float = HOT_KEY_SH
     # so does the result, which a table partitioned by that key is written from
     # without another shuffle of the whole rows.
     hot = hot_keys(orders.select("o_custkey"), "o_custkey", hot_share, min_hot_rows)
-    owned = join_splitting_hot_keys(orders, cust, "o_custkey", "c_custkey", hot)
+    large = more is not None and customer.count() > LARGE_SIDE_ROWS
+    owned = join_splitting_hot_keys(orders, cust, "o_custkey", "c_custkey", hot, more if large else None)
+    if more is not None:
+        owned, lines = owned.repartition(more, "o_orderkey"), lines.repartition(more, "l_orderkey")
     joined = owned.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return joined.select(*[F.expr(expr).alias(name) for name, expr in APPLICATION_COLUMNS])
 

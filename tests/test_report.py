@@ -100,6 +100,33 @@ def test_whole_application_rows_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_table_partitions_grow_with_its_rows(spark, monkeypatch):
+    """Many orders: joins, sort and files have as many partitions as the rows
+    need, whatever the session's shuffles have, with the same rows and no
+    shuffle of the whole rows."""
+    from riskframe.sources import applications as A
+
+    orders = A.read_table(spark, SMALL, "orders").count()
+    monkeypatch.setattr(A, "PARTITION_ROWS", orders // 50)
+    monkeypatch.setattr(A, "LARGE_SIDE_ROWS", 0)
+    parts = A.write_partitions(spark, orders)
+    assert parts >= 50 > A.shuffle_partitions(spark)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = A.applications(spark, SMALL, partitions=parts).repartition(parts, S.KEY)
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        moves = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+        assert not [x for x in moves if S.KEY in x]
+        assert all(any(k in x and f", {parts})" in x for x in moves) for k in ("o_custkey", "c_custkey", "o_orderkey", "l_orderkey"))
+        assert rows.rdd.getNumPartitions() == parts
+        plain = A.applications(spark, SMALL)
+        assert rows.count() == plain.count() == orders
+        assert rows.exceptAll(plain).count() == 0 and plain.exceptAll(rows).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_split_predicates_reach_the_scan(spark):
     """At every scale, train and test read the written table with
     the split's hash bound among the Parquet pushed filters."""
